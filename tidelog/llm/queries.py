@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import exact_dedup, mixing, piece_codec, quality, token_counts
+from tidelog.llm import exact_dedup, language_id, mixing, piece_codec, quality, token_counts
 from tidelog.llm.common import documents, prepare
 
 
@@ -34,7 +34,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_id.identify(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
     "op5_token_counts": op5_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
