@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import exact_dedup, language_id, mixing, piece_codec, quality, token_counts
+from tidelog.llm import exact_dedup, language_id, lm_scoring, mixing, piece_codec, quality, token_counts
 from tidelog.llm.common import documents, prepare
 
 
@@ -39,7 +39,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lm_scoring.score_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op8_language_id": op8_language_id,
     "op10_quality": op10_quality,
     "op5_token_counts": op5_token_counts,
