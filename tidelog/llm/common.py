@@ -192,3 +192,41 @@ def grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
+
+
+# ---------------------------------------------------------------- Bloom filters that only save work
+
+#: Bits of the largest filter: 32 MiB.  A fuller one lets more through, which costs time but no result.
+BLOOM_BITS = 1 << 28
+
+
+def _bloom_places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for k in range(3):
+        with np.errstate(over="ignore"):
+            yield (mix(h + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (2**64 - 1))) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bloom_of(values: DataFrame) -> np.ndarray:
+    """A filter of the one long column ``h`` of ``values``, a written table."""
+    count = values.count()
+    bits = 1 << max(13, min(BLOOM_BITS.bit_length() - 1, (12 * count).bit_length()))
+
+    def build(batches):
+        made = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            for at in _bloom_places(h, bits):
+                np.bitwise_or.at(made, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], ["bits"])
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in values.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def in_bloom(made: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), dtype=bool)
+    for at in _bloom_places(h, len(made) * 8):
+        out &= (made[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
