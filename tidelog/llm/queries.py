@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, piece_codec, quality, token_counts
+from tidelog.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, piece_codec, quality, suffix_dedup, token_counts
 from tidelog.llm.common import documents, prepare
 
 
@@ -49,7 +49,13 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op1_lm_scoring": op1_lm_scoring,
     "op8_language_id": op8_language_id,
