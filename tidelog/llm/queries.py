@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, piece_codec, quality, suffix_dedup, token_counts
+from tidelog.llm import exact_dedup, language_id, lm_scoring, mixing, ngram_join, piece_codec, quality, suffix_dedup, token_counts, topk_search
 from tidelog.llm.common import documents, prepare
 
 
@@ -54,7 +55,13 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("k") % 50 == 0)
+
+
 QUERIES = {
+    "op6_topk_search": op6_topk_search,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op1_lm_scoring": op1_lm_scoring,
@@ -67,6 +74,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_topk_search": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score
+          FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+        WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 5
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
