@@ -21,6 +21,8 @@ MOST_COPIES = 3
 #: Bits of the order key, and of each of the two histogram levels that refine it.
 KEY_BITS, LEVEL_BITS = 32, 12
 NEWTON_STEPS = 64
+#: A source's rows are dealt out to so many keys where they meet its row of the plan.
+SALTS = 64
 
 
 def entropy_rates(sources: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
@@ -56,16 +58,20 @@ def order_key(key: str = "doc_id"):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """One row for each input row: key, size, source_size, target, copies, taken, source.
-
-    A null text has size 0; a null source is a source of its own, the last.  Copies are a function of key, sizes
-    and targets, so reruns agree; rows that repeat a key in a source are taken alike.  An empty table gives an
-    empty result; other columns are ignored.
-    """
-    scratch = Scratch(docs.sparkSession)
+def _measured(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
+    """docs with _k, _source, _size and the order key _u."""
     size = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = scratch.cut(docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("source"), size.alias("size"), order_key(key).alias("u")), "sizes")
+    return docs.withColumns({"_k": F.col(key), "_source": F.col(source).cast("string"), "_size": size, "_u": order_key(key)})
+
+
+def _place(u: str, k: str):
+    """Where a document stands in its source's order."""
+    return F.struct(F.col(u).alias("u"), F.coalesce(F.col(k).cast("long"), F.lit(-(2**63))).alias("k"))
+
+
+def mixing_plan(rows: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
+    """A row for each source: its size and target, the copies that every document gets, and where the order of those
+    that get one more ends (null: nowhere).  ``rows`` is a written table (k, source, size, u)."""
     plan = entropy_rates(source_targets(rows, weights, most).withColumn("mass", F.col("source_size").cast("double")))
     plan = plan.withColumn("base", F.least(F.lit(most), F.floor(F.col("rate") + 1e-9)).cast("long"))
     plan = plan.withColumn("need", F.when(F.col("base") >= most, 0).otherwise(F.floor(F.col("target") + 1e-6).cast("long") - F.col("base") * F.col("source_size")))
@@ -74,36 +80,69 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     part, shift = plan.select("source", F.lit(0).cast("long").alias("cell"), F.col("need").alias("left")), KEY_BITS
     for level in (1, 2):
         # Of the cell where the order ends, sum a finer histogram and find the finer cell.
-        held = rows.alias("r").join(part.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.shiftright(F.col("r.u"), shift) == F.col("p.cell")))
+        held = _of_cell(rows, part, shift)
         shift -= LEVEL_BITS
-        sums = held.groupBy(F.col("r.source").alias("source"), F.shiftright(F.col("r.u"), shift).alias("cell")).agg(F.sum("r.size").alias("words"), F.first("p.left").alias("left"))
+        sums = held.groupBy("source", F.shiftright("u", shift).alias("cell")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
         upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-        sums = sums.withColumn("left", F.col("left") - F.sum("words").over(upto))
-        part = scratch.cut(sums.filter("left < 0").groupBy("source").agg(F.min("cell").alias("cell"), (F.max_by("words", F.struct(-F.col("cell"))) + F.max_by("left", F.struct(-F.col("cell")))).alias("left")), f"level{level}")
+        sums = sums.withColumn("left", F.col("left") - F.sum("words").over(upto)).filter("left < 0")
+        first = F.struct(-F.col("cell"))
+        part = scratch.cut(sums.groupBy("source").agg(F.min("cell").alias("cell"), (F.max_by("words", first) + F.max_by("left", first)).alias("left")), f"level{level}")
     # The last cell holds about one key in 2 ** 24 of a source.
-    held = rows.alias("r").join(part.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.shiftright(F.col("r.u"), shift) == F.col("p.cell")))
     tie = Window.partitionBy("source").orderBy("u", F.col("k").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    held = held.select("r.*", "p.left").withColumn("left", F.col("left") - F.sum("size").over(tie))
-    ends = held.filter("left < 0").groupBy("source").agg(F.min(F.struct("u", F.coalesce(F.col("k").cast("long"), F.lit(-(2**63))).alias("k"))).alias("end"))
-    plan = plan.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.end")
-
-    out = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
-    here = F.struct(F.col("u"), F.coalesce(F.col("k").cast("long"), F.lit(-(2**63))).alias("k"))
-    more = (F.col("need") > 0) & (F.col("end").isNull() | (here < F.col("end")))
-    out = out.withColumn("copies", F.col("base") + F.when(more, 1).otherwise(0))
+    held = _of_cell(rows, part, shift).withColumn("left", F.col("left") - F.sum("size").over(tie))
+    ends = held.filter("left < 0").groupBy("source").agg(F.min(_place("u", "k")).alias("end"))
+    return scratch.cut(plan.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.end"), "ends")
+
+
+def _of_cell(rows: DataFrame, part: DataFrame, shift: int) -> DataFrame:
+    """Rows of each source's cell; a source is dealt out by salt."""
+    r, p = rows.withColumn("salt", F.pmod("u", F.lit(SALTS))).alias("r"), _salted(part).alias("p")
+    on = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.salt") == F.col("p.salt")) & (F.shiftright(F.col("r.u"), shift) == F.col("p.cell"))
+    return r.join(p, on).select("r.source", "r.k", "r.size", "r.u", "p.left")
+
+
+def _salted(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def _planned(measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds source_size, target and copies to measured rows."""
+    r, p = measured.withColumn("_salt", F.pmod("_u", F.lit(SALTS))).alias("r"), _salted(plan).alias("p")
+    out = r.join(p, F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._salt") == F.col("p.salt")))
+    more = (F.col("p.need") > 0) & (F.col("p.end").isNull() | (_place("r._u", "r._k") < F.col("p.end")))
+    return out.select("r.*", F.col("p.source_size").alias("_source_size"), F.col("p.target").alias("_target"), (F.col("p.base") + F.when(more, 1).otherwise(0)).alias("_copies"))
+
+
+def _sizes(docs: DataFrame, scratch: Scratch, text: str, key: str, source: str) -> DataFrame:
+    rows = _measured(docs, text, key, source).select(F.col("_k").alias("k"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_u").alias("u"))
+    return scratch.cut(rows, "sizes")
+
+
+def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
+    """One row for each input row: key, size, source_size, target, taken, copies, source.
+
+    A null text has size 0; a null source is a source of its own, the last.  Copies are a function of key, sizes
+    and targets, so reruns agree; rows that repeat a key in a source are taken alike.  An empty table gives an
+    empty result; other columns are ignored.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = _sizes(docs, scratch, text, key, source)
+    plan = mixing_plan(rows, scratch, weights, most)
+    out = _planned(rows.select(F.col("k").alias("_k"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("u").alias("_u")), plan)
     return out.select(
-        F.col("k").alias(key),
-        "size",
-        "source_size",
-        "target",
-        (F.col("copies") * F.col("size")).alias("taken"),
-        "copies",
-        F.col("r.source").alias("source"),
+        F.col("_k").alias(key),
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_copies") * F.col("_size")).alias("taken"),
+        F.col("_copies").alias("copies"),
+        F.col("_source").alias("source"),
     )
 
 
-def apply_copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents, each as often as the mix takes it."""
-    times = mixed.filter("copies > 0").select(F.col(key).alias("_k"), F.col("copies").cast("int").alias("_n")).distinct()
-    out = docs.join(times, docs[key].eqNullSafe(times["_k"]))
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
+    """The documents with all their columns, each as often as the mix takes it."""
+    scratch = Scratch(docs.sparkSession)
+    plan = mixing_plan(_sizes(docs, scratch, text, key, source), scratch, weights, most)
+    out = _planned(_measured(docs, text, key, source), plan).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
