@@ -49,3 +49,22 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", normal
         F.col("k").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("d")).alias("text_sha256"),
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", salts: int = SALTS) -> DataFrame:
+    """The rows that stay, one of each text, with all their columns.
+
+    As in ``deduplicate`` the largest key stays and null texts count as empty.  The winner travels with the stages'
+    content, so rows are not looked up again.  Of rows that repeat the key the one with the largest hash of its other
+    columns stays.
+    """
+    others = [c for c in docs.columns if c != text]
+    hashed = [f.name for f in docs.schema if f.name != text and "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(key), F.xxhash64(*hashed).alias("h"), F.col(text).isNotNull().alias("set"))
+    rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"), order.alias("_o"), F.struct(*others, F.col(text).isNull().alias("_null")).alias("_row"))
+    rows = rows.withColumn("_d", F.unhex(F.sha2("_t", 256)))
+    best = [F.max_by("_row", "_o").alias("_row"), F.max("_o").alias("_o")]
+    salted = rows.groupBy("_d", "_t", (F.spark_partition_id() % salts).alias("_s")).agg(*best)
+    kept = salted.groupBy("_d", "_t").agg(*best)
+    whole = F.when(~F.col("_row._null"), F.col("_t"))
+    return kept.select(*(whole.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns))

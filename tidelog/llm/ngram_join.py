@@ -308,3 +308,12 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     whole = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c", "component_id")
     out = profiles.select("k", "n", "c").join(whole, "c", "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of one document of each component, that with the smallest key, with all their columns.
+
+    Documents without a shingle, and rows without a key, stay.
+    """
+    out = join(docs, text, key, words, percent).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    return docs.join(out, docs[key] == out["_gone"], "left_anti")

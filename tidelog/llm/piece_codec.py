@@ -283,15 +283,20 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", key:
     Null texts count as empty and give empty lists.  Rows keep their number; repeated rows are encoded alike, an
     empty table gives an empty result, other columns are ignored.  Whole texts are encoded, however long.
     """
-    return _run(docs, model_path, text, key, True)
+    return _run(docs, model_path, text, key, ("ids", "begins", "ends"))
+
+
+def encode_ids(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """As ``encode_documents``, without the spans."""
+    return _run(docs, model_path, text, key, ("ids",))
 
 
 def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """As ``encode_documents``, without the lists."""
-    return _run(docs, model_path, text, key, False)
+    return _run(docs, model_path, text, key, ())
 
 
-def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: bool) -> DataFrame:
+def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: tuple) -> DataFrame:
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # a vocabulary file; its size doesn't depend on the data
@@ -310,12 +315,12 @@ def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: bool) ->
                 out["i"].append(hashlib.sha256(listed.encode()).hexdigest())
                 out["d"].append(hashlib.sha256(back.encode()).hexdigest())
                 if lists:
-                    out["ids"].append(np.array(ids, dtype=np.int32))
-                    out["begins"].append(spans[:, 0].astype(np.int32))
-                    out["ends"].append(spans[:, 1].astype(np.int32))
-            cols = [batch.column("k"), *([pa.array(out[c], type=pa.list_(pa.int32())) for c in ("ids", "begins", "ends")] if lists else []), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())]
-            names = ["k", *(("ids", "begins", "ends") if lists else ()), "n_tokens", "ids_sha256", "decoded_sha256"]
+                    each = {"ids": ids, "begins": spans[:, 0], "ends": spans[:, 1]}
+                    for c in lists:
+                        out[c].append(np.array(each[c], dtype=np.int32))
+            cols = [batch.column("k"), *(pa.array(out[c], type=pa.list_(pa.int32())) for c in lists), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())]
+            names = ["k", *lists, "n_tokens", "ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"k {kind}, " + ("ids array<int>, begins array<int>, ends array<int>, " if lists else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"k {kind}, " + "".join(f"{c} array<int>, " for c in lists) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(work, schema).withColumnRenamed("k", key)

@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-One pass over the texts writes each document's statistics.  The trees are fitted on the driver from a bounded
-sample of labelled rows (``FIT_ROWS``), by histograms of ``BINS`` quantile bins, and flattened into arrays;
-scoring walks all trees of a batch at once in numpy.
+The trees are fitted on the driver from a bounded sample of labelled rows (``FIT_ROWS``), by histograms of ``BINS``
+quantile bins, and flattened into arrays; one pass over the texts computes each document's statistics and walks
+all trees of a batch at once in numpy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, blocks, grams, text_buffer, word_hashes, word_spans
+from tidelog.llm.common import blocks, grams, text_buffer, word_hashes, word_spans
 
 #: The trees are fitted on so many labelled rows at most, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -111,20 +111,20 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     ).astype(np.float32)
 
 
-def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """k and f, the array of statistics, of each row; null texts count as empty."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+def _rows(docs: DataFrame, text: str, keep: list[str], work, schema: str) -> DataFrame:
+    """``work`` gives the columns after ``keep`` from the statistics of each row; null texts count as empty."""
+    names = [f"x{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text).cast("string").alias("t"))
 
-    def work(batches):
+    def run(batches):
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
             parts = [statistics(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in blocks(off)]
             if parts:
-                x = np.concatenate(parts)
-                flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), flat], ["k", "f"])
+                yield from work(batch, np.concatenate(parts))
 
-    return rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, f array<float>")
+    kept = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
+    return rows.mapInArrow(run, kept + schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
 class Trees:
@@ -200,25 +200,51 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return out.freeze()
 
 
+def _held(key: str):
+    return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+
+
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> Trees:
+    """Trees from at most ``fit_rows`` labelled rows with crc32(key) mod 5 not 0, those with the least hashes of the key.
+
+    Of several labels of a key the mean counts; null labels and keys don't.  A key that several rows have is learned
+    with each of their texts.
+    """
+    known = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull() & ~_held("_k"))
+    known = known.groupBy("_k").agg((F.avg("_y") >= 0.5).cast("double").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(fit_rows)
+    # fit_rows bounds the broadcast side.
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k")
+
+    def give(batch, x):
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column("x0"), flat], ["x0", "f"])
+
+    sample = _rows(rows, "_t", ["_y"], give, "f array<float>").toPandas()
+    x = np.array(sample["f"].tolist(), dtype=np.float32).reshape(len(sample), len(NAMES))
+    return fit(x, sample["_y"].to_numpy(dtype=float))
+
+
+def score_rows(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``_score`` of each row, in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most TREES * 2 ** (DEPTH + 1) nodes
+
+    def give(batch, x):
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.score(x))], [*batch.schema.names[:-1], "_score"])
+
+    return _rows(docs, text, keep, give, "_score double")
+
+
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """key, held_out, score, predicted of each row.
 
-    Learns from labelled rows with crc32(key) mod 5 not 0; of several labels of a key the mean counts, nulls don't.
-    Null and empty texts are scored from their zeros.  Repeated rows are scored alike; an empty table gives an empty
-    result; other columns are ignored.
+    Null and empty texts are scored from their zeros; without labels every score is 0.5.  Repeated rows are scored
+    alike; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    facts = Scratch(spark).cut(document_statistics(docs, text, key), "statistics")
-    held = F.crc32(F.encode(F.coalesce(F.col("k").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
-    known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter("y in (0, 1)").groupBy("k").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
-    sample = facts.filter(~held).dropDuplicates(["k"]).join(known, "k").orderBy(F.xxhash64("k"), "k").limit(fit_rows).select("f", "y").toPandas()
-    x = np.array(sample["f"].tolist(), dtype=np.float32).reshape(len(sample), len(NAMES))
-    trees = spark.sparkContext.broadcast(fit(x, sample["y"].to_numpy(dtype=float)))  # at most TREES * 2 ** (DEPTH + 1) nodes
+    out = score_rows(docs, learn(docs, labels, text, key, label, fit_rows), [key], text)
+    return out.select(key, _held(key).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
 
-    def work(batches):
-        for batch in batches:
-            x = batch.column("f").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(trees.value.score(x))], ["k", "score"])
 
-    out = facts.mapInArrow(work, f"k {facts.schema['k'].dataType.simpleString()}, score double")
-    return out.select(F.col("k").alias(key), held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The rows that are predicted 1, with all their columns."""
+    trees = learn(docs, labels, text, key, label)
+    return score_rows(docs, trees, docs.columns, text).filter(F.col("_score") >= CUT).drop("_score")
