@@ -11,23 +11,64 @@ from __future__ import annotations
 import json
 import os
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import blocks
+
 #: Characters of a chunk and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 512
 #: Tokens on each side of a splice that both encodings must agree on, as far as the overlap has them.
 AGREE = 4
 #: Words remembered in a worker; the memory is emptied when full.
-MEMO = 200_000
+MEMO = 600_000
+
+
+class Spans:
+    """An encoding as the list of its tokens' (begin, end), ``at`` characters into the text."""
+
+    def __init__(self, spans: list[tuple[int, int]], at: int):
+        self.spans = [(a + at, b + at) for a, b in spans]
+        self.begins = [a for a, _ in self.spans]
+
+    def count(self, lo: int, hi: int) -> int:
+        return bisect_left(self.begins, hi) - bisect_left(self.begins, lo)
+
+    def around(self, cut: int) -> tuple[list, list]:
+        i = bisect_left(self.begins, cut)
+        return self.spans[max(0, i - AGREE) : i], self.spans[i : i + AGREE]
+
+
+class WordSpans:
+    """An encoding by words: tokens are counted for each word, and placed only where asked."""
+
+    def __init__(self, tok: JsonTokenizer, text: str, at: int):
+        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        word = np.concatenate([[False], (chars != 32) & ((chars < 9) | (chars > 13)), [False]])
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        self.begins, self.ends = edge[::2] + at, edge[1::2] + at
+        self.tok, self.words = tok, tok.words.findall(text)
+        self.total = np.concatenate([[0], np.cumsum(tok.known(self.words), dtype=np.int64)])
+
+    def count(self, lo: int, hi: int) -> int:
+        return int(self.total[np.searchsorted(self.begins, hi)] - self.total[np.searchsorted(self.begins, lo)])
+
+    def around(self, cut: int) -> tuple[list, list]:
+        i = int(np.searchsorted(self.begins, cut))
+        near = range(max(0, i - AGREE), min(len(self.words), i + AGREE))
+        spans = {j: [(int(self.begins[j]) + a, int(self.begins[j]) + b) for a, b in self.tok.lib.encode(self.words[j], add_special_tokens=False).offsets] for j in near}
+        return [t for j in near if j < i for t in spans[j]][-AGREE:], [t for j in near if j >= i for t in spans[j]][:AGREE]
 
 
 class JsonTokenizer:
     """A tokenizers file; words between ASCII white space are encoded once where its pattern can't cross that."""
 
+    splice = re.compile(r"(?<=[^\s])[ \t-\r]")
+
     def __init__(self, model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
@@ -35,56 +76,70 @@ class JsonTokenizer:
         self.lib = tokenizers.Tokenizer.from_str(model.decode())
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.by_word = _drops_space(json.loads(model))
+        config = json.loads(model)
+        self.by_word = _drops_space(config)
+        self.lowers = self.by_word and "Lowercase" in json.dumps(config.get("normalizer"))
+        self.by_stop = self.by_word and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _LETTERS_OR_OTHERS
         self.words = re.compile(r"[^ \t-\r]+")
-        self.counts: dict[str, int] = {}
-        self.places: dict[str, list] = {}
+        self.memo: dict[str, int] = {}
 
-    def _offsets(self, words: list[str]) -> list[tuple[int, list]]:
-        """Each word's token count and token places, from one call: words are passed with a space between them."""
-        spans = self.lib.encode(" ".join(words), add_special_tokens=False).offsets
-        at, i, out = 0, 0, []
+    def _learn(self, words: set[str]) -> None:
+        """Counts of new words: that of an ASCII letter and what goes before it, and that of the stops behind."""
+        memo, parts = self.memo, []
         for w in words:
-            j, end = i, at + len(w)
-            while j < len(spans) and spans[j][0] < end:
-                j += 1
-            out.append((j - i, [(a - at, b - at) for a, b in spans[i:j]]))
-            at, i = end + 1, j
+            stem = stops = ""
+            if self.by_stop and w[-1] in _STOPS:
+                stem = w.rstrip(_STOPS)
+                if stem and stem[-1].isascii() and stem[-1].isalpha():
+                    stops = w[len(stem) :]
+            stem = stem if stops else w
+            parts.append((w, stem.lower() if self.lowers and stem.isascii() else stem, stops))
+        ask = list({p[1] for p in parts}.union({p[2] for p in parts if p[2]}).difference(memo))
+        memo.update(zip(ask, map(len, self.lib.encode_batch_fast(ask, add_special_tokens=False)), strict=True))
+        for w, stem, stops in parts:
+            memo[w] = memo[stem] + (memo[stops] if stops else 0)
+
+    def known(self, words: list[str]) -> list[int]:
+        """The number of tokens of each word."""
+        out = []
+        for k in range(0, len(words), MEMO // 8):
+            some = words[k : k + MEMO // 8]
+            self._ready(set(some))
+            out += map(self.memo.__getitem__, some)
         return out
 
-    def _known(self, words: list[str], memo: dict, places: bool) -> list:
-        """What is remembered of each word: its count, or the places of its tokens."""
-        try:
-            return [memo[w] for w in words]
-        except KeyError:
-            pass
-        out = []
-        for k in range(0, len(words), MEMO // 2):
-            some = words[k : k + MEMO // 2]
-            new = [w for w in dict.fromkeys(some) if w not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(some))
-            for i in range(0, len(new), 1000):
-                part = new[i : i + 1000]
-                for w, (n, spans) in zip(part, self._offsets(part), strict=True):
-                    memo[w] = spans if places else n
-            out += [memo[w] for w in some]
+    def _ready(self, words: set[str]) -> None:
+        new = words.difference(self.memo)
+        if len(self.memo) + 3 * len(new) > MEMO:
+            self.memo.clear()
+            new = words
+        if new:
+            self._learn(new)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        if not self.by_word:
+            return [len(e) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        out, get = [], self.memo.__getitem__
+        ends = np.cumsum([len(t) for t in texts])
+        for i, j in blocks(np.concatenate([[0], ends]), MEMO // 2):  # so many characters have fewer words
+            lists = [self.words.findall(t) for t in texts[i:j]]
+            if j - i == 1:
+                out.append(sum(self.known(lists[0])))
+                continue
+            self._ready(set().union(*lists))
+            out += [sum(map(get, words)) for words in lists]
         return out
 
     def count(self, text: str) -> int:
-        if not self.by_word:
-            return len(self.lib.encode(text, add_special_tokens=False))
-        return sum(self._known(self.words.findall(text), self.counts, False))
+        return self.counts([text])[0]
 
-    def spans(self, text: str, first: bool) -> list[tuple[int, int]]:
-        """The characters of each token."""
-        if not self.by_word:
-            return self.lib.encode(text, add_special_tokens=False).offsets
-        at = [m.start() for m in self.words.finditer(text)]
-        return [(i + a, i + b) for i, spans in zip(at, self._known(self.words.findall(text), self.places, True), strict=True) for a, b in spans]
+    def encode(self, text: str, at: int) -> Spans | WordSpans:
+        return WordSpans(self, text, at) if self.by_word else Spans(self.lib.encode(text, add_special_tokens=False).offsets, at)
 
-    splice = re.compile(r"(?<=[^\s])[ \t-\r]")
+
+#: Splits letters, single digits and runs of other characters; a stop after an ASCII letter begins a token of its own.
+_LETTERS_OR_OTHERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STOPS = ".,;:!?"
 
 
 def _drops_space(config: dict) -> bool:
@@ -115,19 +170,20 @@ class PieceTokenizer:
 
         self.codec = PieceCodec(model)
 
-    def count(self, text: str) -> int:
+    def counts(self, texts: list[str]) -> list[int]:
         if not self.codec.by_segment:
-            return len(self.codec.lib.encode(text))
-        return sum([len(p[0]) for p in self.codec.parts(text)])
+            return [len(ids) for ids in self.codec.lib.encode(texts, num_threads=1)]
+        return [sum([len(p[0]) for p in self.codec.parts(t)]) for t in texts]
 
-    def spans(self, text: str, first: bool) -> list[tuple[int, int]]:
+    def encode(self, text: str, at: int) -> Spans:
+        first = at == 0
         parts = self.codec.parts(text, first)
         width = np.frombuffer(b"".join([p[1] for p in parts]), dtype=np.uint8).astype(np.int64)
         norm = (" " if first else "") + text.replace("\u2581", " ")
         chars = np.repeat(np.arange(len(norm)), [3 if c == " " else len(c.encode()) for c in norm])
         chars = np.maximum(np.append(chars, len(norm)) - first, 0)
         end = np.cumsum(width)
-        return list(zip(chars[end - width].tolist(), chars[end].tolist(), strict=True))
+        return Spans(list(zip(chars[end - width].tolist(), chars[end].tolist(), strict=True)), at)
 
     splice = re.compile(r"(?<=[^ \n\u2581]) (?=[^ \n])")
 
@@ -138,46 +194,43 @@ def tokenizer(path: str, model: bytes):
 
 def resynchronise(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, stats: dict | None = None) -> int:
     """The number of tokens of a text that is longer than a chunk."""
-    total, start, spans = 0, 0, None
+    total = left = start = 0  # tokens before ``left`` are counted; ``start`` is where the current chunk begins
     stop = min(chunk, len(text))
-    spans = tok.spans(text[:stop], True)
-    left = 0  # tokens of the current chunk before this place are counted already
+    one = tok.encode(text[:stop], 0)
     while stop < len(text):
-        width = overlap
-        while True:
+        width, place = overlap, None
+        while place is None:
             begin = max(start, stop - width)
-            end = min(len(text), begin + max(chunk, 2 * width))
-            cuts = [begin + m.start() for m in tok.splice.finditer(text, begin, stop)]
-            following, place = None, None
+            cuts = [m.start() for m in tok.splice.finditer(text, max(begin, 1), stop)]
+            # The next chunk begins at the first place, so that it opens as the text goes on there.
             if cuts:
-                # The next chunk begins at the first place, so that it opens as the text goes on there.
-                begin = cuts[0]
-                following = [(a + begin, b + begin) for a, b in tok.spans(text[begin:end], False)]
-                place = _common(spans, following, cuts[1:], stop, end)
+                end = min(len(text), cuts[0] + max(chunk, 2 * width))
+                two = tok.encode(text[cuts[0] : end], cuts[0])
+                place = _common(one, two, cuts[1:], stop)
             if place is not None:
                 break
             if stats is not None:
                 stats["widened"] = stats.get("widened", 0) + 1
-            if begin <= start or width >= len(text):
-                # No stable place at all: encode from the chunk's start to the end of the text.
-                rest = tok.spans(text[start:], start == 0)
-                return total + sum(1 for a, _ in rest if a + start >= left)
+            if begin <= start:
+                # No stable place in the whole chunk: encode it again together with all the rest.
+                return total + tok.encode(text[start:], start).count(left, len(text))
             width *= 4
-        total += sum(1 for a, b in spans if left <= a < place or left <= a and b <= place)
-        start, left, spans, stop = begin, place, following, end
-    return total + sum(1 for a, _ in spans if a >= left)
+        total += one.count(left, place)
+        start, left, one, stop = cuts[0], place, two, end
+    return total + one.count(left, len(text))
 
 
-def _common(one: list, two: list, cuts: list[int], stop: int, end: int) -> int | None:
-    """The last place where both have a token end and begin, the tokens around it agreeing."""
-    a, b = {s: i for i, s in enumerate(one)}, {s: i for i, s in enumerate(two)}
-    ends_one, ends_two = {s[1]: i for i, s in enumerate(one)}, {s[1]: i for i, s in enumerate(two)}
+def _common(one, two, cuts: list[int], stop: int) -> int | None:
+    """The last place where a token ends in both encodings, and the tokens around it agree."""
     for cut in reversed(cuts):
-        i, j = ends_one.get(cut), ends_two.get(cut)
-        if i is None or j is None:
+        before, after = one.around(cut)
+        before_two, after_two = two.around(cut)
+        if not before or not before_two or before[-1][1] != cut:
             continue
-        near = range(-AGREE + 1, AGREE + 1)
-        if all(one[i + k] == two[j + k] for k in near if 0 <= i + k < len(one) - 1 and 0 <= j + k < len(two) - 1) and one[i] in b and two[j] in a:
+        m = min(len(before), len(before_two))
+        # The end of the first chunk may cut a token.
+        whole = [t for t in after if t[1] < stop]
+        if before[-m:] == before_two[-m:] and whole and whole == after_two[: len(whole)]:
             return cut
     return None
 
@@ -198,7 +251,8 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
         for batch in batches:
             tok = tok or tokenizer(path, model.value)
             texts = [t or "" for t in batch.column("t").to_pylist()]
-            counts = [tok.count(t) if len(t) <= chunk else resynchronise(tok, t, chunk, overlap) for t in texts]
+            short = iter(tok.counts([t for t in texts if len(t) <= chunk]) if any(len(t) <= chunk for t in texts) else ())
+            counts = [next(short) if len(t) <= chunk else resynchronise(tok, t, chunk, overlap) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(counts, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], ["k", "n_tokens", "n_bytes"])
 
     out = rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, n_tokens long, n_bytes long")
