@@ -6,6 +6,7 @@ found, lower-cased and hashed with numpy over that buffer and no Python string i
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -57,6 +58,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now, and not when the driver happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs

@@ -5,12 +5,15 @@ last, the rest by hash.  Lists are read in blocks by size and position, and a bl
 with it can reach the threshold.  Relations between sets save the rest of the work:
 
 * equal sets are one class, of which one set is joined;
-* classes that share a min-hash are first compared with one leader each, and most links of a group of near
+* of many classes that share a min-hash each is first compared with one leader, and most links of a group of near
   copies are found there, in linear work;
 * what is asked afterwards is only whether two *components* have a link.  From the sizes of two sets'
   intersections with a common leader follow bounds of their own intersection; a pair whose bounds decide is
   answered without comparing the sets.
 
+Pairs that are left are compared family by family, in blocks of sets of bounded size, so that a set moves once for
+a block pair and not for every pair; within a task, pairs that are connected by then are passed over.
+
 So no group emits all its pairs, and no link between different components is lost.  Shingles are compared by
 64-bit hashes.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +34,14 @@ HOT = 64
 #: Counts are taken of shingles whose hash is in the first quarter, which come first in the order.
 COUNTED = 1 << 62
 MINHASHES = 3
+#: Sets that share a min-hash are compared with a leader from this number on; fewer have few pairs anyway.
+LED = 8
 #: Sets compared with one leader in one task, and entries of a block of an index list.
 LEADER_ROWS, LIST_BLOCK = 2048, 256
+#: Lists of so many entries are read together.
+SHORT_LIST = 16
+#: Shingles of a block of sets that are compared with each other, or with another block, in one task: 16 MiB.
+FAMILY_SHINGLES = 1 << 21
 _TOP = np.uint64(1 << 63)
 
 
@@ -188,6 +198,55 @@ def _compare(pairs: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch, na
     return out
 
 
+def _family_links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """Links (u, v) that connect what the pairs (a, b), a written table, connect; ``sizes`` has (c, n) of the classes."""
+    roots = scratch.cut(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "families"), "families")
+    wanted = scratch.cut(roots.select(F.col("u").alias("h")), "family_wanted")
+    needed = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted))
+    own = roots.join(sizes, F.col("u") == F.col("c")).select("c", "root", "n")
+    parts = own.groupBy("root").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("parts"))
+    own = own.join(parts, "root").select("c", "root", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"))
+    own = scratch.cut(own, "family_parts")
+    both = pairs.join(own.select(F.col("c").alias("a"), "root", F.col("part").alias("pa")), "a").join(own.select(F.col("c").alias("b"), F.col("part").alias("pb")), "b")
+    both = scratch.cut(both.select("root", F.least("pa", "pb").alias("i"), F.greatest("pa", "pb").alias("j"), "a", "b"), "family_pairs")
+    use = both.select("root", "i", "j", F.explode(F.array("a", "b")).alias("c")).distinct()
+    loaded = use.join(_class_sets(rows, rule, needed), "c").select("root", "i", "j", F.col("c").alias("a"), F.lit(None).cast("long").alias("b"), "s")
+    asked = both.withColumn("s", F.lit(None).cast("binary"))
+
+    def work(batches):
+        at, sets, up = None, {}, {}
+
+        def top(x):
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        for batch in batches:
+            u, v = [], []
+            cols = [batch.column(c).to_pylist() for c in ("root", "i", "j", "a", "b")]
+            for k, (root, i, j, a, b) in enumerate(zip(*cols, strict=True)):
+                if (root, i, j) != at:
+                    at, sets, up = (root, i, j), {}, {}
+                if b is None:
+                    sets[a] = np.frombuffer(batch.column("s")[k].as_buffer(), dtype=np.uint64).copy()
+                    continue
+                x, y = top(a), top(b)
+                if x == y:
+                    continue
+                one, two = sets[a], sets[b]
+                at_one = np.minimum(np.searchsorted(one, two), len(one) - 1)
+                if int((one[at_one] == two).sum()) >= rule.needed(len(one), len(two)):
+                    up[x] = y
+                    u.append(a)
+                    v.append(b)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    dealt = loaded.unionByName(asked).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", F.col("b").asc_nulls_first())
+    return scratch.cut(dealt.mapInArrow(work, "u long, v long"), "family_links")
+
+
 def _linked(compared: DataFrame, rule: Rule) -> DataFrame:
     return compared.filter(F.lit(100) * F.col("inter") >= F.lit(rule.percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -217,6 +276,21 @@ def list_pairs(n, position, component, key, rule: Rule, blocks_before: list, siz
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
 
 
+def short_list_pairs(t, n, p, q, c, rule: Rule, longest: int) -> np.ndarray:
+    """As ``list_pairs`` of many lists of ``longest`` entries at most, which follow each other."""
+    out = []
+    for d in range(1, longest):
+        i = np.flatnonzero((t[:-d] == t[d:]) & (q[:-d] != q[d:]))
+        if not len(i):
+            if not (t[:-d] == t[d:]).any():
+                break
+            continue
+        j = i + d
+        i, j = (x[(n[i] >= rule.smallest(n[j])) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= rule.needed(n[i], n[j]))] for x in (i, j))
+        out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+
+
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
     def work(batches):
         token, before, held = None, [], None
@@ -227,7 +301,9 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("t", "n", "p", "q", "c")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "n", "p", "c")]
+            q = batch.column("q")
+            cols.insert(3, pa.compute.coalesce(q, batch.column("c")).to_numpy())
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             t = cols[0]
@@ -235,7 +311,13 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             length = np.diff(np.append(edge, len(t)))
             last = edge[-1]
             # Lists of one entry have no pair, unless it goes on a list; the last list may go on in the next batch.
-            full = np.flatnonzero((length[:-1] > 1) | (t[edge[:-1]] == (token if token is not None else -1)))
+            goes_on = t[edge[:-1]] == (token if token is not None else -1)
+            short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT_LIST) & ~np.append(goes_on, True), length))
+            if len(short):
+                found = short_list_pairs(*(c[short] for c in cols), rule, SHORT_LIST)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            full = np.flatnonzero((length[:-1] > SHORT_LIST) | goes_on)
             for at, m in zip(edge[full].tolist(), length[full].tolist(), strict=True):
                 if t[at] != token:
                     token, before = t[at], []
@@ -270,11 +352,12 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     names = ["n", *(f"m{k}" for k in range(MINHASHES)), "prefix"]
     classes = profiles.filter("n > 0").groupBy("c").agg(F.min("k").alias("least"), F.first(F.struct(*names)).alias("x")).select("c", "least", "x.*")
     classes = scratch.cut(classes, "classes")
+    scratch.sweep()
 
     # Leaders: of the classes that share a min-hash, the one with the smallest number.
     stars = []
     for k in range(MINHASHES):
-        heads = classes.groupBy(f"m{k}").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+        heads = classes.groupBy(f"m{k}").agg(F.min("c").alias("a"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LED).drop("size")
         stars.append(classes.select(f"m{k}", F.col("c").alias("b")).join(heads, f"m{k}").filter("a <> b").select("a", "b"))
     pairs = stars[0]
     for s in stars[1:]:
@@ -284,7 +367,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     known = scratch.cut(components(links, scratch, "near"), "near")
 
     postings = classes.select("c", "n", F.posexplode("prefix").alias("p", "t")).join(known, F.col("c") == F.col("u"), "left")
-    postings = postings.select("t", "n", F.col("p").cast("long").alias("p"), F.coalesce("root", "c").alias("q"), "c")
+    postings = postings.select("t", "n", F.col("p").cast("long").alias("p"), F.when(F.col("root") != F.col("c"), F.col("root")).alias("q"), "c")
+    scratch.sweep()
     found = scratch.cut(_candidates(postings, rule).distinct(), "candidates")
 
     # Intersections with a common leader bound that of a pair.
@@ -300,7 +384,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     bounds = scratch.cut(bounds.select("a", "b", (F.col("low") >= need).alias("yes"), (F.col("high") < need).alias("no")), "bounds")
     asked = scratch.cut(found.join(bounds.filter("yes or no"), ["a", "b"], "left_anti"), "asked")
     links = links.unionByName(bounds.filter("yes").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    links = links.unionByName(_linked(_compare(asked, rows, rule, scratch, "second"), rule))
+    scratch.sweep()
+    links = links.unionByName(_family_links(asked, classes.select("c", "n"), rows, rule, scratch))
+    scratch.sweep()
     roots = components(links, scratch, "all")
 
     of = classes.select("c", "least").join(roots, F.col("c") == F.col("u"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
