@@ -212,8 +212,8 @@ def _bloom_places(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
             yield (mix(h + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (2**64 - 1))) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def bloom_of(values: DataFrame) -> np.ndarray:
-    """A filter of the one long column ``h`` of ``values``, a written table."""
+def bloom_of(values: DataFrame, scratch: Scratch, name: str) -> np.ndarray:
+    """A filter of the one long column ``h`` of ``values``, a written table; tasks make parts, which are joined here."""
     count = values.count()
     bits = 1 << max(13, min(BLOOM_BITS.bit_length() - 1, (12 * count).bit_length()))
 
@@ -226,8 +226,10 @@ def bloom_of(values: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in values.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+    parts = scratch.cut(values.coalesce(8).mapInArrow(build, "bits binary"), f"{name}_bits")
+    for row in parts.toLocalIterator():
         out |= np.frombuffer(row["bits"], dtype=np.uint8)
+    scratch.drop(f"{name}_bits")
     return out
 
 

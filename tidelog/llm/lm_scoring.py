@@ -223,12 +223,14 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["s", "bits"])
 
     bits, seen = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8), np.zeros((64, 2))
-    for row in summed.mapInArrow(build, "s int, bits binary").toLocalIterator():  # FILTER_BITS in all
+    for row in scratch.cut(summed.mapInArrow(build, "s int, bits binary"), "filter").toLocalIterator():  # FILTER_BITS in all
         if row["s"] < 0:
             seen += np.frombuffer(row["bits"]).reshape(64, 2)
         else:
             at = row["s"] * SEGMENT_BITS // 8
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    scratch.drop("filter")
+    scratch.sweep()
     small.unpersist()
     novelty = np.where(seen[:, 1] > 0, seen[:, 0] / np.maximum(seen[:, 1], 1), 1.0)
     return Model(bits, segments, unit, head, counts, tokens, kinds, novelty), vocabulary, least

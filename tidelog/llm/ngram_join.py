@@ -116,7 +116,7 @@ def _hot_shingles(rows: DataFrame, rule: Rule, scratch: Scratch) -> np.ndarray:
             yield from flush()
 
     hot = rows.select("t").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT).select("h")
-    return bloom_of(scratch.cut(hot, "hot"))
+    return bloom_of(scratch.cut(hot, "hot"), scratch, "hot")
 
 
 def _profiles(rows: DataFrame, rule: Rule, hot) -> DataFrame:
@@ -169,7 +169,7 @@ def _compare(pairs: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch, na
     Pairs are grouped by a; the set of a is read once for every ``LEADER_ROWS`` partners.
     """
     wanted = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), f"{name}_wanted")
-    needed = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted))
+    needed = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted, scratch, "wanted"))
     sets = scratch.cut(_class_sets(rows, rule, needed), f"{name}_sets")
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
     share = F.ceil(F.col("size") / LEADER_ROWS).cast("int")
@@ -202,7 +202,7 @@ def _family_links(pairs: DataFrame, sizes: DataFrame, rows: DataFrame, rule: Rul
     """Links (u, v) that connect what the pairs (a, b), a written table, connect; ``sizes`` has (c, n) of the classes."""
     roots = scratch.cut(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "families"), "families")
     wanted = scratch.cut(roots.select(F.col("u").alias("h")), "family_wanted")
-    needed = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted))
+    needed = rows.sparkSession.sparkContext.broadcast(bloom_of(wanted, scratch, "wanted"))
     own = roots.join(sizes, F.col("u") == F.col("c")).select("c", "root", "n")
     parts = own.groupBy("root").agg(F.ceil(F.sum("n") / FAMILY_SHINGLES).cast("int").alias("parts"))
     own = own.join(parts, "root").select("c", "root", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"))

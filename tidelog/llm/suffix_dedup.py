@@ -125,7 +125,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) ->
     rows = docs.select(F.col(text).cast("string").alias("t")).filter(F.octet_length("t") >= length)
 
     anchors = _tally(rows, length, lambda r: r[3], 1).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    some = share(bloom_of(scratch.cut(anchors, "anchors")))
+    some = share(bloom_of(scratch.cut(anchors, "anchors"), scratch, "some"))
 
     def named(r):
         keep = in_bloom(some.value, r[3])
@@ -140,8 +140,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(_both(h, x).view(np.int64)), b.column("n")], ["h", "n"])
 
     keys = scratch.cut(runs.join(mixed, "h", "left_semi").mapInArrow(key, "h long, n long"), "keys")
-    compared = share(bloom_of(keys.select("h")))
-    single = share(bloom_of(keys.filter("n = 1").select("h")))
+    compared = share(bloom_of(keys.select("h"), scratch, "compared"))
+    single = share(bloom_of(keys.filter("n = 1").select("h"), scratch, "single"))
 
     def work(batches):
         done: set[int] = set()
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     spans = repeated_spans(docs, scratch, text, length).repartition("m").sortWithinPartitions("m", "lo")
     spans = scratch.cut(spans.mapInArrow(_merge(length), "m long, starts array<int>, ends array<int>"), "spans")
     scratch.drop("found", "runs", "keys", "anchors")
-    marked = share(bloom_of(spans.select(F.col("m").alias("h"))))
+    marked = share(bloom_of(spans.select(F.col("m").alias("h")), scratch, "marked"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
     def pick(batches):
