@@ -124,7 +124,8 @@ def _rows(docs: DataFrame, text: str, keep: list[str], work, schema: str) -> Dat
                 yield from work(batch, np.concatenate(parts))
 
     kept = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    return rows.mapInArrow(run, kept + schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+    out = rows.mapInArrow(run, kept + schema)
+    return out.toDF(*keep, *out.columns[len(keep) :])
 
 
 class Trees:
