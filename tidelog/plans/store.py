@@ -73,7 +73,7 @@ class Store:
         return self._write_batch(batch.select(F.col("user_key").cast("binary").alias("user_key"), F.col("value").cast("binary").alias("value"), F.lit(PUT).cast("byte").alias("kind"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), [f"_o{i}" for i in range(len(order))])
 
     def delete_all(self, keys: DataFrame) -> DataFrame:
-        """Tombstones for the keys that are there; returns (user_key, deleted)."""
+        """Tombstones for the keys that are there; returns (user_key, deleted), readable until the next gc."""
         report = resolve.deletions(self.log(), keys.select(F.col("user_key").cast("binary").alias("user_key")), live=self.state["live_seq"])
         report = self._cut(report, "report")
         self._write_batch(report.filter("deleted").select("user_key", F.lit(None).cast("binary").alias("value"), F.lit(DELETE).cast("byte").alias("kind")), ["user_key"])
@@ -91,7 +91,8 @@ class Store:
         self.flush()
         numbered = merge.number_rows(rows, self.last_seq, order, cut=lambda d: self._cut(d, "batch"))
         segment = self._segment(numbered.select("user_key", F.col("seq").cast("long").alias("seq"), "kind", "value"), 0)
-        self.files.delete("tmp")
+        for name in [n for n in self.files.names("tmp") if n.startswith("batch-")]:
+            self.files.delete(f"tmp/{name}")
         if segment:
             self.last_seq = segment["max_seq"] + 1
             self._commit([segment], [])
