@@ -40,8 +40,8 @@ def _refine(names: np.ndarray, later: int) -> np.ndarray:
 
 
 def bucket_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the strings of length // 2 and of ``length`` bytes at each start that has them."""
-    half = length // 2
+    """Names of the strings of half the length, rounded up, and of ``length`` bytes at each start that has them."""
+    half = -(-length // 2)
     names, size = BYTE_CODE[data], 1
     while size * 2 <= half:
         names, size = _refine(names, size), size * 2
@@ -57,7 +57,7 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         return nothing
     half_names, names = bucket_names(data, length)
     low = (half_names & ~np.uint64(0xFFFFFFFF)) | np.arange(len(half_names), dtype=np.uint64)
-    width, size = length - length // 2 + 1, 1
+    width, size = length // 2 + 1, 1
     while size * 2 <= width:
         low, size = np.minimum(low[:-size], low[size:]), size * 2
     low = np.minimum(low[: len(low) - (width - size)], low[width - size :]) if size < width else low
