@@ -22,8 +22,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Bytes of text that are hashed at once; a single longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Rows of an Arrow batch: whole texts are long, so batches are kept short.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: batches of whole texts end by bytes, those of numbers by rows.
+BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,6 +33,7 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
