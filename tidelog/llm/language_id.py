@@ -72,7 +72,7 @@ def learn(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["l", "f", "n"])
 
     # One row for each language and feature.
-    got = rows.mapInArrow(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(got["l"].unique().tolist())
     table = np.full((len(names), FEATURES), SMOOTH)
     np.add.at(table, (np.searchsorted(names, got["l"].to_numpy(dtype=str)) if names else [], got["f"].to_numpy(dtype=int)), got["n"].to_numpy(dtype=float))

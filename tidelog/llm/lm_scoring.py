@@ -166,14 +166,15 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
         return tokens, np.zeros(len(tokens), dtype=np.int8)
 
     vocabulary = scratch.cut(_counted(rows, words, "h n").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
-    sizes = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("words")).toPandas().sort_values("c", ascending=False)  # a row for each different count
+    sizes = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("words")).toArrow().to_pandas().sort_values("c", ascending=False)  # a row for each different count
     tokens, kinds = int((sizes["c"] * sizes["words"]).sum()), int(sizes["words"].sum())
     fits = sizes[sizes["words"].cumsum() <= HEAD]
     least = int(fits["c"].min()) if len(fits) else 1 << 62
-    top = vocabulary.filter(F.col("c") >= least).toPandas()
-    head = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = vocabulary.filter(F.col("c") >= least).toArrow()
+    head = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(head)
-    head, counts = head[order], top["c"].to_numpy(dtype=np.int64)[order]
+    head, counts = head[order], top["c"].to_numpy().astype(np.int64)[order]
+    del top
 
     unit = max(1, -(-TOKEN_BITS * tokens // FILTER_BITS))
     segments = max(1, min(FILTER_BITS, TOKEN_BITS * tokens) // SEGMENT_BITS)

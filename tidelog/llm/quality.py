@@ -220,9 +220,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([batch.column("x0"), flat], ["x0", "f"])
 
-    sample = _rows(rows, "_t", ["_y"], give, "f array<float>").toPandas()
-    x = np.array(sample["f"].tolist(), dtype=np.float32).reshape(len(sample), len(NAMES))
-    return fit(x, sample["_y"].to_numpy(dtype=float))
+    sample = _rows(rows, "_t", ["_y"], give, "f array<float>").toArrow()
+    x = sample["f"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(sample), len(NAMES))
+    return fit(x, sample["_y"].to_numpy().astype(float))
 
 
 def score_rows(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text") -> DataFrame:
