@@ -202,14 +202,30 @@ def test_index_lists_lose_no_pair():
     n = np.sort(rng.integers(20, 60, 150))
     p = (rng.random(150) * rule.prefix(n)).astype(np.int64)
     q, c = rng.integers(0, 9, 150), np.arange(150)
-    want = {(i, j) for j in range(150) for i in range(j) if q[i] != q[j] and n[i] >= rule.smallest(n[j]) and min(n[i] - p[i], n[j] - p[j]) >= rule.needed(n[i], n[j])}
-    before, got = [], set()
+    want = {(i, j) for j in range(150) for i in range(j) if q[i] != q[j] and n[i] >= rule.smallest(n[j]) and min(p[i], p[j]) + min(n[i] - p[i], n[j] - p[j]) >= rule.needed(n[i], n[j])}
+    before, got = [], []
     for at in range(0, 150, 16):
         s = slice(at, at + 16)
-        got |= set(map(tuple, ngram_join.list_pairs(n[s], p[s], q[s], c[s], rule, before).tolist()))
-    assert got == want
-    t = np.zeros(150, dtype=np.int64)
-    assert set(map(tuple, ngram_join.short_list_pairs(t, n, p, q, c, rule, 150).tolist())) == want
+        got += ngram_join.list_pairs(n[s], p[s], q[s], c[s], rule, before)
+    pairs = lambda found: sorted((int(a), int(b)) for x in found for a, b in zip(x[0], x[1], strict=True))
+    assert pairs(got) == sorted(want) and len(want) > 100
+    assert pairs(ngram_join.short_list_pairs(np.zeros(150, dtype=np.int64), n, p, q, c, rule, 150)) == sorted(want)
+
+
+def test_linked_sets_share_enough_of_their_prefixes():
+    rng, rule = random.Random(4), ngram_join.Rule(4, 85)
+    linked = 0
+    for _ in range(4000):
+        common_part = rng.randrange(1, 60)
+        a = set(range(common_part)) | {1000 + i for i in range(rng.randrange(6))}
+        b = set(range(common_part)) | {2000 + i for i in range(rng.randrange(6))}
+        place = {x: rng.random() for x in a | b}
+        one, two = (sorted(s, key=place.get)[: rule.prefix(len(s))] for s in (a, b))
+        need = rule.needed(len(a), len(b))
+        if len(a & b) >= need:
+            linked += 1
+            assert len(set(one) & set(two)) >= need - rule.smallest(max(len(a), len(b))) + 1
+    assert linked > 500
 
 
 # ---------------------------------------------------------------- 3

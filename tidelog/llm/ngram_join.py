@@ -7,7 +7,8 @@ with it can reach the threshold.  Relations between sets save the rest of the wo
 * equal sets are one class, of which one set is joined;
 * of many classes that share a min-hash each is first compared with one leader, and most links of a group of near
   copies are found there, in linear work;
-* what is asked afterwards is only whether two *components* have a link.  From the sizes of two sets'
+* what is asked afterwards is only whether two *components* have a link, and only of pairs that share enough of
+  their prefixes.  From the sizes of two sets'
   intersections with a common leader follow bounds of their own intersection; a pair whose bounds decide is
   answered without comparing the sets.
 
@@ -251,55 +252,69 @@ def _linked(compared: DataFrame, rule: Rule) -> DataFrame:
     return compared.filter(F.lit(100) * F.col("inter") >= F.lit(rule.percent) * (F.col("na") + F.col("nb") - F.col("inter"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def list_pairs(n, position, component, key, rule: Rule, blocks_before: list, size: int = LIST_BLOCK):
-    """Pairs that one block of an index list forms with itself and the blocks before it.
+def _may_link(ni, nj, pi, pj, rule: Rule):
+    """Whether sets of sizes ni <= nj that share the shingles at these positions can be linked: before them they share
+    no more than the smaller position, from them on no more than the smaller rest."""
+    return (ni >= rule.smallest(nj)) & (np.minimum(pi, pj) + np.minimum(ni - pi, nj - pj) >= rule.needed(ni, nj))
+
+
+def list_pairs(n, position, component, key, rule: Rule, blocks_before: list) -> list[tuple]:
+    """Pairs (key, key, size, size) that one block of an index list forms with itself and the blocks before it.
 
     Lists are sorted by set size.  A block before is left for good when its largest set is too small, and skipped
-    when it can't reach the needed intersection from its first positions or holds but the same component.
+    when its positions and sizes leave no pair within reach or all entries are of one component.
     """
     smallest = rule.smallest(int(n[0]))
     blocks_before[:] = [b for b in blocks_before if b["most"] >= smallest]
-    mine = {"n": n, "p": position, "q": component, "k": key, "most": int(n[-1]), "rest": int((n - position).max()), "lone": component[0] if (component == component[0]).all() else None}
+    mine = {"n": n, "p": position, "q": component, "k": key, "most": int(n[-1]), "far": int(position.max()), "rest": int((n - position).max()), "lone": component[0] if (component == component[0]).all() else None}
     out = []
     for other in [*blocks_before, mine]:
         if mine["lone"] is not None and mine["lone"] == other["lone"]:
             continue
-        if min(mine["rest"], other["rest"]) < rule.needed(int(n[0]), smallest):
+        if min(mine["far"], other["far"]) + min(mine["rest"], other["rest"]) < rule.needed(int(n[0]), max(smallest, int(other["n"][0]))):
             continue
-        ni, nj = other["n"][:, None], n[None, :]
-        ok = (other["q"][:, None] != component[None, :]) & (ni >= rule.smallest(nj)) & (nj >= rule.smallest(ni))
-        ok &= np.minimum(ni - other["p"][:, None], nj - position[None, :]) >= rule.needed(ni, nj)
+        ok = (other["q"][:, None] != component[None, :]) & _may_link(other["n"][:, None], n[None, :], other["p"][:, None], position[None, :], rule)
+        if other is mine:
+            ok = np.triu(ok, 1)
         i, j = np.nonzero(ok)
-        a, b = other["k"][i], key[j]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        out.append((other["k"][i], key[j], other["n"][i], n[j]))
     blocks_before.append(mine)
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+    return out
 
 
-def short_list_pairs(t, n, p, q, c, rule: Rule, longest: int) -> np.ndarray:
+def short_list_pairs(t, n, p, q, c, rule: Rule, longest: int) -> list[tuple]:
     """As ``list_pairs`` of many lists of ``longest`` entries at most, which follow each other."""
     out = []
-    for d in range(1, longest):
-        i = np.flatnonzero((t[:-d] == t[d:]) & (q[:-d] != q[d:]))
-        if not len(i):
-            if not (t[:-d] == t[d:]).any():
-                break
-            continue
-        j = i + d
-        i, j = (x[(n[i] >= rule.smallest(n[j])) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= rule.needed(n[i], n[j]))] for x in (i, j))
-        out.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), dtype=np.int64)
+    for d in range(1, min(longest, len(t))):
+        same = t[:-d] == t[d:]
+        if not same.any():
+            break
+        i = np.flatnonzero(same & (q[:-d] != q[d:]))
+        i = i[_may_link(n[i], n[i + d], p[i], p[i + d], rule)]
+        out.append((c[i], c[i + d], n[i], n[i + d]))
+    return out
+
+
+def _summed(found: list[tuple]) -> pa.RecordBatch:
+    """Pairs in order, with the number of shingles that they were found by."""
+    a, b, na, nb = (np.concatenate(x) for x in zip(*found, strict=True))
+    turn = a > b
+    a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+    order = np.lexsort((b, a))
+    a, b, na, nb = a[order], b[order], na[order], nb[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (a, b, na, nb)), pa.array(np.diff(np.append(at, len(a))))], ["a", "b", "na", "nb", "shared"])
 
 
 def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
-    def work(batches):
-        token, before, held = None, [], None
+    """(a, b) of different components whose prefixes share enough.
 
-        def close(part):
-            found = list_pairs(part[1], part[2], part[3], part[4], rule, before)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    Linked sets share ``needed`` shingles, of which at most so many lie beyond the prefix of either that ``needed``
+    less the bound by which its prefix was cut, and one, lie in both prefixes.
+    """
 
+    def work(batches):
+        token, before, held = None, [], None
         for batch in batches:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "n", "p", "c")]
             q = batch.column("q")
@@ -307,35 +322,43 @@ def _candidates(postings: DataFrame, rule: Rule) -> DataFrame:
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
             t = cols[0]
+            if not len(t):
+                continue
             edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             length = np.diff(np.append(edge, len(t)))
             last = edge[-1]
             # Lists of one entry have no pair, unless it goes on a list; the last list may go on in the next batch.
             goes_on = t[edge[:-1]] == (token if token is not None else -1)
             short = np.flatnonzero(np.repeat((length > 1) & (length <= SHORT_LIST) & ~np.append(goes_on, True), length))
-            if len(short):
-                found = short_list_pairs(*(c[short] for c in cols), rule, SHORT_LIST)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            found = short_list_pairs(*(c[short] for c in cols), rule, SHORT_LIST)
             full = np.flatnonzero((length[:-1] > SHORT_LIST) | goes_on)
             for at, m in zip(edge[full].tolist(), length[full].tolist(), strict=True):
                 if t[at] != token:
                     token, before = t[at], []
                 for i in range(at, at + m, LIST_BLOCK):
-                    yield from close([c[i : min(i + LIST_BLOCK, at + m)] for c in cols])
+                    found += list_pairs(*(c[i : min(i + LIST_BLOCK, at + m)] for c in cols[1:]), rule, before)
+                    if sum(len(x[0]) for x in found) > 500_000:
+                        yield _summed(found)
+                        found = []
             held = [c[last:] for c in cols]
             if t[last] != token:
                 token, before = t[last], []
             while len(held[0]) > LIST_BLOCK:
-                yield from close([c[:LIST_BLOCK] for c in held])
+                found += list_pairs(*(c[:LIST_BLOCK] for c in held[1:]), rule, before)
                 held = [c[LIST_BLOCK:] for c in held]
+            if found:
+                yield _summed(found)
         if held is not None and len(held[0]):
-            if held[0][0] != token:
-                before = []
-            yield from close(held)
+            found = list_pairs(*held[1:], rule, before if held[0][0] == token else [])
+            if found:
+                yield _summed(found)
 
     dealt = postings.repartition("t").sortWithinPartitions("t", "n", "c")
-    return dealt.mapInArrow(work, "a long, b long")
+    pairs = dealt.mapInArrow(work, "a long, b long, na long, nb long, shared long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    percent = F.lit(rule.percent)
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + rule.percent))
+    return pairs.filter(F.col("shared") >= needed - F.ceil(percent * F.greatest("na", "nb") / 100) + 1).select("a", "b")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85) -> DataFrame:
@@ -369,7 +392,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     postings = classes.select("c", "n", F.posexplode("prefix").alias("p", "t")).join(known, F.col("c") == F.col("u"), "left")
     postings = postings.select("t", "n", F.col("p").cast("long").alias("p"), F.when(F.col("root") != F.col("c"), F.col("root")).alias("q"), "c")
     scratch.sweep()
-    found = scratch.cut(_candidates(postings, rule).distinct(), "candidates")
+    found = scratch.cut(_candidates(postings, rule), "candidates")
 
     # Intersections with a common leader bound that of a pair.
     seen = first.select(F.col("a").alias("lead"), F.col("b").alias("c"), "inter", F.col("na").alias("nl"), F.col("nb").alias("n"))
