@@ -11,7 +11,10 @@ Only a few starts go through the sort:
    anchors at equal offsets.  An anchor bucket with one member has no repeated window.
 2. Neighbouring windows of one anchor form a *run*, itself named by the windows at its ends.  Runs that occur twice
    are repeated as a whole; copies, however many, are settled here.
-3. Of the other runs in buckets with several members, single windows are sorted.
+3. The other runs of buckets with several members are cut into *parts* at fixed offsets from the anchor.  What all
+   windows of a part have in common is its *core*; a part with a core of its own has no repeated window, and parts
+   that occur twice are repeated as a whole.
+4. Of the parts that are left single windows are sorted.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import BYTE_CODE, STEP, Scratch, blocks, bloom_of, in_bloom, mix, text_buffer
 
 LENGTH = 400
+#: Windows of a part.
+PART = 16
 
 
 def _refine(names: np.ndarray, later: int) -> np.ndarray:
@@ -39,23 +44,29 @@ def _refine(names: np.ndarray, later: int) -> np.ndarray:
     return out
 
 
-def bucket_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the strings of half the length, rounded up, and of ``length`` bytes at each start that has them."""
+def part_of(length: int) -> int:
+    return max(1, min(PART, length // 2))
+
+
+def bucket_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the strings of half the length, rounded up, of a core's and of ``length`` bytes at each start that has them."""
     half = -(-length // 2)
     names, size = BYTE_CODE[data], 1
     while size * 2 <= half:
         names, size = _refine(names, size), size * 2
     if size < half:
         names, size = _refine(names, half - size), half
-    return names, _refine(names, length - half)
+    core = length - part_of(length) + 1 - half
+    return names, _refine(names, core) if core else names, _refine(names, length - half)
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Text number, first and last start, anchor name and run name of every run, and the windows' names."""
-    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+    """Text number, first and last start, anchor name and run name of every run, then the anchors' places, and the names
+    of cores and windows at every start."""
+    nothing = tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
         return nothing
-    half_names, names = bucket_names(data, length)
+    half_names, cores, names = bucket_names(data, length)
     low = (half_names & ~np.uint64(0xFFFFFFFF)) | np.arange(len(half_names), dtype=np.uint64)
     width, size = length // 2 + 1, 1
     while size * 2 <= width:
@@ -73,7 +84,21 @@ def runs_of(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     at = anchor[lo]
     with np.errstate(over="ignore"):
         name = mix(mix(names[lo] + (at - lo).astype(np.uint64)) + names[hi] * STEP + (hi - lo).astype(np.uint64))
-    return doc[lo], lo, hi, mix(half_names[at]), name, names
+    return doc[lo], lo, hi, mix(half_names[at]), name, at, cores, names
+
+
+def parts_of(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, cores: np.ndarray, names: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Number of the run, first and last start, core name and part name of each part of the runs."""
+    width = part_of(length)
+    first, last = (lo - at) // width, (hi - at) // width
+    count = last - first + 1
+    of = np.repeat(np.arange(len(lo)), count)
+    begin = at[of] + (first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * width
+    a, b = np.maximum(begin, lo[of]), np.minimum(begin + width - 1, hi[of])
+    with np.errstate(over="ignore"):
+        core = mix(cores[begin + width - 1] + (begin - at[of]).astype(np.uint64))
+        name = mix(mix(names[a] + (a - begin).astype(np.uint64)) + names[b] * STEP + (b - a).astype(np.uint64))
+    return of, a, b, core, name
 
 
 def _mark(text: bytes) -> int:
@@ -132,58 +157,80 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) ->
         return np.column_stack([r[3][keep], r[4][keep]])
 
     runs = scratch.cut(_tally(rows, length, named, 2).groupBy("h", "x").agg(F.sum("n").alias("n")), "runs")
-    mixed = runs.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+    def parts(r):
+        _, lo, hi, anchor, run, at, cores, names = r
+        keep = in_bloom(compared.value, _both(anchor, run))
+        _, _, _, core, name = parts_of(lo[keep], hi[keep], at[keep], cores, names, length)
+        return np.column_stack([core, name])
 
     def key(batches):
         for b in batches:
             h, x = (b.column(c).to_numpy().view(np.uint64) for c in "hx")
             yield pa.RecordBatch.from_arrays([pa.array(_both(h, x).view(np.int64)), b.column("n")], ["h", "n"])
 
-    keys = scratch.cut(runs.join(mixed, "h", "left_semi").mapInArrow(key, "h long, n long"), "keys")
+    def keyed(tallied: DataFrame, name: str) -> DataFrame:
+        """(h, n): the names of both levels as one, and their count, where the first has several of the second."""
+        several = tallied.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+        return scratch.cut(tallied.join(several, "h", "left_semi").mapInArrow(key, "h long, n long"), name)
+
+    keys = keyed(runs, "keys")
     compared = share(bloom_of(keys.select("h"), scratch, "compared"))
     single = share(bloom_of(keys.filter("n = 1").select("h"), scratch, "single"))
+    pieces = scratch.cut(_tally(rows, length, parts, 2).groupBy("h", "x").agg(F.sum("n").alias("n")), "pieces")
+    scratch.sweep()
+    torn = share(bloom_of(keyed(pieces, "torn").select("h"), scratch, "torn"))
+    twice = share(bloom_of(pieces.filter("n > 1").select(F.col("x").alias("h")), scratch, "twice"))
 
     def work(batches):
         done: set[int] = set()
-        for data, off, (doc, lo, hi, anchor, run, names) in _blocks(batches, length):
+        for data, off, (doc, lo, hi, anchor, run, at, cores, names) in _blocks(batches, length):
             keep = in_bloom(some.value, anchor)
-            doc, lo, hi, anchor, run = (x[keep] for x in (doc, lo, hi, anchor, run))
-            texts = np.unique(doc)
+            doc, lo, hi, anchor, run, at = (x[keep] for x in (doc, lo, hi, anchor, run, at))
             marks = np.zeros(len(off), dtype=np.int64)
             fresh = np.zeros(len(off), dtype=bool)
-            for d in texts.tolist():
+            for d in np.unique(doc).tolist():
                 marks[d] = _mark(data[off[d] : off[d + 1]].tobytes())
                 fresh[d] = int(marks[d]) not in done
                 done.add(int(marks[d]))
             keep = fresh[doc]
-            doc, lo, hi, anchor, run = (x[keep] for x in (doc, lo, hi, anchor, run))
+            doc, lo, hi, anchor, run, at = (x[keep] for x in (doc, lo, hi, anchor, run, at))
             if not len(doc):
                 continue
-            start = off[:-1][doc]
-            n = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(marks[doc]), pa.array((lo - start).astype(np.int32)), pa.array((hi - start).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), pa.nulls(n, pa.bool_())], _COLUMNS)
+            start = off[:-1]
+
+            def give(d, a, b, h, x, kind, own):
+                for i in range(0, len(d), 100_000):
+                    s = slice(i, i + 100_000)
+                    n = len(d[s])
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[d[s]]), pa.array((a[s] - start[d[s]]).astype(np.int32)), pa.array((b[s] - start[d[s]]).astype(np.int32)), pa.array(h[s].view(np.int64)), pa.nulls(n, pa.int64()) if x is None else pa.array(x[s].view(np.int64)), pa.array(np.full(n, kind, dtype=np.int8)), pa.array(own[s])], _COLUMNS)  # noqa: B023
+
             both = _both(anchor, run)
+            alone = in_bloom(single.value, both)
+            yield from give(doc, lo, hi, anchor, run, 0, np.ones(len(doc), dtype=bool))
             open_ = np.flatnonzero(in_bloom(compared.value, both))
             if not len(open_):
                 continue
-            alone = in_bloom(single.value, both[open_])
-            count = hi[open_] - lo[open_] + 1
-            of = np.repeat(open_, count)
-            at = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            for i in range(0, len(of), 100_000):
-                s = slice(i, i + 100_000)
-                place = pa.array((at[s] - start[of[s]]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(marks[doc[of[s]]]), place, place, pa.array(names[at[s]].view(np.int64)), pa.nulls(len(place), pa.int64()), pa.array(np.repeat(alone, count)[s])], _COLUMNS)
+            of, a, b, core, name = parts_of(lo[open_], hi[open_], at[open_], cores, names, length)
+            of = open_[of]
+            whole = alone[of] & in_bloom(twice.value, name)
+            yield from give(doc[of[whole]], a[whole], b[whole], core[whole], name[whole], 1, np.ones(whole.sum(), dtype=bool))
+            left = in_bloom(torn.value, _both(core, name))
+            of, a, b = of[left], a[left], b[left]
+            count = b - a + 1
+            each = np.repeat(np.arange(len(of)), count)
+            place = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+            yield from give(doc[of[each]], place, place, names[place], None, 2, alone[of[each]])
 
-    found = scratch.cut(rows.mapInArrow(work, "m long, lo int, hi int, h long, x long, own boolean"), "found")
-    whole = found.filter("own is null").join(runs.filter("n > 1").select("h", "x"), ["h", "x"], "left_semi").select("m", "lo", "hi")
-    windows = found.filter("own is not null").select("m", "lo", "hi", "h", "own")
-    twice = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    parts = windows.filter("own").join(twice, "h", "left_semi").select("m", "lo", "hi")
-    return whole.unionByName(parts)
+    found = scratch.cut(rows.mapInArrow(work, "m long, lo int, hi int, h long, x long, kind byte, own boolean"), "found")
+    scratch.sweep()
+    whole = found.filter("kind = 0").join(runs.filter("n > 1").select("h", "x"), ["h", "x"], "left_semi").select("m", "lo", "hi")
+    some_parts = found.filter("kind = 1").join(pieces.filter("n > 1").select("h", "x"), ["h", "x"], "left_semi").select("m", "lo", "hi")
+    windows = found.filter("kind = 2").select("m", "lo", "hi", "h", "own")
+    again = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    return whole.unionByName(some_parts).unionByName(windows.filter("own").join(again, "h", "left_semi").select("m", "lo", "hi"))
 
 
-_COLUMNS = ["m", "lo", "hi", "h", "x", "own"]
+_COLUMNS = ["m", "lo", "hi", "h", "x", "kind", "own"]
 
 
 def _merge(length: int):
@@ -235,7 +282,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     share = docs.sparkSession.sparkContext.broadcast
     spans = repeated_spans(docs, scratch, text, length).repartition("m").sortWithinPartitions("m", "lo")
     spans = scratch.cut(spans.mapInArrow(_merge(length), "m long, starts array<int>, ends array<int>"), "spans")
-    scratch.drop("found", "runs", "keys", "anchors")
+    scratch.drop("found", "runs", "keys", "anchors", "pieces", "torn")
+    scratch.sweep()
     marked = share(bloom_of(spans.select(F.col("m").alias("h")), scratch, "marked"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
