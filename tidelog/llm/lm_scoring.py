@@ -232,7 +232,7 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row["bits"], dtype=np.uint8)
     scratch.drop("filter")
     scratch.sweep()
-    small.unpersist()
+    small.destroy()
     novelty = np.where(seen[:, 1] > 0, seen[:, 0] / np.maximum(seen[:, 1], 1), 1.0)
     return Model(bits, segments, unit, head, counts, tokens, kinds, novelty), vocabulary, least
 
@@ -304,6 +304,10 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
 
     kind = rows.schema["k"].dataType.simpleString()
     found = rows.mapInArrow(work, f"r long, k {kind}, held_out boolean, h long, n_tokens long, m long, base double, lm double")
+    # Written, so that the model needn't stay in executors' memory for as long as the result lives.
+    found = scratch.cut(found, "found")
+    shared.destroy()
+    scratch.sweep()
     rare = vocabulary.filter(F.col("c") < least)
     joined = found.join(rare, "h", "left")
     whole = F.col("n_tokens").isNotNull()
