@@ -125,6 +125,19 @@ def test_lm_scores(docs, texts, monkeypatch, head):
     assert all(r["score"] > r["base_score"] for r in longer)
 
 
+@pytest.mark.parametrize("head", [1 << 20, 5])
+def test_lm_scores_are_those_of_a_broadcast_filter_beyond_its_bound(docs, monkeypatch, head):
+    monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "TOKEN_BITS", 600)
+    monkeypatch.setattr(lm_scoring, "GROUP", 2, raising=False)
+    want = rows(lm_scoring.score_documents(docs))
+    monkeypatch.setattr(lm_scoring, "FILTER_BITS", 1 << 20)
+    got = rows(lm_scoring.score_documents(docs))
+    assert got.keys() == want.keys() and want[0]["train_tokens"] * lm_scoring.TOKEN_BITS > 4 * lm_scoring.FILTER_BITS
+    for i, r in want.items():
+        assert got[i][:-1] == pytest.approx(r[:-1]) and got[i]["score"] == pytest.approx(r["score"], rel=1e-12)
+
+
 def test_lm_filter_reads_counts_back():
     rng = np.random.default_rng(1)
     gram = rng.integers(0, 2**64, 4000, dtype=np.uint64)

@@ -1,10 +1,10 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 The model is an interpolated bigram model.  A gram seen c times is entered into the filter once for each
-level 1 .. 1 + floor(log2(c / m)); a probe asks for level after level until one is missing, and so reads the
-quantised count back.  The filter is broadcast: its size follows the training tokens up to ``FILTER_BITS``.  Beyond that
-the unit m of counts grows: a gram of count c makes at most c / m entries, so the entries of an order stay
-below tokens / m and the bits for each entry below never fall.
+level 1 .. 1 + floor(log2(c)); a probe asks for level after level until one is missing, and so reads the
+quantised count back.  The filter's size follows the training tokens without a bound.  Up to ``FILTER_BITS`` it is
+broadcast.  Beyond that it stays a table of segments: texts are packed into chunks, a chunk's distinct grams go to the
+segments that they lie in, and their levels come back, a byte for each.  Scores don't depend on the form.
 
 The base score needs exact counts.  Words are hashed to 64 bits; the commonest ones, ``HEAD`` at most, are
 broadcast with their counts, and all others are joined by shuffle.  No word outside the head is frequent,
@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch, blocks, crc_mod, mix, text_buffer, word_hashes
 
-#: Largest filter, 128 MiB, and the bits for each training token below that.
+#: Largest filter that is broadcast, 128 MiB, and the bits for each training token.
 FILTER_BITS, TOKEN_BITS = 1 << 30, 6
 #: A segment of the filter is built by one task; a gram's bits lie in one block of it.
 SEGMENT_BITS, BLOCK_BITS, PROBES = 1 << 20, 512, 4
+#: Segments that are probed together where the filter isn't broadcast: 4 MiB.
+GROUP = 32
 #: Most words whose exact counts are broadcast: 16 MiB.
 HEAD = 1 << 20
 #: Hashes of the end of a text, and of what stands before its first word.
@@ -78,11 +80,11 @@ def level_of(count: np.ndarray, unit: int) -> np.ndarray:
     return np.where(count >= unit, 1 + np.floor(np.log2(np.maximum(count, 1) / unit + 1e-12)), 0).astype(np.int64)
 
 
-def probe(bits: np.ndarray, segments: int, gram: np.ndarray) -> np.ndarray:
-    """The level of each gram."""
+def probe(bits: np.ndarray, segments: int, gram: np.ndarray, first: int = 0) -> np.ndarray:
+    """The level of each gram; ``bits`` begin with segment ``first``."""
     level = np.zeros(len(gram), dtype=np.int64)
     segment, block = _place(gram, segments)
-    base, alive = segment * SEGMENT_BITS + block, np.arange(len(gram))
+    base, alive = (segment - first) * SEGMENT_BITS + block, np.arange(len(gram))
     for j in range(1, LEVELS):
         hit = np.ones(len(alive), dtype=bool)
         for bit in _bits(gram[alive], j):
@@ -129,10 +131,10 @@ def _counted(rows: DataFrame, what, columns: str) -> DataFrame:
 
 
 class Model:
-    """What the workers need: filter, head words and sums."""
+    """What the workers need: filter (None where it isn't broadcast), head words and sums."""
 
-    def __init__(self, bits, segments, unit, head, counts, tokens, kinds, novelty):
-        self.bits, self.segments, self.unit = bits, segments, unit
+    def __init__(self, bits, segments, head, counts, tokens, kinds, novelty):
+        self.bits, self.segments = bits, segments
         self.head, self.counts, self.tokens, self.kinds, self.novelty = head, counts, tokens, kinds, novelty
 
     def known(self, word: np.ndarray) -> np.ndarray:
@@ -142,22 +144,43 @@ class Model:
         at = np.minimum(np.searchsorted(self.head, word), len(self.head) - 1)
         return np.where(self.head[at] == word, self.counts[at], -1)
 
+    def level(self, gram: np.ndarray) -> np.ndarray:
+        return probe(self.bits, self.segments, gram)
+
     def count(self, word: np.ndarray) -> np.ndarray:
         """Exact count of a head word, else what the filter holds."""
         exact = self.known(word)
         out = exact.astype(float)
         rest = np.flatnonzero(exact < 0)
-        out[rest] = _MEAN[probe(self.bits, self.segments, unigram(word[rest]))] * self.unit
+        out[rest] = _MEAN[self.level(unigram(word[rest]))]
         return out
 
 
+class Answered(Model):
+    """A model of which the levels of some sorted grams are at hand."""
+
+    def __init__(self, model: Model, grams: np.ndarray, levels: np.ndarray):
+        self.__dict__.update(model.__dict__)
+        self.grams, self.levels = grams, levels
+
+    def level(self, gram: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.grams, gram)]
+
+
+def probed(model: Model, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The distinct grams, sorted, whose levels ``log_probability`` asks for."""
+    both = np.unique(np.concatenate([token, before]))
+    return np.unique(np.concatenate([unigram(both[model.known(both) < 0]), bigram(before, token)]))
+
+
 def _bucket(count: np.ndarray) -> np.ndarray:
     """Contexts of alike counts share their rate of novel continuations; words outside the head are bucket 0."""
     return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) + 1, 62), 0)
 
 
-def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model, DataFrame, int]:
-    """The model, the table (h, c) of all words' counts, and the count from which words are in the head."""
+def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model, DataFrame, int, DataFrame | None]:
+    """The model, the table (h, c) of all words' counts, the count from which words are in the head, and the table
+    (s, bits) of the filter where it is too large for the model."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("t"))
 
@@ -176,9 +199,8 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
     head, counts = head[order], top["c"].to_numpy().astype(np.int64)[order]
     del top
 
-    unit = max(1, -(-TOKEN_BITS * tokens // FILTER_BITS))
-    segments = max(1, min(FILTER_BITS, TOKEN_BITS * tokens) // SEGMENT_BITS)
-    small = spark.sparkContext.broadcast(Model(None, segments, unit, head, counts, tokens, kinds, None))
+    segments = max(1, TOKEN_BITS * tokens // SEGMENT_BITS)
+    small = spark.sparkContext.broadcast(Model(None, segments, head, counts, tokens, kinds, None))
 
     def pairs(data, off):
         token, before, _ = sequences(data, off)
@@ -198,7 +220,7 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column("c"), pa.array(np.full(len(gram), -1), pa.int8())], ["h", "n", "b"])
 
     grams = grams.unionByName(vocabulary.mapInArrow(singles, "h long, n long, b byte"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = _parts(spark, segments)
     summed = grams.mapInArrow(place, "h long, n long, b byte, s int").repartition(parts, "s").groupBy("s", "h").agg(F.sum("n").alias("n"), F.max("b").alias("b"))
 
     def build(batches):
@@ -206,7 +228,7 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
         seen = np.zeros((64, 2))
         for b in batches:
             gram, n, bucket, seg = (b.column(c).to_numpy() for c in ("h", "n", "b", "s"))
-            gram, level = gram.view(np.uint64), level_of(n, unit)
+            gram, level = gram.view(np.uint64), level_of(n, 1)
             pair = bucket >= 0
             np.add.at(seen, bucket[pair], np.stack([np.ones(pair.sum()), n[pair]], axis=1))
             for s in np.unique(seg):
@@ -223,18 +245,85 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
         for s, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["s", "bits"])
 
-    bits, seen = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8), np.zeros((64, 2))
-    for row in scratch.cut(summed.mapInArrow(build, "s int, bits binary"), "filter").toLocalIterator():  # FILTER_BITS in all
+    made = scratch.cut(summed.mapInArrow(build, "s int, bits binary"), "filter")
+    whole = segments * SEGMENT_BITS <= FILTER_BITS
+    bits, seen = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8) if whole else None, np.zeros((64, 2))
+    for row in (made if whole else made.filter("s < 0")).toLocalIterator():  # FILTER_BITS in all
         if row["s"] < 0:
             seen += np.frombuffer(row["bits"]).reshape(64, 2)
         else:
             at = row["s"] * SEGMENT_BITS // 8
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row["bits"], dtype=np.uint8)
-    scratch.drop("filter")
+    if whole:
+        scratch.drop("filter")
     scratch.sweep()
     small.destroy()
     novelty = np.where(seen[:, 1] > 0, seen[:, 0] / np.maximum(seen[:, 1], 1), 1.0)
-    return Model(bits, segments, unit, head, counts, tokens, kinds, novelty), vocabulary, least
+    return Model(bits, segments, head, counts, tokens, kinds, novelty), vocabulary, least, None if whole else made.filter("s >= 0")
+
+
+def _parts(spark, segments: int) -> int:
+    """Partitions by segment: a task's share of the filter doesn't grow with the filter."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-segments // GROUP))
+
+
+def _chunks(rows: DataFrame, kind: str) -> DataFrame:
+    """rows (k, held_out, t) with a block of texts to a row: q, and lists k, held_out and t."""
+
+    def work(batches):
+        q = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            _, off = text_buffer(batch.column("t"))
+            for i, j in blocks(off):
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in ("k", "held_out", "t")]
+                yield pa.RecordBatch.from_arrays([pa.array([q]), *lists], ["q", "k", "held_out", "t"])
+                q += 1
+
+    return rows.mapInArrow(work, f"q long, k array<{kind}>, held_out array<boolean>, t array<string>")
+
+
+def _answers(chunks: DataFrame, shared, segments: int, made: DataFrame) -> DataFrame:
+    """q and ``levels``, the list of (g, bits): levels of the chunk's probed grams of group g of segments, a byte for each.
+
+    A group's segments come before the grams that ask for them, so a task holds the bits of one group at a time.
+    """
+    spark = chunks.sparkSession
+
+    def ask(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                data, off = text_buffer(batch.column("t").slice(r, 1).flatten())
+                token, before, _ = sequences(data, off)
+                gram = probed(shared.value, token, before)
+                group = _place(gram, segments)[0] // GROUP
+                order = np.argsort(group, kind="stable")
+                gram, (own, at) = gram[order], np.unique(group[order], return_index=True)
+                asked = [g.tobytes() for g in np.split(gram, at[1:])]
+                m, q = len(own), batch.column("q")[r].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(m, -1), pa.int32()), pa.array(np.full(m, q), pa.int64()), pa.array(asked, pa.binary())], ["g", "s", "q", "bits"])
+
+    def answer(batches):
+        held, bits = -1, None
+        for batch in batches:
+            out = []
+            for g, s, q, data in zip(*(batch.column(c).to_pylist() for c in ("g", "s", "q", "bits")), strict=True):
+                if g != held:
+                    held, bits = g, np.zeros(GROUP * SEGMENT_BITS // 8, dtype=np.uint8)
+                if s >= 0:
+                    at = (s - g * GROUP) * SEGMENT_BITS // 8
+                    bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(data, dtype=np.uint8)
+                else:
+                    gram = np.frombuffer(data, dtype=np.uint64)
+                    out.append((q, g, probe(bits, segments, gram, g * GROUP).astype(np.int8).tobytes()))
+            if out:
+                q, g, levels = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(g, pa.int32()), pa.array(levels, pa.binary())], ["q", "g", "bits"])
+
+    asked = chunks.select("q", "t").mapInArrow(ask, "g int, s int, q long, bits binary")
+    held = made.select(F.floor(F.col("s") / GROUP).cast("int").alias("g"), "s", F.lit(-1).cast("long").alias("q"), "bits")
+    both = held.unionByName(asked).repartition(_parts(spark, segments), "g").sortWithinPartitions("g", F.col("s") < 0)
+    answers = both.mapInArrow(answer, "q long, g int, bits binary")
+    return answers.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("g", "bits"))).alias("levels"))
 
 
 def log_probability(model: Model, token: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -248,7 +337,7 @@ def log_probability(model: Model, token: np.ndarray, before: np.ndarray) -> np.n
     rate = model.novelty[_bucket(np.where(model.known(both) > 0, count, 0))]
     c, w = of[len(token) :], of[: len(token)]
     low = (count[w] + 1) / (model.tokens + model.kinds + 1)
-    seen = np.minimum(_MEAN[probe(model.bits, model.segments, bigram(before, token))] * model.unit, count[c])
+    seen = np.minimum(_MEAN[model.level(bigram(before, token))], count[c])
     weight = rate[c] * count[c]
     return np.log10(np.where(count[c] > 0, (seen + weight * low) / np.maximum(count[c] + weight, 1e-9), low))
 
@@ -261,51 +350,74 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    trained, vocabulary, least = train(training, scratch, text)
+    trained, vocabulary, least, made = train(training, scratch, text)
     shared = spark.sparkContext.broadcast(trained)
-    tokens, kinds = trained.tokens, trained.kinds
+    tokens, kinds, segments = trained.tokens, trained.kinds, trained.segments
     del trained
     rows = docs.select(F.col(key).alias("k"), held_out.alias("held_out"), F.col(text).cast("string").alias("t"))
 
+    def scored(model, part, data, off, row):
+        """Rows of some texts, and of their words outside the head."""
+        token, before, doc = sequences(data, off)
+        n = len(off) - 1
+        distinct, of = np.unique(token, return_inverse=True)
+        exact = model.known(distinct)[of]
+        head = exact >= 0
+        add = lambda w: np.bincount(doc, weights=w, minlength=n)
+        sums = add(np.where(head, np.log10(np.maximum(exact, 0) + 1), 0))
+        lm = add(log_probability(model, token, before))
+        ids = np.arange(row, row + n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), part.column("k"), part.column("held_out"), pa.array(mix(ids.astype(np.uint64)).view(np.int64)), pa.array(np.bincount(doc, minlength=n)), pa.array(add(head).astype(np.int64)), pa.array(sums), pa.array(lm)],
+            NAMES,
+        )
+        # Words outside the head, once for each text.
+        tail = np.flatnonzero(~head)
+        if not len(tail):
+            return
+        order = tail[np.lexsort((of[tail], doc[tail]))]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (of[order][1:] != of[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(order)))
+        some, m = order[at], len(at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[doc[some]]), pa.nulls(m, part.column("k").type), pa.nulls(m, pa.bool_()), pa.array(token[some].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
+            NAMES,
+        )
+
     def work(batches):
-        model, row = shared.value, TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
             for i, j in blocks(off):
-                token, before, doc = sequences(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                n = j - i
-                distinct, of = np.unique(token, return_inverse=True)
-                exact = model.known(distinct)[of]
-                head = exact >= 0
-                add = lambda w, d=doc: np.bincount(d, weights=w, minlength=n)  # noqa: B023, E731
-                sums = add(np.where(head, np.log10(np.maximum(exact, 0) + 1), 0))
-                lm = add(log_probability(model, token, before))
-                ids = np.arange(row + i, row + j)
-                part = batch.slice(i, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), part.column("k"), part.column("held_out"), pa.array(mix(ids.astype(np.uint64)).view(np.int64)), pa.array(np.bincount(doc, minlength=n)), pa.array(add(head).astype(np.int64)), pa.array(sums), pa.array(lm)],
-                    NAMES,
-                )
-                # Words outside the head, once for each text.
-                tail = np.flatnonzero(~head)
-                if not len(tail):
-                    continue
-                order = tail[np.lexsort((of[tail], doc[tail]))]
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (of[order][1:] != of[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(order)))
-                some, m = order[at], len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc[some]]), pa.nulls(m, part.column("k").type), pa.nulls(m, pa.bool_()), pa.array(token[some].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(times), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                    NAMES,
-                )
+                yield from scored(shared.value, batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], row + i)
             row += batch.num_rows
 
+    def work_answered(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for r in range(batch.num_rows):
+                part = pa.RecordBatch.from_arrays([batch.column(c).slice(r, 1).flatten() for c in ("k", "held_out", "t")], ["k", "held_out", "t"])
+                data, off = text_buffer(part.column("t"))
+                token, before, _ = sequences(data, off)
+                gram = probed(shared.value, token, before)
+                levels = np.empty(len(gram), dtype=np.int64)
+                order = np.argsort(_place(gram, segments)[0] // GROUP, kind="stable")
+                levels[order] = np.frombuffer(b"".join([a["bits"] for a in batch.column("levels")[r].as_py()]), dtype=np.int8)
+                yield from scored(Answered(shared.value, gram, levels), part, data, off, row)
+                row += part.num_rows
+
     kind = rows.schema["k"].dataType.simpleString()
-    found = rows.mapInArrow(work, f"r long, k {kind}, held_out boolean, h long, n_tokens long, m long, base double, lm double")
+    columns = f"r long, k {kind}, held_out boolean, h long, n_tokens long, m long, base double, lm double"
+    if made is None:
+        found = rows.mapInArrow(work, columns)
+    else:
+        chunks = scratch.cut(_chunks(rows, kind), "chunks")
+        found = chunks.join(_answers(chunks, shared, segments, made), "q", "left").mapInArrow(work_answered, columns)
     # Written, so that the model needn't stay in executors' memory for as long as the result lives.
     found = scratch.cut(found, "found")
+    scratch.drop("filter", "chunks")
     shared.destroy()
     scratch.sweep()
     rare = vocabulary.filter(F.col("c") < least)
