@@ -361,6 +361,18 @@ def test_words_are_split_where_the_library_splits():
     assert own.counts(odd) == [len(lib.encode(t, add_special_tokens=False)) for t in odd]
 
 
+def test_special_tokens_are_matched_in_their_own_case():
+    import tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, own = tokenizers.Tokenizer.from_file(path), token_counts.JsonTokenizer(open(path, "rb").read())
+    odd = [f"{before}{t}{after}" for t in ("<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|endoftext|>", "<|startoftext|>") for before in ("", "A", "a b ") for after in ("", "B.", " C", "<|EndOfText|>")]
+    want = [len(lib.encode(t, add_special_tokens=False)) for t in odd]
+    assert own.lowers and own.counts(odd) == want and [own.count(t) for t in odd] == want
+    long = "Word <|EndOfText|> <|endoftext|> other. " * 60
+    assert token_counts.resynchronise(own, long, 300, 60) == len(lib.encode(long, add_special_tokens=False))
+
+
 def test_overlaps_are_widened():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, stats = token_counts.JsonTokenizer(open(path, "rb").read()), {}

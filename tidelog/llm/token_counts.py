@@ -80,6 +80,8 @@ class JsonTokenizer:
         self.by_word = _drops_space(config)
         self.lowers = self.by_word and "Lowercase" in json.dumps(config.get("normalizer"))
         self.by_stop = self.by_word and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _LETTERS_OR_OTHERS
+        added = "|".join(re.escape(t["content"]) for t in config.get("added_tokens", []) if t["content"])
+        self.added = re.compile(added, re.IGNORECASE) if added else None  # matched on the raw text, so case must stay
         self.words = re.compile(r"[^ \t-\r]+")
         self.memo: dict[str, int] = {}
 
@@ -88,6 +90,9 @@ class JsonTokenizer:
         memo, parts = self.memo, []
         for w in words:
             stem = stops = ""
+            if self.added and self.added.search(w):
+                parts.append((w, w, ""))
+                continue
             if self.by_stop and w[-1] in _STOPS:
                 stem = w.rstrip(_STOPS)
                 if stem and stem[-1].isascii() and stem[-1].isalpha():
