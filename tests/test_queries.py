@@ -38,3 +38,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["k", "seq", "value"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["kv_put_merge_all", "kv_sequence_all"])
+def test_whole_customer_table_is_the_batch(spark, duck, name):
+    got = {r["k"] for r in catalog.QUERIES[name](spark, DATA).collect()}
+    assert got >= {r[0] for r in duck.sql("select cast(c_custkey as varchar) from customer").fetchall()}

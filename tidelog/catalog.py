@@ -127,11 +127,22 @@ def kv_delete_batch(spark, sf_dir):
     return resolve.deletions(events_log(spark, sf_dir), asked, key="k")
 
 
-def _batch(spark, sf_dir) -> DataFrame:
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+def _customers(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").cast("string").alias("k"), F.lit(1).alias("kind"), F.col("c_acctbal").alias("value"), "c_custkey")
 
 
+def _batch(spark, sf_dir) -> DataFrame:
+    return _customers(spark, sf_dir).filter("c_custkey % 3 = 0")
+
+
+def _merged(spark, sf_dir, batch: DataFrame) -> DataFrame:
+    log = events_log(spark, sf_dir)
+    base = log.agg(F.max("seq")).first()[0] + 1
+    batch = merge.number_rows(batch, base, "c_custkey").select("k", "seq", "kind", "value")
+    return resolve.visible(merge.append(log, batch), key="k").select("k", "seq", "value")
+
+
 @query(
     """WITH {LOG}, both_ AS (
       SELECT * FROM log UNION ALL
@@ -139,10 +150,18 @@ def _batch(spark, sf_dir) -> DataFrame:
     SELECT k, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM both_) WHERE rn = 1 AND kind = 1"""
 )
 def kv_put_merge(spark, sf_dir):
-    log = events_log(spark, sf_dir)
-    base = log.agg(F.max("seq")).first()[0] + 1
-    batch = merge.number_rows(_batch(spark, sf_dir), base, "c_custkey").select("k", "seq", "kind", "value")
-    return resolve.visible(merge.append(log, batch), key="k").select("k", "seq", "value")
+    return _merged(spark, sf_dir, _batch(spark, sf_dir))
+
+
+@query(
+    """WITH {LOG}, both_ AS (
+      SELECT * FROM log UNION ALL
+      SELECT CAST(c_custkey AS VARCHAR), (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY c_custkey), 1, c_acctbal FROM customer)
+    SELECT k, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM both_) WHERE rn = 1 AND kind = 1"""
+)
+def kv_put_merge_all(spark, sf_dir):
+    """kv_put_merge with every customer in the batch."""
+    return _merged(spark, sf_dir, _customers(spark, sf_dir))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS k, 5000 + row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer WHERE c_custkey % 3 = 0")
@@ -150,6 +169,12 @@ def kv_sequence(spark, sf_dir):
     return merge.number_rows(_batch(spark, sf_dir), 5000, "c_custkey").select("k", "seq")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS k, 5000 + row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer")
+def kv_sequence_all(spark, sf_dir):
+    """kv_sequence over every customer."""
+    return merge.number_rows(_customers(spark, sf_dir), 5000, "c_custkey").select("k", "seq")
+
+
 @query("WITH {LOG} SELECT k, seq, value FROM newest WHERE kind = 1")
 def kv_source_merge(spark, sf_dir):
     log = events_log(spark, sf_dir)
