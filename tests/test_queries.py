@@ -44,3 +44,8 @@ def test_entry(spark):
 def test_whole_customer_table_is_the_batch(spark, duck, name):
     got = {r["k"] for r in catalog.QUERIES[name](spark, DATA).collect()}
     assert got >= {r[0] for r in duck.sql("select cast(c_custkey as varchar) from customer").fetchall()}
+
+
+def test_every_user_is_compared(spark, duck):
+    got = sorted(r["one"] for r in catalog.QUERIES["kv_key_compare_all"](spark, "/root/testdata/sf0.01").collect())
+    assert got == sorted(r[0] for r in duck.sql("select distinct user_id from '/root/testdata/sf0.01/events.parquet'").fetchall())

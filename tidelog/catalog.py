@@ -352,7 +352,25 @@ def kv_be_key(spark, sf_dir):
 def kv_key_compare(spark, sf_dir):
     n = table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
     a, b = n.filter("u < 50").withColumn("other", F.col("u") * 7 % 50), n.select(F.col("u").alias("two"))
-    pairs = a.join(b, F.col("other") == F.col("two")).select(F.col("u").alias("one"), "two")
+    return _compared(a.join(b, F.col("other") == F.col("two")).select(F.col("u").alias("one"), "two"))
+
+
+@query(
+    """WITH n AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS p FROM (SELECT DISTINCT user_id AS u FROM events))
+    SELECT a.u AS one, b.u AS two, CAST(a.u AS VARCHAR) < CAST(b.u AS VARCHAR) AS text_less, a.u < b.u AS number_less
+    FROM n a JOIN n b ON b.p = a.p * 7 % (SELECT count(*) FROM n)"""
+)
+def kv_key_compare_all(spark, sf_dir):
+    """kv_key_compare of every user, each with the one at seven times its place in number order."""
+    n = table(spark, sf_dir, "events").select(F.col("user_id").alias("one")).distinct()
+    users = n.count()
+    placed = merge.number_rows(n, 0, "one", "p")
+    a, b = placed.withColumn("other", F.col("p") * 7 % F.lit(users)), placed.select(F.col("one").alias("two"), F.col("p").alias("q"))
+    return _compared(a.join(b, F.col("other") == F.col("q")).select("one", "two"))
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Adds how (one, two) compare as decimal text and as numbers."""
     text = lambda c: F.col(c).cast("string").cast("binary")
     le = lambda c: keys.le_fixed(F.col(c), 8)
     return pairs.withColumns({"text_less": order.BYTEWISE.less(text("one"), text("two")), "number_less": order.NUMERIC.less(le("one"), le("two"))})
