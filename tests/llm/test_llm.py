@@ -464,6 +464,18 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in untaught} == {"und"}
 
 
+def test_mixtures_hold_languages_that_are_unlikely_alone():
+    # Two languages that share nothing, and six that are a poor blend of both.
+    weight = np.full((8, language_id.FEATURES), 1e-3)
+    weight[0, :50] = weight[1, 50:100] = 1e3
+    weight[2:, :400] = 1e3
+    model = np.log(weight / weight.sum(1, keepdims=True)).astype(np.float32)
+    rng = np.random.default_rng(2)
+    f = np.concatenate([rng.integers(0, 50, 330), rng.integers(50, 100, 270)])
+    pred, share = language_id.mixtures(f, np.zeros(len(f), dtype=np.int64), 1, model)
+    assert pred.tolist() == [0] and abs(share[0] - 0.55) < 0.02
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -1,8 +1,8 @@
 """Language identification by multilingual mixture inference.
 
 A document is taken as a mixture of languages, each with its own distribution of lower-cased byte
-trigrams.  Expectation-maximisation estimates the proportions; languages are then left out one by one,
-the least first, and the set with the best penalised likelihood gives the answer.  All documents of a
+trigrams.  Expectation-maximisation estimates the proportions, first of all languages; they are then left out
+one by one, the least first, and the set with the best penalised likelihood gives the answer.  All documents of a
 batch are solved together.
 """
 
@@ -19,8 +19,6 @@ from tidelog.llm.common import LOWER, blocks, crc_mod, text_buffer
 FEATURE_BITS = 14
 FEATURES = 1 << FEATURE_BITS
 SMOOTH = 0.5
-#: A document's mixture starts from its likeliest languages.
-CANDIDATES = 6
 STEPS = 8
 #: Weight of the penalty, half the free proportions times the log of the trigrams.
 PENALTY = 2.0
@@ -99,7 +97,7 @@ def mixtures(f: np.ndarray, doc: np.ndarray, n: int, model: np.ndarray) -> tuple
     of = np.repeat(np.arange(len(live)), have[live])
     logp = model[:, feat].T  # entries x languages
     alone = np.add.reduceat(logp * count[:, None], start, axis=0)
-    k = min(CANDIDATES, len(model))
+    k = len(model)
     pick = np.argsort(-alone, axis=1, kind="stable")[:, :k]
     logp = np.take_along_axis(logp, pick[of], axis=1)
     top = logp.max(1, keepdims=True)
