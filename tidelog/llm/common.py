@@ -11,7 +11,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Bytes of text that are hashed at once; a single longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Texts of a block, however short.
+BLOCK_TEXTS = 4096
 #: Rows and bytes of an Arrow batch: batches of whole texts end by bytes, those of numbers by rows.
 BATCH_ROWS, BATCH_BYTES = 50_000, 4 << 20
 
@@ -133,23 +135,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def blocks(off: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of whole texts of about ``limit`` bytes."""
+def blocks(off: np.ndarray, limit: int = BLOCK_BYTES, texts: int = BLOCK_TEXTS) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of whole texts of about ``limit`` bytes, and of no more than ``texts`` texts."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
-_POWERS = [np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        with np.errstate(over="ignore"):
-            _POWERS[0] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 4096), STEP, dtype=np.uint64)]), dtype=np.uint64)
-    return _POWERS[0]
+        j = min(j, n, i + texts)
+        yield i, j
+        i = j
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,16 +164,25 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z lower-cased, and the number of the text that it is in."""
+    """A 64-bit hash of each word, A-Z lower-cased, and the number of the text that it is in.
+
+    Each eight bytes of a word are one integer, which is spread together with its place before a word's are added up:
+    no step is linear in the bytes, so patterned words don't meet.
+    """
     start, end, doc = word_spans(data, off)
     if not len(start):
         return np.empty(0, dtype=np.uint64), doc
     size = end - start
     first = np.cumsum(size) - size
-    chars = LOWER[data[~SPACE[data]]]
+    chars = LOWER[data[~SPACE[data]]].astype(np.uint64)
     place = np.arange(len(chars)) - np.repeat(first, size)
+    chars <<= (place & 7).astype(np.uint64) << np.uint64(3)
+    at = np.flatnonzero(place & 7 == 0)
+    eight = np.add.reduceat(chars, at)
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(BYTE_CODE[chars] * powers(int(size.max()))[place], first) + size.astype(np.uint64)), doc
+        eight = mix(eight + ((place[at] >> 3) + 1).astype(np.uint64) * STEP)
+        count = (size + 7) >> 3
+        return mix(np.add.reduceat(eight, np.cumsum(count) - count) + size.astype(np.uint64)), doc
 
 
 def grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +199,51 @@ def grams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return h[same], doc[:m][same]
 
 
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+#: A group that holds one in so many of all rows is joined by broadcast; there are no more such groups than this.
+HEAVY = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str) -> DataFrame:
+    """Left join of rows with their groups, a written table of one row for each (long or binary) key, ``size`` being the group's rows.
+
+    Groups that hold a ``HEAVY``-th of all rows meet their rows by broadcast.  In the join by shuffle those rows carry
+    the hash of ``spread`` in the place of their key, as do rows with a null key, so no task gets a large group.
+    """
+    values = [c for c in groups.columns if c not in keys]
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    heavy = groups.filter(F.col(size) * HEAVY >= F.lit(total)).select(*keys, F.struct(*values).alias("_heavy"))
+    rows = rows.join(F.broadcast(heavy), keys, "left")
+    kind = {f.name: f.dataType for f in groups.schema}
+    for i, c in enumerate(keys):
+        other = F.xxhash64(F.lit(i), spread).cast("string").cast(kind[c]) if i == 0 else F.col(c)
+        rows = rows.withColumn(f"_on{i}", F.when(F.col("_heavy").isNull() & F.col(c).isNotNull(), F.col(c)).otherwise(other))
+    light = groups.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(keys)), F.struct(*values).alias("_light"))
+    out = rows.join(light, [f"_on{i}" for i in range(len(keys))], "left").withColumn("_group", F.coalesce("_heavy", "_light"))
+    return out.drop("_heavy", "_light", *(f"_on{i}" for i in range(len(keys)))).select("*", "_group.*").drop("_group")
+
+
+_MARK = b"tidelog flat bytes"
+
+
+def flat_broadcast(spark: SparkSession, data: np.ndarray):
+    """A broadcast of bytes for ``flat_view``."""
+    return spark.sparkContext.broadcast(_MARK + data.nbytes.to_bytes(8, "little") + data.tobytes())
+
+
+def flat_view(shared) -> np.ndarray:
+    """The bytes of a ``flat_broadcast``.  The workers of a machine map the one file that Spark has put there, where it
+    is found as it was written; elsewhere each has a copy."""
+    path = getattr(shared, "_path", None)
+    if path and os.path.exists(path):
+        with open(path, "rb") as f:
+            head = f.read(128)
+        at = head.find(_MARK)
+        if at >= 0:
+            at += len(_MARK)
+            size = int.from_bytes(head[at : at + 8], "little")
+            if size and at + 8 + size <= os.path.getsize(path):
+                return np.memmap(path, dtype=np.uint8, mode="r", offset=at + 8, shape=(size,))
+    return np.frombuffer(shared.value, dtype=np.uint8)[len(_MARK) + 8 :]
 
 
 # ---------------------------------------------------------------- Bloom filters that only save work
