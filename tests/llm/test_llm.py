@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -85,6 +86,32 @@ def test_words_are_found_as_the_pattern_does(texts):
     assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
 
 
+def test_patterned_words_have_hashes_of_their_own():
+    import pyarrow as pa
+
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    swap = str.maketrans("ab", "ba")
+    some = [f(morse[:n]) for n in (1, 7, 8, 9, 64, 2048, 4096) for f in (lambda x: x, lambda x: x.translate(swap))]
+    some += ["a" * n for n in range(2, 40)] + ["abcdefgh" + "x" * 8, "x" * 8 + "abcdefgh", "\x00", "\x00\x00", "\x00" * 9]
+    data, off = common.text_buffer(pa.array(some))
+    h, doc = common.word_hashes(data, off)
+    assert len(set(h.tolist())) == len(some) == len(h)
+    one, _ = common.word_hashes(*common.text_buffer(pa.array(["MiXed Straße", "x"])))
+    two, _ = common.word_hashes(*common.text_buffer(pa.array(["y mixed", "straße"])))
+    assert one[:2].tolist() == two[1:].tolist()
+
+
+def test_groups_reach_their_rows_by_either_way(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", 4)
+    members = spark.createDataFrame([(i % 7 if i % 3 else 1, i) for i in range(60)] + [(None, 99), (77, 98)], "g long, i long")
+    groups = members.filter("g is not null and g < 50").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("total"))
+    got = {r["i"]: (r["g"], r["n"], r["total"]) for r in common.join_groups(members, groups, ["g"], "n", "i").collect()}
+    want = {r["g"]: (r["n"], r["total"]) for r in groups.collect()}
+    assert len(got) == 62 and all(v[1:] == want.get(v[0], (None, None)) for v in got.values()) and got[98] == (77, None, None)
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     class Context:
         master = "spark://somewhere"
@@ -116,43 +143,101 @@ def check_scores(got, texts, held):
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
 
 
+def brute_lm(texts, held):
+    """The model with exact counts, quantised as the filter does."""
+    seqs = {i: [*words(t), None] for i, t in enumerate(texts)}
+    one, two = collections.Counter(), collections.Counter()
+    for i, ts in seqs.items():
+        if not held(i):
+            one.update(ts)
+            two.update(zip(["<begin>", *ts], ts))
+    mean = lambda c: 0 if not c else 1 if c == 1 else 1.386 * 2 ** (c.bit_length() - 1)
+    n, v = sum(one.values()), len(one)
+    novelty = len(two) / n
+    out = {}
+    for i, ts in seqs.items():
+        total = 0
+        for b, w in zip(["<begin>", *ts], ts):
+            c = mean(one[None if b == "<begin>" else b])
+            low = (mean(one[w]) + 1) / (n + v + 1)
+            total += math.log10((min(mean(two[b, w]), c) + novelty * c * low) / (c + novelty * c) if c else low)
+        out[i] = total
+    return out
+
+
 @pytest.mark.parametrize("head", [1 << 20, 5])
 def test_lm_scores(docs, texts, monkeypatch, head):
     monkeypatch.setattr(lm_scoring, "HEAD", head)
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 2000)
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     got = rows(lm_scoring.score_documents(docs))
-    check_scores(got, texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    check_scores(got, texts, held)
+    want = brute_lm(texts, held)
+    assert all(r["score"] == pytest.approx(want[i], rel=1e-9) for i, r in got.items())
     longer = [r for r in got.values() if not r["held_out"] and r["n_tokens"] > 100]
     assert all(r["score"] > r["base_score"] for r in longer)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_lm_scores_at_the_filters_real_load(spark):
+    common.prepare(spark)
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    table = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    held = lambda i: zlib.crc32(str(ids[i]).encode()) % 7 == 2
+    ids = sorted(table)
+    want = brute_lm([table[i] for i in ids], held)
+    got = rows(lm_scoring.score_documents(docs))
+    off = [abs(got[d]["score"] - want[i]) / abs(want[i]) for i, d in enumerate(ids)]
+    assert max(off) < 0.05 and sum(off) / len(off) < 0.01
+    out = [got[d] for i, d in enumerate(ids) if held(i)]
+    assert sum(r["score"] for r in out) > 0.9 * sum(r["base_score"] for r in out)
+
+
 @pytest.mark.parametrize("head", [1 << 20, 5])
 def test_lm_scores_are_those_of_a_broadcast_filter_beyond_its_bound(docs, monkeypatch, head):
     monkeypatch.setattr(lm_scoring, "HEAD", head)
-    monkeypatch.setattr(lm_scoring, "TOKEN_BITS", 600)
-    monkeypatch.setattr(lm_scoring, "GROUP", 2, raising=False)
+    monkeypatch.setattr(lm_scoring, "ENTRY_BITS", 600)
+    monkeypatch.setattr(lm_scoring, "GROUP", 2)
     want = rows(lm_scoring.score_documents(docs))
     monkeypatch.setattr(lm_scoring, "FILTER_BITS", 1 << 20)
     got = rows(lm_scoring.score_documents(docs))
-    assert got.keys() == want.keys() and want[0]["train_tokens"] * lm_scoring.TOKEN_BITS > 4 * lm_scoring.FILTER_BITS
+    assert got.keys() == want.keys()
     for i, r in want.items():
         assert got[i][:-1] == pytest.approx(r[:-1]) and got[i]["score"] == pytest.approx(r["score"], rel=1e-12)
 
 
-def test_lm_filter_reads_counts_back():
+@pytest.mark.parametrize("load", [9, 40])
+def test_lm_filter_reads_counts_back(load):
     rng = np.random.default_rng(1)
-    gram = rng.integers(0, 2**64, 4000, dtype=np.uint64)
-    count = rng.integers(1, 300, 4000)
-    for unit in (1, 4):
-        bits = np.zeros(lm_scoring.SEGMENT_BITS // 8 * 2, dtype=np.uint8)
-        level = lm_scoring.level_of(count, unit)
-        segment, block = lm_scoring._place(gram, 2)
-        for j in range(1, level.max() + 1):
-            for bit in lm_scoring._bits(gram[level >= j], j):
-                at = (segment * lm_scoring.SEGMENT_BITS + block)[level >= j] + bit
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        got = lm_scoring.probe(bits, 2, gram)
-        assert (got >= level).all() and (got == level).mean() > 0.97
-        assert (lm_scoring.probe(bits, 2, rng.integers(0, 2**64, 4000, dtype=np.uint64)) == 0).mean() > 0.97
+    count = (rng.pareto(1.2, 200_000) + 1).astype(np.int64)
+    gram = rng.integers(0, 2**64, len(count), dtype=np.uint64)
+    level = lm_scoring.level_of(count)
+    assert (level == [int(c).bit_length() for c in count]).all()
+    segments = -(-load * int(level.sum()) // lm_scoring.SEGMENT_BITS)
+    bits = np.zeros(lm_scoring.SEGMENT_BITS // 8 * segments, dtype=np.uint8)
+    segment, block = lm_scoring._place(gram, segments)
+    for j in range(1, level.max() + 1):
+        for bit in lm_scoring._bits(gram[level >= j], j):
+            at = (segment * lm_scoring.SEGMENT_BITS + block)[level >= j] + bit
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    got = lm_scoring.probe(bits, segments, gram)
+    none = lm_scoring.probe(bits, segments, rng.integers(0, 2**64, 100_000, dtype=np.uint64))
+    wrong = 0.035 if load == 9 else 0.001
+    assert (got >= level).all() and (got > level).mean() < wrong and (none > 0).mean() < wrong
+
+
+def test_flat_bytes_are_mapped_by_workers(spark):
+    shared = common.flat_broadcast(spark, np.arange(100_000, dtype=np.uint32).view(np.uint8))
+
+    def look(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            got = common.flat_view(shared)
+            yield pa.RecordBatch.from_arrays([pa.array([int(got.view(np.uint32).sum(dtype=np.int64))]), pa.array([isinstance(got, np.memmap)])], ["n", "mapped"])
+
+    assert {(r["n"], r["mapped"]) for r in spark.range(4).mapInArrow(look, "n long, mapped boolean").collect()} == {(4999950000, True)}
+    assert common.flat_view(common.flat_broadcast(spark, np.zeros(0, dtype=np.uint8))).size == 0
 
 
 def test_lm_without_training_rows_or_documents(spark, docs, nothing):
@@ -190,7 +275,7 @@ def brute_components(texts, n, percent):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(docs, texts, monkeypatch, small):
     if small:  # every bound is met
-        for name, value in {"LED": 2, "LEADER_ROWS": 3, "LIST_BLOCK": 4, "SHORT_LIST": 3, "FAMILY_SHINGLES": 2000, "HOT": 2}.items():
+        for name, value in {"LIST_BLOCK": 4, "SHORT_LIST": 3, "TILE_SHINGLES": 1500, "HOT": 2, "COMBINE": 3, "FINE_LIST": 12, "PILOTS": 2, "ANSWERED": 2}.items():
             monkeypatch.setattr(ngram_join, name, value)
     got = {i: (r["n_shingles"], r["component_id"]) for i, r in rows(ngram_join.join(docs)).items()}
     want = brute_components(texts, 4, 85)
@@ -210,19 +295,80 @@ def test_ngram_join_edges(spark, nothing):
     assert ngram_join.keep_one(odd).count() == 4
 
 
-def test_index_lists_lose_no_pair():
-    rule, rng = ngram_join.Rule(4, 85), np.random.default_rng(2)
-    n = np.sort(rng.integers(20, 60, 150))
-    p = (rng.random(150) * rule.prefix(n)).astype(np.int64)
-    q, c = rng.integers(0, 9, 150), np.arange(150)
-    want = {(i, j) for j in range(150) for i in range(j) if q[i] != q[j] and n[i] >= rule.smallest(n[j]) and min(p[i], p[j]) + min(n[i] - p[i], n[j] - p[j]) >= rule.needed(n[i], n[j])}
-    before, got = [], []
-    for at in range(0, 150, 16):
-        s = slice(at, at + 16)
-        got += ngram_join.list_pairs(n[s], p[s], q[s], c[s], rule, before)
-    pairs = lambda found: sorted((int(a), int(b)) for x in found for a, b in zip(x[0], x[1], strict=True))
-    assert pairs(got) == sorted(want) and len(want) > 100
-    assert pairs(ngram_join.short_list_pairs(np.zeros(150, dtype=np.int64), n, p, q, c, rule, 150)) == sorted(want)
+def lists_of(sets, rule):
+    """The index lists of the sets under one order, each sorted by size."""
+    rows = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        h = np.sort(common.mix(np.array(sorted(s), dtype=np.uint64)) >> np.uint64(1))
+        w = ngram_join.signature(h)
+        for p, t in enumerate(h[: rule.prefix(len(s))].tolist()):
+            rows[t].append((t, len(s), len(s), p, len(s) - p, 1, i, *(int(x) for x in w)))
+    return [ngram_join.Entries({k: np.array([r[j] for r in sorted(some, key=lambda r: r[1])], dtype=np.int64) for j, k in enumerate(ngram_join.Entries.NAMES)}) for some in rows.values()]
+
+
+def near_sets(rng, groups, copies, size=(20, 60), edits=5):
+    sets = []
+    for _ in range(groups):
+        base = {rng.randrange(900) for _ in range(rng.randrange(*size))}
+        sets += [base ^ {rng.randrange(900) for _ in range(rng.randrange(edits))} for _ in range(copies)]
+    return sets
+
+
+@pytest.mark.parametrize("block, fine, short, all_alike", [(8, 999, 1, False), (8, 999, 1, None), (8, 0, 1, None), (4, 12, 5, None), (4, 999, 999, False)])
+def test_index_lists_lose_no_link(monkeypatch, block, fine, short, all_alike):
+    for name, value in {"LIST_BLOCK": block, "FINE_LIST": fine, "SHORT_LIST": short}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    if all_alike is False:
+        monkeypatch.setattr(ngram_join, "alike", lambda a, b: np.zeros(len(a["id"]), dtype=bool))
+    rule, rng = ngram_join.Rule(4, 85), random.Random(block)
+    sets = near_sets(rng, 25, 6)
+    families = ngram_join.Families()
+    for e in lists_of(sets, rule):
+        if len(e) <= rule.short_list:
+            ngram_join.short_lists(e, rule, families)
+        else:
+            lists = ngram_join.LongList(rule, families)
+            for at in range(0, len(e), block):
+                lists.add(e.take(slice(at, at + block)))
+    counted = collections.defaultdict(list)
+    for u, v, nu, nv, pu, pv in (r for m in families.met for r in zip(*(x.tolist() for x in m), strict=True)):
+        counted[min((u, nu, pu), (v, nv, pv))[0], max((u, nu, pu), (v, nv, pv))[0]].append((pu, pv) if u < v else (pv, pu))
+    joined = 0
+    for (u, v), p in counted.items():
+        n, m, s = len(sets[u]), len(sets[v]), len(p)
+        need = rule.needed(n, m)
+        if s >= rule.shared(min(n, m), max(n, m)) and max(x for x, _ in p) - s + 1 <= n - need and max(y for _, y in p) - s + 1 <= m - need:
+            families.join(u, v)
+            joined += 1
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert len(linked) > 100 and all(families.top(i) == families.top(j) for i, j in linked)
+    assert joined < 1.5 * len(linked) and len(families.edges) < len(sets)
+
+
+def test_combined_entries_stand_for_their_sets():
+    rule, rng = ngram_join.Rule(4, 85), random.Random(1)
+    rule.combine = 2
+    sets = near_sets(rng, 1, 40, (50, 51), 2)
+    families = ngram_join.Families()
+    combined = [ngram_join.combine(e, rule, families) for e in lists_of(sets, rule)]
+    assert len({families.top(i) for i in range(40)}) == 1 and not families.met
+    assert min(len(e) for e in combined) == 1 and all(e.c["sets"].sum() <= 40 for e in combined) and max(e.c["sets"].max() for e in combined) > 30
+
+
+@pytest.mark.parametrize("answers", [1, 3, 8])
+def test_derived_intersections_are_those_of_the_sets(answers):
+    rng = random.Random(answers)
+    sets = []
+    for _ in range(5):
+        base = [rng.randrange(1, 10**6) for _ in range(80)]
+        sets += [sorted(set(base[rng.randrange(30) :]) | {rng.randrange(10**6) for _ in range(rng.randrange(9))}) for _ in range(12)]
+    rng.shuffle(sets)
+    tile = ngram_join.Tile([np.array(s, dtype=np.uint64) for s in sets], answers)
+    for i, s in enumerate(sets):
+        got = tile.intersections(i)
+        want = [len(set(s) & set(o)) for o in sets]
+        assert got[np.arange(len(sets)) != i].tolist() == [w for j, w in enumerate(want) if j != i]
+    assert tile.derived > (20 if answers == 8 else 2)
 
 
 def test_linked_sets_share_enough_of_their_prefixes():
