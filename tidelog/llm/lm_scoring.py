@@ -1,10 +1,11 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is an interpolated bigram model.  A gram seen c times is entered into the filter once for each
+The model interpolates word pairs with words, by the rate at which pairs of the corpus are new ones.  A gram seen c times is entered into the filter once for each
 level 1 .. 1 + floor(log2(c)); a probe asks for level after level until one is missing, and so reads the
-quantised count back.  The filter's size follows the training tokens without a bound.  Up to ``FILTER_BITS`` it is
-broadcast.  Beyond that it stays a table of segments: texts are packed into chunks, a chunk's distinct grams go to the
-segments that they lie in, and their levels come back, a byte for each.  Scores don't depend on the form.
+quantised count back.  All counts of the model, of words and of word pairs, are such probes.  The filter has
+``ENTRY_BITS`` for each entry, however many there are.  Up to ``FILTER_BITS`` it is broadcast.  Beyond that it stays a
+table of segments: texts are packed into chunks, a chunk's distinct grams go to the segments that they lie in, and
+their levels come back, a byte for each.  Scores don't depend on the form.
 
 The base score needs exact counts.  Words are hashed to 64 bits; the commonest ones, ``HEAD`` at most, are
 broadcast with their counts, and all others are joined by shuffle.  No word outside the head is frequent,
@@ -19,10 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, blocks, crc_mod, mix, text_buffer, word_hashes
+from tidelog.llm.common import Scratch, blocks, crc_mod, flat_broadcast, flat_view, mix, text_buffer, word_hashes
 
-#: Largest filter that is broadcast, 128 MiB, and the bits for each training token.
-FILTER_BITS, TOKEN_BITS = 1 << 30, 6
+#: Largest filter that is broadcast, 128 MiB, and the bits for each entry.
+FILTER_BITS, ENTRY_BITS = 1 << 30, 9
+#: The number of entries is foretold from word pairs whose hash is 0 modulo this.
+SAMPLE = 256
+#: Bytes of text that are scored, and hashes that are counted, at once.
+SCORE_BYTES, HELD = 1 << 20, 1_000_000
 #: A segment of the filter is built by one task; a gram's bits lie in one block of it.
 SEGMENT_BITS, BLOCK_BITS, PROBES = 1 << 20, 512, 4
 #: Segments that are probed together where the filter isn't broadcast: 4 MiB.
@@ -75,9 +80,9 @@ def _bits(gram: np.ndarray, level: int) -> list[np.ndarray]:
     return [((h >> np.uint64(9 * k)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def level_of(count: np.ndarray, unit: int) -> np.ndarray:
-    """0 below the unit, else 1 + floor(log2(count / unit))."""
-    return np.where(count >= unit, 1 + np.floor(np.log2(np.maximum(count, 1) / unit + 1e-12)), 0).astype(np.int64)
+def level_of(count: np.ndarray) -> np.ndarray:
+    """1 + floor(log2(count)); 0 for 0."""
+    return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1)) + 1e-12), 0).astype(np.int64)
 
 
 def probe(bits: np.ndarray, segments: int, gram: np.ndarray, first: int = 0) -> np.ndarray:
@@ -97,64 +102,51 @@ def probe(bits: np.ndarray, segments: int, gram: np.ndarray, first: int = 0) ->
     return level
 
 
-#: Mean count of a level, in units: counts in [2 ** (j - 1), 2 ** j) are taken to fall off with the square.
+#: Mean count of a level: counts in [2 ** (j - 1), 2 ** j) are taken to fall off with the square.
 _MEAN = np.array([0.0, *[2.0 ** (j - 1) * (1 if j == 1 else 1.386) for j in range(1, LEVELS)]])
 
 
-def _counted(rows: DataFrame, what, columns: str) -> DataFrame:
-    """Counts of hashes, combined within a task for some blocks at a time; ``what`` gives (hash, bucket) of a block."""
+def _counted(rows: DataFrame, what, columns: list[str], schema: str) -> DataFrame:
+    """Counts of hashes, combined within a task for some blocks at a time.  ``what`` gives one or more arrays of hashes
+    of a block; the array's number is the column b if that is asked for, and ``columns`` gives more columns by hash."""
 
     def work(batches):
         held, size = [], 0
 
         def flush():
-            code = np.concatenate([h for h, _ in held])
-            bucket = np.concatenate([b for _, b in held])
-            h, at, n = np.unique(code, return_index=True, return_counts=True)
-            for i in range(0, len(h), 50_000):
-                j = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[j].view(np.int64)), pa.array(n[j], pa.int64()), pa.array(bucket[at[j]], pa.int8())], ["h", "n", "b"])
+            for b, arrays in enumerate(zip(*held, strict=True)):
+                h, n = np.unique(np.concatenate(arrays), return_counts=True)
+                for i in range(0, len(h), 50_000):
+                    j = slice(i, i + 50_000)
+                    cols = {"h": h[j].view(np.int64), "n": n[j], "b": np.full(len(h[j]), b, dtype=np.int8)}
+                    cols |= {k: f(h[j]) for k, f in columns.items()}
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[k]) for k in names], names)
 
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off):
-                h, b = what(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append((h, b))
-                size += len(h)
-                if size > 3_000_000:
+            for i, j in blocks(off, SCORE_BYTES):
+                held.append(what(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+                size += sum(map(len, held[-1]))
+                if size > HELD:
                     yield from flush()
                     held, size = [], 0
         if held:
             yield from flush()
 
-    return rows.mapInArrow(work, "h long, n long, b byte").select(*columns.split())
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return rows.mapInArrow(work, schema)
 
 
 class Model:
-    """What the workers need: filter (None where it isn't broadcast), head words and sums."""
+    """Filter bits (or a broadcast of them; None where they are a table), segments, training tokens, different tokens,
+    and the rate of different pairs."""
 
-    def __init__(self, bits, segments, head, counts, tokens, kinds, novelty):
-        self.bits, self.segments = bits, segments
-        self.head, self.counts, self.tokens, self.kinds, self.novelty = head, counts, tokens, kinds, novelty
-
-    def known(self, word: np.ndarray) -> np.ndarray:
-        """Exact count of a head word, else -1."""
-        if not len(self.head):
-            return np.full(len(word), -1, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.head, word), len(self.head) - 1)
-        return np.where(self.head[at] == word, self.counts[at], -1)
+    def __init__(self, bits, segments: int, tokens: int, kinds: int, novelty: float):
+        self.bits, self.segments, self.tokens, self.kinds, self.novelty = bits, segments, tokens, kinds, novelty
 
     def level(self, gram: np.ndarray) -> np.ndarray:
         return probe(self.bits, self.segments, gram)
 
-    def count(self, word: np.ndarray) -> np.ndarray:
-        """Exact count of a head word, else what the filter holds."""
-        exact = self.known(word)
-        out = exact.astype(float)
-        rest = np.flatnonzero(exact < 0)
-        out[rest] = _MEAN[self.level(unigram(word[rest]))]
-        return out
-
 
 class Answered(Model):
     """A model of which the levels of some sorted grams are at hand."""
@@ -167,70 +159,85 @@ class Answered(Model):
         return self.levels[np.searchsorted(self.grams, gram)]
 
 
-def probed(model: Model, token: np.ndarray, before: np.ndarray) -> np.ndarray:
+class Head:
+    """The commonest words, sorted by hash, and their exact counts."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+
+    def known(self, word: np.ndarray) -> np.ndarray:
+        """Exact count of a head word, else -1."""
+        if not len(self.words):
+            return np.full(len(word), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, self.counts[at], -1)
+
+
+def probed(token: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The distinct grams, sorted, whose levels ``log_probability`` asks for."""
-    both = np.unique(np.concatenate([token, before]))
-    return np.unique(np.concatenate([unigram(both[model.known(both) < 0]), bigram(before, token)]))
+    return np.unique(np.concatenate([unigram(np.unique(np.concatenate([token, before]))), bigram(before, token)]))
+
 
+class Trained:
+    """What training gives: the model, the table ``made`` (s, bits) of the filter where it is too large to be broadcast,
+    the table ``vocabulary`` (h, c) of all words' counts, the head and the count from which words are in it."""
 
-def _bucket(count: np.ndarray) -> np.ndarray:
-    """Contexts of alike counts share their rate of novel continuations; words outside the head are bucket 0."""
-    return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) + 1, 62), 0)
+    def __init__(self, model: Model, made: DataFrame | None, vocabulary: DataFrame, head: Head, least: int):
+        self.model, self.made, self.vocabulary, self.head, self.least = model, made, vocabulary, head, least
 
 
-def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model, DataFrame, int, DataFrame | None]:
-    """The model, the table (h, c) of all words' counts, the count from which words are in the head, and the table
-    (s, bits) of the filter where it is too large for the model."""
+def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> Trained:
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("t"))
 
     def words(data, off):
-        tokens, _, _ = sequences(data, off)
-        return tokens, np.zeros(len(tokens), dtype=np.int8)
-
-    vocabulary = scratch.cut(_counted(rows, words, "h n").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
-    sizes = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("words")).toArrow().to_pandas().sort_values("c", ascending=False)  # a row for each different count
-    tokens, kinds = int((sizes["c"] * sizes["words"]).sum()), int(sizes["words"].sum())
-    fits = sizes[sizes["words"].cumsum() <= HEAD]
-    least = int(fits["c"].min()) if len(fits) else 1 << 62
+        token, before, _ = sequences(data, off)
+        pair = bigram(before, token)
+        return token, pair[pair % np.uint64(SAMPLE) == 0]
+
+    counted = scratch.cut(_counted(rows, words, {}, "h long, n long, b byte").groupBy("b", "h").agg(F.sum("n").alias("c")), "counted")
+    vocabulary = counted.filter("b = 0").select("h", "c")
+    # A row for each power of two: words or pairs, their tokens, and the entries that they need.
+    level = F.floor(F.log2("c"))
+    sizes = [(r["b"], r["level"], r["kinds"], r["tokens"]) for r in counted.groupBy("b", level.alias("level")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("tokens")).collect()]
+    tokens, kinds = (sum(r[i] for r in sizes if r[0] == 0) for i in (3, 2))
+    entries = sum(k * (lev + 1) * (SAMPLE if b else 1) for b, lev, k, _ in sizes)
+    least, held = 1 << 62, 0
+    for _, lev, k, _ in sorted((r for r in sizes if r[0] == 0), key=lambda r: -r[1]):
+        held += k
+        if held > HEAD:
+            break
+        least = 1 << int(lev)
     top = vocabulary.filter(F.col("c") >= least).toArrow()
     head = top["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(head)
-    head, counts = head[order], top["c"].to_numpy().astype(np.int64)[order]
-    del top
+    head = Head(head[order], top["c"].to_numpy().astype(np.int64)[order])
+    del top, order
 
-    segments = max(1, TOKEN_BITS * tokens // SEGMENT_BITS)
-    small = spark.sparkContext.broadcast(Model(None, segments, head, counts, tokens, kinds, None))
+    segments = int(max(1, -(-ENTRY_BITS * entries // SEGMENT_BITS)))
 
     def pairs(data, off):
         token, before, _ = sequences(data, off)
-        distinct, of = np.unique(before, return_inverse=True)
-        return bigram(before, token), _bucket(small.value.known(distinct))[of].astype(np.int8)
-
-    def place(batches):
-        for b in batches:
-            gram = b.column("h").to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_place(gram, segments)[0].astype(np.int32))], ["h", "n", "b", "s"])
+        return (bigram(before, token),)
 
-    grams = _counted(rows, pairs, "h n b")
+    def segment(gram):
+        return _place(gram, segments)[0].astype(np.int32)
 
     def singles(batches):
         for b in batches:
             gram = unigram(b.column("h").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column("c"), pa.array(np.full(len(gram), -1), pa.int8())], ["h", "n", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(segment(gram)), pa.array(gram.view(np.int64)), b.column("c"), pa.array(np.ones(len(gram), dtype=np.int8))], ["s", "h", "n", "b"])
 
-    grams = grams.unionByName(vocabulary.mapInArrow(singles, "h long, n long, b byte"))
-    parts = _parts(spark, segments)
-    summed = grams.mapInArrow(place, "h long, n long, b byte, s int").repartition(parts, "s").groupBy("s", "h").agg(F.sum("n").alias("n"), F.max("b").alias("b"))
+    grams = _counted(rows, pairs, {"s": segment}, "s int, h long, n long, b byte").unionByName(vocabulary.mapInArrow(singles, "s int, h long, n long, b byte"))
+    summed = grams.repartition(_parts(spark, segments), "s").groupBy("s", "h", "b").agg(F.sum("n").alias("n"))
 
     def build(batches):
         made: dict[int, np.ndarray] = {}
-        seen = np.zeros((64, 2))
+        different = 0
         for b in batches:
-            gram, n, bucket, seg = (b.column(c).to_numpy() for c in ("h", "n", "b", "s"))
-            gram, level = gram.view(np.uint64), level_of(n, 1)
-            pair = bucket >= 0
-            np.add.at(seen, bucket[pair], np.stack([np.ones(pair.sum()), n[pair]], axis=1))
+            gram, n, seg = (b.column(c).to_numpy() for c in ("h", "n", "s"))
+            gram, level = gram.view(np.uint64), level_of(n)
+            different += int((b.column("b").to_numpy() == 0).sum())
             for s in np.unique(seg):
                 bits = made.setdefault(int(s), np.zeros(SEGMENT_BITS // 8, dtype=np.uint8))
                 own = np.flatnonzero(seg == s)
@@ -241,25 +248,24 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> tuple[Model,
                     for bit in _bits(g[go], j):
                         at = base[go] + bit
                         np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], ["s", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([different.to_bytes(8, "little")], pa.binary())], ["s", "bits"])
         for s, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["s", "bits"])
 
     made = scratch.cut(summed.mapInArrow(build, "s int, bits binary"), "filter")
     whole = segments * SEGMENT_BITS <= FILTER_BITS
-    bits, seen = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8) if whole else None, np.zeros((64, 2))
+    bits, different = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8) if whole else None, 0
     for row in (made if whole else made.filter("s < 0")).toLocalIterator():  # FILTER_BITS in all
         if row["s"] < 0:
-            seen += np.frombuffer(row["bits"]).reshape(64, 2)
+            different += int.from_bytes(row["bits"], "little")
         else:
             at = row["s"] * SEGMENT_BITS // 8
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row["bits"], dtype=np.uint8)
     if whole:
         scratch.drop("filter")
     scratch.sweep()
-    small.destroy()
-    novelty = np.where(seen[:, 1] > 0, seen[:, 0] / np.maximum(seen[:, 1], 1), 1.0)
-    return Model(bits, segments, head, counts, tokens, kinds, novelty), vocabulary, least, None if whole else made.filter("s >= 0")
+    model = Model(bits, segments, tokens, kinds, different / tokens if tokens else 1.0)
+    return Trained(model, None if whole else made.filter("s >= 0"), vocabulary, head, least)
 
 
 def _parts(spark, segments: int) -> int:
@@ -274,7 +280,7 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
         q = TaskContext.get().partitionId() << 40
         for batch in batches:
             _, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off):
+            for i, j in blocks(off, SCORE_BYTES):
                 lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in ("k", "held_out", "t")]
                 yield pa.RecordBatch.from_arrays([pa.array([q]), *lists], ["q", "k", "held_out", "t"])
                 q += 1
@@ -282,7 +288,7 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(work, f"q long, k array<{kind}>, held_out array<boolean>, t array<string>")
 
 
-def _answers(chunks: DataFrame, shared, segments: int, made: DataFrame) -> DataFrame:
+def _answers(chunks: DataFrame, segments: int, made: DataFrame) -> DataFrame:
     """q and ``levels``, the list of (g, bits): levels of the chunk's probed grams of group g of segments, a byte for each.
 
     A group's segments come before the grams that ask for them, so a task holds the bits of one group at a time.
@@ -294,7 +300,7 @@ def _answers(chunks: DataFrame, shared, segments: int, made: DataFrame) -> DataF
             for r in range(batch.num_rows):
                 data, off = text_buffer(batch.column("t").slice(r, 1).flatten())
                 token, before, _ = sequences(data, off)
-                gram = probed(shared.value, token, before)
+                gram = probed(token, before)
                 group = _place(gram, segments)[0] // GROUP
                 order = np.argsort(group, kind="stable")
                 gram, (own, at) = gram[order], np.unique(group[order], return_index=True)
@@ -331,15 +337,13 @@ def log_probability(model: Model, token: np.ndarray, before: np.ndarray) -> np.n
     if not len(token):
         return np.zeros(0)
     both, of = np.unique(np.concatenate([token, before]), return_inverse=True)
-    count = model.count(both)
+    count = _MEAN[model.level(unigram(both))]
     # What stands before the first word is as frequent as the end of a text.
     count[both == BEGIN] = count[both == END] if (both == END).any() else 0
-    rate = model.novelty[_bucket(np.where(model.known(both) > 0, count, 0))]
-    c, w = of[len(token) :], of[: len(token)]
-    low = (count[w] + 1) / (model.tokens + model.kinds + 1)
-    seen = np.minimum(_MEAN[model.level(bigram(before, token))], count[c])
-    weight = rate[c] * count[c]
-    return np.log10(np.where(count[c] > 0, (seen + weight * low) / np.maximum(count[c] + weight, 1e-9), low))
+    c, w = count[of[len(token) :]], count[of[: len(token)]]
+    low = (w + 1) / (model.tokens + model.kinds + 1)
+    seen = np.minimum(_MEAN[model.level(bigram(before, token))], c)
+    return np.log10(np.where(c > 0, (seen + model.novelty * c * low) / np.maximum(c * (1 + model.novelty), 1e-9), low))
 
 
 def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -350,10 +354,12 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    trained, vocabulary, least, made = train(training, scratch, text)
-    shared = spark.sparkContext.broadcast(trained)
-    tokens, kinds, segments = trained.tokens, trained.kinds, trained.segments
-    del trained
+    trained = train(training, scratch, text)
+    model, made, least, vocabulary = trained.model, trained.made, trained.least, trained.vocabulary
+    tokens, kinds, segments, novelty = model.tokens, model.kinds, model.segments, model.novelty
+    shared = flat_broadcast(spark, model.bits if made is None else np.zeros(0, dtype=np.uint8))
+    shared_head = spark.sparkContext.broadcast(trained.head)  # HEAD words at most
+    del trained, model
     rows = docs.select(F.col(key).alias("k"), held_out.alias("held_out"), F.col(text).cast("string").alias("t"))
 
     def scored(model, part, data, off, row):
@@ -361,7 +367,7 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
         token, before, doc = sequences(data, off)
         n = len(off) - 1
         distinct, of = np.unique(token, return_inverse=True)
-        exact = model.known(distinct)[of]
+        exact = shared_head.value.known(distinct)[of]
         head = exact >= 0
         add = lambda w: np.bincount(doc, weights=w, minlength=n)
         sums = add(np.where(head, np.log10(np.maximum(exact, 0) + 1), 0))
@@ -388,24 +394,26 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
 
     def work(batches):
         row = TaskContext.get().partitionId() << 40
+        model = Model(flat_view(shared), segments, tokens, kinds, novelty)
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off):
-                yield from scored(shared.value, batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], row + i)
+            for i, j in blocks(off, SCORE_BYTES):
+                yield from scored(model, batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], row + i)
             row += batch.num_rows
 
     def work_answered(batches):
         row = TaskContext.get().partitionId() << 40
+        model = Model(None, segments, tokens, kinds, novelty)
         for batch in batches:
             for r in range(batch.num_rows):
                 part = pa.RecordBatch.from_arrays([batch.column(c).slice(r, 1).flatten() for c in ("k", "held_out", "t")], ["k", "held_out", "t"])
                 data, off = text_buffer(part.column("t"))
                 token, before, _ = sequences(data, off)
-                gram = probed(shared.value, token, before)
+                gram = probed(token, before)
                 levels = np.empty(len(gram), dtype=np.int64)
                 order = np.argsort(_place(gram, segments)[0] // GROUP, kind="stable")
                 levels[order] = np.frombuffer(b"".join([a["bits"] for a in batch.column("levels")[r].as_py()]), dtype=np.int8)
-                yield from scored(Answered(shared.value, gram, levels), part, data, off, row)
+                yield from scored(Answered(model, gram, levels), part, data, off, row)
                 row += part.num_rows
 
     kind = rows.schema["k"].dataType.simpleString()
@@ -414,11 +422,12 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
         found = rows.mapInArrow(work, columns)
     else:
         chunks = scratch.cut(_chunks(rows, kind), "chunks")
-        found = chunks.join(_answers(chunks, shared, segments, made), "q", "left").mapInArrow(work_answered, columns)
+        found = chunks.join(_answers(chunks, segments, made), "q", "left").mapInArrow(work_answered, columns)
     # Written, so that the model needn't stay in executors' memory for as long as the result lives.
     found = scratch.cut(found, "found")
     scratch.drop("filter", "chunks")
     shared.destroy()
+    shared_head.destroy()
     scratch.sweep()
     rare = vocabulary.filter(F.col("c") < least)
     joined = found.join(rare, "h", "left")
