@@ -21,6 +21,27 @@ def test_murmur_known_values():
     assert checksum.murmur3_128(b"hello", 0).hex() == "029bbd41b3a7d8cb191dae486a901e5b"
 
 
+def test_many_murmur_hashes_at_once():
+    data = [bytes(range(n % 251)) * (1 + n % 3) for n in range(120)] + [b""]
+    assert [h.tobytes() for h in checksum.murmur3_of(data)] == [checksum.murmur3_128(d) for d in data]
+    assert len(checksum.murmur3_of([])) == 0
+
+
+def test_numbers_have_no_sign(spark):
+    some = [0, 1, 255, 256, 2**63 - 1, 2**63, 2**64 - 1]
+    df = spark.createDataFrame([(n.to_bytes(8, "little"), str(n)) for n in reversed(some)] + [(b"\x05", "5")], "k binary, n string")
+    assert [int(r["n"]) for r in order.NUMERIC.sort(df, "k").collect()] == sorted([*some, 5])
+
+
+def test_random_strings(spark):
+    from tidelog.plans import workload
+
+    one = {r["op"]: bytes(r["key"]) for r in workload.random_keys(spark, 50, 9, 3).collect()}
+    two = {r["op"]: bytes(r["key"]) for r in workload.random_keys(spark, 50, 9, 3).repartition(7).collect()}
+    assert one == two and len(set(one.values())) > 40 and set(b"".join(one.values())) <= set(bytes.fromhex(workload.KEY_BYTES)) and all(len(k) == 9 for k in one.values())
+    assert all(len(r["value"]) == 20 and r["value"].isprintable() for r in workload.random_strings(spark, 20, 20).collect())
+
+
 def test_udf_nulls(spark):
     rows = spark.createDataFrame([(b"123456789",), (None,)], "v binary")
     assert [tuple(r) for r in rows.select(checksum.crc32c("v"), checksum.crc16("v")).collect()] == [(0xE3069283, 0x29B1), (None, None)]

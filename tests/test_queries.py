@@ -33,6 +33,10 @@ def test_query(spark, duck, name):
         assert got[1]
 
 
+def test_no_query_leaves_rows_out_by_a_number():
+    assert not {"kv_put_merge", "kv_sequence", "kv_key_compare"} & set(catalog.QUERIES)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import compaction, resolve
+from tidelog.operators import compaction, merge, resolve
 from tidelog.plans import manifest
 from tidelog.plans.store import Store
 from tidelog.schema import Options, Status, StoreError
@@ -195,6 +195,90 @@ def test_stream_and_source(spark, tmp_path):
     assert resolve.visible(few).count() >= 2
 
 
+def test_numbers_are_dense_in_wide_tables(spark):
+    rows_ = spark.range(1_000_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide"), F.xxhash64("id").alias("h"))
+    out = merge.number_rows(rows_, 7, ["h"])
+    for columns in (["seq"], ["seq", "wide"]):
+        x = out.select(*columns).agg(F.count("seq"), F.count_distinct("seq"), F.min("seq"), F.max("seq")).first()
+        assert tuple(x) == (1_000_000, 1_000_000, 7, 1_000_006)
+
+
+def test_equal_parts_are_ntiles(spark):
+    from pyspark.sql import Window
+
+    for n, parts in ((0, 3), (2, 5), (23, 5), (40, 8)):
+        df = spark.range(n).withColumn("h", F.xxhash64("id"))
+        got = {(r["id"], r["part"]) for r in merge.equal_parts(df, parts, ["h"]).collect()}
+        assert got == {(r["id"], r["p"]) for r in df.withColumn("p", F.ntile(parts).over(Window.orderBy("h"))).collect()}
+
+
+def batch_of(spark, numbers, value=b"v"):
+    return spark.createDataFrame([(key(i), value) for i in numbers], "user_key binary, value binary")
+
+
+def test_readers_keep_their_files_until_gc(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(l0_trigger=3, retain_seconds=3600))
+    for i in range(2):
+        s.put_all(batch_of(spark, range(i, i + 4)))
+    early = s.full_scan()
+    s.put_all(batch_of(spark, [9]))  # compacts
+    assert set(s.level_files()) == {1} and early.count() == 5
+    s.gc()
+    assert early.count() == 5 and s.full_scan().count() == 6
+    s.options.retain_seconds = 0
+    s.gc()
+    assert len([n for n in s.files.names("") if n.startswith("seg-")]) == 1 and s.full_scan().count() == 6 and s.check() == []
+
+
+def test_manifests_are_ordered_by_number(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.state = s.state | {"version": 999_998}
+    for i in range(3):
+        s.put_all(batch_of(spark, [i]))
+    again = Store.open(spark, s.files.root)
+    assert again.state["version"] == 1_000_001 and again.full_scan().count() == 3
+
+
+def test_single_puts_outlive_the_driver(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.put(b"a", b"1")
+    s.flush()
+    s.put(b"a", b"2")
+    s.put(b"b", b"")
+    s.delete(b"a")
+    again = Store.open(spark, s.files.root)  # the first was never closed
+    assert again.last_seq == 4 and again.memory_contains(b"b") and again.memory_size() > 0
+    assert rows(again.full_scan()) == [(b"b", b"")]
+    again.flush()
+    assert not again.files.names("log") and rows(Store.open(spark, s.files.root).full_scan()) == [(b"b", b"")]
+
+
+def test_merges_write_several_segments(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(l0_trigger=2, segment_rows=100))
+    for i in range(2):
+        s.put_all(batch_of(spark, range(i * 50, 300 + i * 50)))
+    made = s.state["segments"]
+    assert len(made) > 3 and {x["level"] for x in made} == {1} and len({x["id"] for x in made}) == len(made)
+    spans = sorted((x["min_key"], x["max_key"]) for x in made)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and s.full_scan().count() == 350 and s.check() == []
+
+
+def test_damage_is_found(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"))
+    s.put_all(batch_of(spark, range(5)))
+    s.state["segments"][0]["check"] ^= 1
+    assert s.check() == [s.state["segments"][0]["path"]]
+
+
+def test_stream_batches_are_committed_with_their_numbers(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"))
+    batch = spark.createDataFrame([(b"k", b"1", 1, False), (b"k", None, 2, True), (b"k", b"3", 3, False), (b"l", b"1", 1, False), (b"l", None, 2, True)], "user_key binary, value binary, at int, deleted boolean")
+    s.write_all(batch, ["at"], ("events", 4))
+    assert rows(s.full_scan()) == [(b"k", b"3")] and Store.open(spark, s.files.root).state["streams"] == {"events": 4}
+    s.write_all(batch.limit(0), ["at"], ("events", 5))
+    assert manifest.load(s.files)["streams"] == {"events": 5}
+
+
 def test_compaction_changes_no_answer(spark):
     rng = random.Random(5)
     log = spark.createDataFrame([(f"k{rng.randrange(9)}", i, rng.randrange(2), str(i)) for i in range(80)], "user_key string, seq long, kind int, value string")

@@ -5,12 +5,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, checksum, keys, order, regression
 from tidelog.operators import compaction, merge, resolve
 from tidelog.plans import workload
+from tidelog.plans.scratch import shared_folder
+from tidelog.plans.store import Store
+from tidelog.schema import Options
+from tidelog.sources import kv
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +50,7 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clustered(log: DataFrame, segments: int = 28) -> DataFrame:
     """Compacted, key-clustered segments: ranges of keys as they stand in the sorted log."""
-    return log.withColumn("segment", F.ntile(segments).over(Window.orderBy("k", F.col("seq").desc())))
+    return merge.equal_parts(log, segments, ["k", F.col("seq").desc()], "segment")
 
 
 def flushed(log: DataFrame) -> DataFrame:
@@ -132,10 +138,6 @@ def _customers(spark, sf_dir) -> DataFrame:
     return c.select(F.col("c_custkey").cast("string").alias("k"), F.lit(1).alias("kind"), F.col("c_acctbal").alias("value"), "c_custkey")
 
 
-def _batch(spark, sf_dir) -> DataFrame:
-    return _customers(spark, sf_dir).filter("c_custkey % 3 = 0")
-
-
 def _merged(spark, sf_dir, batch: DataFrame) -> DataFrame:
     log = events_log(spark, sf_dir)
     base = log.agg(F.max("seq")).first()[0] + 1
@@ -143,16 +145,6 @@ def _merged(spark, sf_dir, batch: DataFrame) -> DataFrame:
     return resolve.visible(merge.append(log, batch), key="k").select("k", "seq", "value")
 
 
-@query(
-    """WITH {LOG}, both_ AS (
-      SELECT * FROM log UNION ALL
-      SELECT CAST(c_custkey AS VARCHAR), (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY c_custkey), 1, c_acctbal FROM customer WHERE c_custkey % 3 = 0)
-    SELECT k, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM both_) WHERE rn = 1 AND kind = 1"""
-)
-def kv_put_merge(spark, sf_dir):
-    return _merged(spark, sf_dir, _batch(spark, sf_dir))
-
-
 @query(
     """WITH {LOG}, both_ AS (
       SELECT * FROM log UNION ALL
@@ -160,18 +152,11 @@ def kv_put_merge(spark, sf_dir):
     SELECT k, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM both_) WHERE rn = 1 AND kind = 1"""
 )
 def kv_put_merge_all(spark, sf_dir):
-    """kv_put_merge with every customer in the batch."""
     return _merged(spark, sf_dir, _customers(spark, sf_dir))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS k, 5000 + row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer WHERE c_custkey % 3 = 0")
-def kv_sequence(spark, sf_dir):
-    return merge.number_rows(_batch(spark, sf_dir), 5000, "c_custkey").select("k", "seq")
-
-
 @query("SELECT CAST(c_custkey AS VARCHAR) AS k, 5000 + row_number() OVER (ORDER BY c_custkey) - 1 AS seq FROM customer")
 def kv_sequence_all(spark, sf_dir):
-    """kv_sequence over every customer."""
     return merge.number_rows(_customers(spark, sf_dir), 5000, "c_custkey").select("k", "seq")
 
 
@@ -344,24 +329,13 @@ def kv_be_key(spark, sf_dir):
     return ranked.select("event_id", F.hex("b").alias("be"), "place")
 
 
-@query(
-    """WITH n AS (SELECT DISTINCT user_id AS u FROM events)
-    SELECT a.u AS one, b.u AS two, CAST(a.u AS VARCHAR) < CAST(b.u AS VARCHAR) AS text_less, a.u < b.u AS number_less
-    FROM n a JOIN n b ON b.u = a.u * 7 % 50 WHERE a.u < 50"""
-)
-def kv_key_compare(spark, sf_dir):
-    n = table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
-    a, b = n.filter("u < 50").withColumn("other", F.col("u") * 7 % 50), n.select(F.col("u").alias("two"))
-    return _compared(a.join(b, F.col("other") == F.col("two")).select(F.col("u").alias("one"), "two"))
-
-
 @query(
     """WITH n AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS p FROM (SELECT DISTINCT user_id AS u FROM events))
     SELECT a.u AS one, b.u AS two, CAST(a.u AS VARCHAR) < CAST(b.u AS VARCHAR) AS text_less, a.u < b.u AS number_less
     FROM n a JOIN n b ON b.p = a.p * 7 % (SELECT count(*) FROM n)"""
 )
 def kv_key_compare_all(spark, sf_dir):
-    """kv_key_compare of every user, each with the one at seven times its place in number order."""
+    """Each user is compared with the one at seven times its place in number order."""
     n = table(spark, sf_dir, "events").select(F.col("user_id").alias("one")).distinct()
     users = n.count()
     placed = merge.number_rows(n, 0, "one", "p")
@@ -421,12 +395,24 @@ def kv_fixed_length(spark, sf_dir):
 )
 def kv_separators(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("k")).distinct()
-    n = n.withColumn("nxt", F.lead("k").over(Window.orderBy("k"))).filter("nxt is not null")
+    placed = merge.number_rows(n, 0, "k", "p")
+    n = placed.join(placed.select(F.col("k").alias("nxt"), (F.col("p") - 1).alias("p")), "p")
     a, b = F.col("k").cast("binary"), F.col("nxt").cast("binary")
     return n.select("k", order.shortest_separator(a, b).cast("string").alias("separator"), order.short_successor(a).cast("string").alias("successor"))
 
 
-@query(None)
+#: Tables of both checksums by their rule, and folds over the bytes of a text.
+_CRC_SQL = """WITH t AS (SELECT
+      list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT)] || [CAST(0 AS BIGINT) FOR i IN range(8)], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS t32,
+      list_transform(range(256), lambda b: list_reduce([CAST(b AS BIGINT) << 8] || [CAST(0 AS BIGINT) FOR i IN range(8)], lambda c, z: CASE WHEN c & 32768 <> 0 THEN xor(c << 1, 4129) & 65535 ELSE (c << 1) & 65535 END)) AS t16),
+    p AS (SELECT DISTINCT props, list_transform(range(strlen(props)), lambda i: CAST('0x' || substr(hex(encode(props)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM events),
+    c AS (SELECT props,
+      xor(list_reduce([4294967295] || bytes, lambda c, b: xor(c >> 8, t32[(xor(c, b) & 255) + 1])), 4294967295) AS crc32c,
+      CAST(list_reduce([65535] || bytes, lambda c, b: xor(t16[xor(c >> 8, b) + 1], c << 8) & 65535) AS INTEGER) AS crc16 FROM p, t)
+    SELECT event_id, crc32c, crc16 FROM events e LEFT JOIN c ON e.props IS NOT DISTINCT FROM c.props"""
+
+
+@query(_CRC_SQL)
 def kv_crc32c(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", checksum.crc32c(F.col("props").cast("binary")).alias("crc32c"), checksum.crc16(F.col("props").cast("binary")).alias("crc16"))
@@ -449,13 +435,101 @@ def kv_bloom_fpr(spark, sf_dir):
 
 @query(None)
 def kv_plr(spark, sf_dir):
-    return regression.piecewise(positions(spark, sf_dir), "segment", "key", "pos")
+    """Lines of each index block of ``BLOCK_ROWS`` rows."""
+    p = positions(spark, sf_dir).withColumn("block", F.shiftleft("segment", 24) + F.floor(F.col("n") / BLOCK_ROWS))
+    return regression.piecewise(p, "block", "key", "pos")
 
 
-@query(None)
+@query(
+    f"""WITH {_POS}, b AS (SELECT *, n // 128 AS block FROM p), f AS (
+      SELECT segment, block, coalesce(regr_slope(pos, key), 0) AS a, coalesce(regr_intercept(pos, key), avg(pos)) AS b, min(pos) AS begin_, max(pos) AS end_ FROM b GROUP BY 1, 2)
+    SELECT p.segment, p.n, true AS held FROM b p JOIN f USING (segment, block)"""
+)
+def kv_learned_lookup(spark, sf_dir):
+    """Whether each entry stands in the window that its block's learned lines give for its key."""
+    p = positions(spark, sf_dir).withColumn("block", F.shiftleft("segment", 24) + F.floor(F.col("n") / BLOCK_ROWS))
+    # Entries of one key have one prediction; their window holds the entries within the lines' tolerance.
+    blocks = p.groupBy("block").agg(F.min("pos").alias("begin"), F.max("pos").alias("end"))
+    windows = regression.search_window(regression.piecewise(p, "block", "key", "pos"), p.select("block", "key").distinct(), blocks, "block", "key")
+    return p.join(windows, ["block", "key"]).select("segment", "n", ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high") + regression.ENTRY_BYTES)).alias("held"))
+
+
+@query(
+    """WITH {LOG}, l AS (SELECT CAST(k AS DOUBLE) AS h, CAST(seq AS DOUBLE) AS l, 40.0 * seq AS v FROM log),
+    s AS (SELECT count(*) AS n, sum(h) AS sh, sum(l) AS sl, sum(v) AS sy, sum(h * h) AS hh, sum(l * l) AS ll, sum(h * l) AS hl, sum(h * v) AS hy, sum(l * v) AS ly FROM l),
+    c AS (SELECT *, hh - sh * sh / n AS chh, ll - sl * sl / n AS cll, hl - sh * sl / n AS chl, hy - sh * sy / n AS chy, ly - sl * sy / n AS cly FROM s)
+    SELECT 1 AS one, n, round((cll * chy - chl * cly) / (chh * cll - chl * chl), 4) + 0.0 AS a, round((chh * cly - chl * chy) / (chh * cll - chl * chl), 4) + 0.0 AS b,
+           CAST(floor(sh / n) AS BIGINT) AS high0, CAST(floor(sl / n) AS BIGINT) AS low0 FROM c"""
+)
 def kv_plane(spark, sf_dir):
     log = events_log(spark, sf_dir).withColumn("pos", F.col("seq") * regression.ENTRY_BYTES)
-    return regression.fit_plane(log.withColumn("high", F.col("k").cast("long")).withColumn("one", F.lit(1)), "one", "high", "seq", "pos")
+    fit = regression.fit_plane(log.withColumn("high", F.col("k").cast("long")).withColumn("one", F.lit(1)), "one", "high", "seq", "pos")
+    return fit.withColumns({"a": F.round("a", 4) + 0.0, "b": F.round("b", 4) + 0.0})
+
+
+_LE = " || ".join(f"substr({{0}}, {2 * i + 1}, 2)" for i in reversed(range(8)))
+
+
+@query(
+    f"""SELECT event_id, {_LE.format('f')} || {_LE.format('o')} AS pointer, event_id // 360 AS file, 40 * event_id AS place
+    FROM (SELECT event_id, lpad(upper(hex(event_id // 360)), 16, '0') AS f, lpad(upper(hex(40 * event_id)), 16, '0') AS o FROM events)"""
+)
+def kv_pointer(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", keys.pointer(F.floor(F.col("event_id") / SEGMENT_ROWS), F.col("event_id") * 40).alias("p"))
+    return e.select("event_id", F.hex("p").alias("pointer"), keys.pointer_file(F.col("p")).alias("file"), keys.pointer_offset(F.col("p")).alias("place"))
+
+
+@query("WITH {LOG} SELECT k, seq, value FROM newest WHERE kind = 1")
+def kv_sorted_runs(spark, sf_dir):
+    """The newest versions by one pass over key-clustered runs: the first row of each key."""
+    runs = merge.sorted_runs(events_log(spark, sf_dir), "k", "seq")
+    before = F.lag("k").over(Window.partitionBy("k").orderBy(F.col("seq").desc()))
+    return runs.withColumn("before", before).filter("before is null and kind = 1").select("k", "seq", "value")
+
+
+def _filled_store(spark, sf_dir) -> Store:
+    """A store of the events' values by user, put in four batches; users whose newest event is an error are deleted."""
+    s = Store.open(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", Options(l0_trigger=3, segment_rows=2000))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").cast("binary").alias("user_key"), F.col("value").cast("string").cast("binary").alias("value"), "event_id", (F.col("event_type") == "error").alias("deleted"))
+    quarter = e.agg(F.max("event_id")).first()[0] // 4 + 1
+    for i in range(4):
+        s.write_all(e.filter((F.col("event_id") >= i * quarter) & (F.col("event_id") < (i + 1) * quarter)), ["event_id"])
+    return s
+
+
+_STORE = "WITH {LOG} SELECT k, CAST(value AS DOUBLE) AS value FROM newest WHERE kind = 1"
+
+
+def _read_back(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_key").cast("string").alias("k"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+@query(_STORE)
+def kv_store_scan(spark, sf_dir):
+    """All visible rows of a store that was written, and compacted on the way, by its own calls."""
+    return _read_back(_filled_store(spark, sf_dir).full_scan())
+
+
+@query(_STORE)
+def kv_store_gc(spark, sf_dir):
+    """As kv_store_scan, read by another opening after gc."""
+    s = _filled_store(spark, sf_dir)
+    s.gc()
+    return _read_back(Store.open(spark, s.files.root, s.options).full_scan())
+
+
+@query(_STORE + " AND k BETWEEN '2' AND '4'")
+def kv_store_range(spark, sf_dir):
+    """A key range by the data source, whose reader leaves files out by the manifest."""
+    s = _filled_store(spark, sf_dir)
+    kv.register(spark)
+    log = spark.read.format("tidelog").option("path", s.files.root).option("low", b"2".hex().upper()).option("high", b"4".hex().upper()).load()
+    return _read_back(resolve.scan(log, b"2", b"4"))
+
+
+@query(None)
+def kv_random_keys(spark, sf_dir):
+    return workload.random_keys(spark, 1000, 12).join(workload.random_strings(spark, 1000, 12), "op").join(workload.uniform_keys(spark, 1000, 100).withColumnRenamed("key", "uniform"), "op")
 
 
 @query(None)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.checksum import murmur3, murmur3_128
+from tidelog.functions.checksum import murmur3, murmur3_128, murmur3_of
 from tidelog.functions.keys import le_number
 
 #: Bytes of a segment's filter.
@@ -49,10 +49,13 @@ def segment_filters(log: DataFrame, segment: str = "segment", key: str = "user_k
     def work(batches):
         made: dict = {}
         for b in batches:
-            for s, k in zip(b.column("s").to_pylist(), b.column("k").to_pylist(), strict=True):
+            held = b.column("s").dictionary_encode()
+            bits = (np.ascontiguousarray(murmur3_of(b.column("k").to_pylist())).view("<u4").reshape(-1, 4) % np.uint32(size * 8)).astype(np.int64)
+            code = held.indices.to_numpy()
+            for i, s in enumerate(held.dictionary.to_pylist()):
                 own = made.setdefault(s, np.zeros(size, dtype=np.uint8))
-                for bit in _probes(k, size * 8, False):
-                    own[bit >> 3] |= 1 << (bit & 7)
+                at = bits[code == i].ravel()
+                np.bitwise_or.at(own, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         for s, own in made.items():
             # Eight bytes of the filter a row, so that joining is an aggregate.
             words = own.view("<i8") if size % 8 == 0 else np.pad(own, (0, -size % 8)).view("<i8")
@@ -64,10 +67,11 @@ def segment_filters(log: DataFrame, segment: str = "segment", key: str = "user_k
 
 
 def probe_filters(filters: DataFrame, keys: DataFrame, segment: str = "segment", key: str = "user_key", size: int = FILTER_BYTES) -> DataFrame:
-    """(segment, key) pairs that may match; the few keys asked for meet all segments' filters."""
-    hashed = keys.select(key, murmur3(F.col(key).cast("binary")).alias("h"))
-    bits = [F.pmod(le_number(F.substring("h", 4 * i + 1, 4), 4).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(size * 8)) for i in range(4)]
-    hashed = hashed.withColumn("bits", F.array(*bits))
-    word = lambda b: F.coalesce(F.try_element_at("words", F.shiftright(b, 6).cast("int")), F.lit(0).cast("long"))
-    hit = F.forall("bits", lambda b: F.getbit(word(b), b.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return filters.join(hashed, hit).select(segment, key)
+    """(segment, key) pairs that may match, a row each: probes meet the filters' words by the words' places."""
+    hashed = keys.select(F.col(key).alias("_k")).distinct().withColumn("_h", murmur3(F.col("_k").cast("binary")))
+    bits = [F.pmod(le_number(F.substring("_h", 4 * i + 1, 4), 4).bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(size * 8)) for i in range(4)]
+    probes = hashed.select("_k", F.explode(F.array_distinct(F.array(*bits))).alias("_bit"), F.size(F.array_distinct(F.array(*bits))).alias("_all"))
+    probes = probes.withColumn("_i", F.shiftright("_bit", 6).cast("int"))
+    words = filters.select(segment, F.explode("words").alias("_i", "_w"))
+    hit = probes.join(words, "_i").filter(F.getbit("_w", F.col("_bit").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return hit.groupBy(segment, "_k").agg(F.count(F.lit(1)).alias("_n"), F.first("_all").alias("_all")).filter("_n = _all").select(segment, F.col("_k").alias(key))

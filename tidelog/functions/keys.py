@@ -28,6 +28,24 @@ def le_fixed128(high: Column, low: Column) -> Column:
     return F.concat(le_fixed(low, 8), le_fixed(high, 8))
 
 
+def turned(data: Column, width: int) -> Column:
+    """The first ``width`` bytes in the opposite order, with zeros for those that are lacking."""
+    return F.unhex(F.lpad(_swap(F.hex(F.substring(data, 1, width)), width), 2 * width, "0"))
+
+
+def pointer(file: Column, offset: Column) -> Column:
+    """Sixteen bytes that name a value: its file's number and its place there, little-endian."""
+    return F.concat(le_fixed(file, 8), le_fixed(offset, 8))
+
+
+def pointer_file(data: Column) -> Column:
+    return F.when(F.octet_length(data) == 16, le_number(data, 8))
+
+
+def pointer_offset(data: Column) -> Column:
+    return F.when(F.octet_length(data) == 16, le_number(F.substring(data, 9, 8), 8))
+
+
 def le_number(data: Column, width: int) -> Column:
     """The number in the first ``width`` bytes; eight bytes are read as signed."""
     return F.conv(_swap(F.hex(F.substring(data, 1, width)), width), 16, -10).cast("long")

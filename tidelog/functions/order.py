@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.keys import le_number
+from tidelog.functions.keys import turned
 
 
 class Comparator:
@@ -62,7 +62,8 @@ def short_successor(key: Column) -> Column:
 
 
 BYTEWISE = Comparator("bytewise", lambda k: [k], shortest_separator, short_successor)
-NUMERIC = Comparator("numeric", lambda k: [le_number(k, 8)], None, short_successor)
+#: Little-endian numbers of up to eight bytes, without a sign: their bytes turned round.
+NUMERIC = Comparator("numeric", lambda k: [turned(k, 8)], None, short_successor)
 USER_KEY = Comparator("user_key", lambda k: [F.substring(k, F.lit(1), F.octet_length(k) - 8)])
 
 

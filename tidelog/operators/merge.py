@@ -5,21 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.plans.scratch import kept
 
-def number_rows(rows: DataFrame, base: int, order, name: str = "seq", cut=None) -> DataFrame:
+
+def number_rows(rows: DataFrame, base: int, order, name: str = "seq", cut=kept) -> DataFrame:
     """Dense numbers from ``base`` in the given order, without one task that sorts everything.
 
-    Rows are range-partitioned and numbered within their partitions; the partitions' counts, a row each, give
-    the offsets.  ``cut`` writes a frame and reads it back, so that counts and rows are of one partitioning.
+    Rows are range-partitioned, sorted and written by ``cut``, so that counts and rows are of one partitioning however
+    often, and with whatever columns, the result is read.  The partitions' counts, a row each, give the offsets.
     """
-    order = [order] if isinstance(order, (str,)) else list(order)
+    order = order if isinstance(order, (list, tuple)) else [order]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    dealt = cut(dealt) if cut else dealt
+    dealt = cut(dealt)
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     offsets = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
     return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_off") + F.col("_at") - F.col("_first") + F.lit(base)).drop("_part", "_at", "_n", "_first", "_off")
 
 
+def equal_parts(rows: DataFrame, parts: int, order, name: str = "part") -> DataFrame:
+    """Numbers from 1 of ``parts`` runs of the order, whose sizes differ by one at most, the larger ones first."""
+    placed = number_rows(rows, 0, order, "_place")
+    size, larger = divmod(placed.count(), parts)
+    head = larger * (size + 1)
+    part = F.when(F.col("_place") < head, F.floor(F.col("_place") / (size + 1))).otherwise(larger + F.floor((F.col("_place") - head) / max(size, 1)))
+    return placed.withColumn(name, (part + 1).cast("int")).drop("_place")
+
+
 def append(log: DataFrame, batch: DataFrame) -> DataFrame:
     return log.unionByName(batch)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidelog.functions import bloom
 from tidelog.operators import compaction, merge, resolve
@@ -14,13 +16,24 @@ from tidelog.schema import DELETE, LOG, MAX_SEQ, PUT, Options, Status, StoreErro
 
 log = logging.getLogger("tidelog")
 
+#: What the manifest says of a segment's rows; the checksum doesn't depend on their order.
+_FACTS = ("rows", "min_key", "max_key", "min_seq", "max_seq", "check")
+
+
+def _facts() -> list:
+    row = F.xxhash64("user_key", "seq", "kind", "value")
+    each = (F.count(F.lit(1)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.min("seq"), F.max("seq"), F.bit_xor(row))
+    return [c.alias(n) for n, c in zip(_FACTS, each, strict=True)]
+
 
 class Store:
     """put, get, delete, scan, expire, compact and gc.
 
     Batches are DataFrames with ``user_key`` and ``value``; single puts and deletes collect in a small driver-side
-    table that reads see as one more source and that is written as a segment when it is full.  Every write gets
-    dense sequence numbers from ``last_seq`` on.  One writer at a time commits; readers keep the manifest they read.
+    table that reads see as one more source and that is written as a segment when it is full.  Each is a small file of
+    the log folder before its call returns, from which the table is filled again when the store is opened.  Every write
+    gets dense sequence numbers from ``last_seq`` on.  One writer at a time commits; readers keep the manifest they read,
+    and the files that it names stay until a gc that comes ``retain_seconds`` later.
     """
 
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
@@ -33,6 +46,14 @@ class Store:
         self.memory: list[tuple] = []
         self.memory_bytes = 0
         self.last_seq = self.state["last_seq"]
+        self._recover()
+
+    def _recover(self) -> None:
+        """Take up single operations that were logged and not flushed."""
+        for name in manifest.states(self.files.names("log")):
+            if manifest.number_of(name) == self.last_seq:
+                key, kind, value = json.loads(self.files.read(f"log/{name}"))
+                self._hold(bytes.fromhex(key), kind, None if value is None else bytes.fromhex(value))
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, options: Options | None = None) -> Store:
@@ -62,15 +83,32 @@ class Store:
     def _remember(self, key: bytes, kind: int, value: bytes | None) -> None:
         if self.last_seq > MAX_SEQ:
             raise StoreError(Status.INVALID_ARGUMENT, "sequence numbers are used up")
+        if self.options.durable:
+            self.files.make("log")
+            if not self.files.write(f"log/{self.last_seq:020d}.json", json.dumps([key.hex(), kind, None if value is None else value.hex()])):
+                raise StoreError(Status.IO_ERROR, "another writer has logged this number")
+        self._hold(key, kind, value)
+        if self.memory_bytes >= self.options.memtable_bytes:
+            self.flush()
+
+    def _hold(self, key: bytes, kind: int, value: bytes | None) -> None:
         self.memory.append((key, self.last_seq, kind, value))
         self.last_seq += 1
         self.memory_bytes += len(key) + len(value or b"") + 17
-        if self.memory_bytes >= self.options.memtable_bytes:
-            self.flush()
 
     def put_all(self, batch: DataFrame, order=("user_key",)) -> int:
         """Append a batch as one segment; rows are numbered in ``order``, a later one of a key winning."""
-        return self._write_batch(batch.select(F.col("user_key").cast("binary").alias("user_key"), F.col("value").cast("binary").alias("value"), F.lit(PUT).cast("byte").alias("kind"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order))), [f"_o{i}" for i in range(len(order))])
+        return self.write_all(batch.withColumn("deleted", F.lit(False)), order)
+
+    def write_all(self, batch: DataFrame, order=("user_key",), stream: tuple[str, int] | None = None) -> int:
+        """As ``put_all``; rows whose column ``deleted`` is true are tombstones, after other rows of equal order.
+
+        ``stream`` names a stream and the number of its batch, which are committed together with the rows.
+        """
+        gone = F.coalesce(F.col("deleted").cast("boolean"), F.lit(False))
+        columns = {"user_key": F.col("user_key").cast("binary"), "value": F.when(~gone, F.col("value").cast("binary")), "kind": F.when(gone, DELETE).otherwise(PUT).cast("byte"), "_gone": gone}
+        columns |= {f"_o{i}": F.col(c) for i, c in enumerate(order)}
+        return self._write_batch(batch.select(*(c.alias(n) for n, c in columns.items())), [*(f"_o{i}" for i in range(len(order))), "_gone"], stream)
 
     def delete_all(self, keys: DataFrame) -> DataFrame:
         """Tombstones for the keys that are there; returns (user_key, deleted), readable until the next gc."""
@@ -84,61 +122,70 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _write_batch(self, rows: DataFrame, order: list[str]) -> int:
+    def _write_batch(self, rows: DataFrame, order: list[str], stream: tuple[str, int] | None = None) -> int:
         n = self.options.fixed_key_length
         if 0 < n < 64:
             rows = rows.withColumn("user_key", F.when(F.octet_length("user_key") == n, F.col("user_key")).otherwise(F.raise_error(F.lit(f"keys have {n} bytes"))))
         self.flush()
         numbered = merge.number_rows(rows, self.last_seq, order, cut=lambda d: self._cut(d, "batch"))
-        segment = self._segment(numbered.select("user_key", F.col("seq").cast("long").alias("seq"), "kind", "value"), 0)
+        made = self._segments(numbered.select("user_key", F.col("seq").cast("long").alias("seq"), "kind", "value"), 0)
         for name in [n for n in self.files.names("tmp") if n.startswith("batch-")]:
             self.files.delete(f"tmp/{name}")
-        if segment:
-            self.last_seq = segment["max_seq"] + 1
-            self._commit([segment], [])
+        if made or stream:
+            self.last_seq = max([self.last_seq, *(s["max_seq"] + 1 for s in made)])
+            self._commit(made, [], stream)
             self._maybe_compact()
-        return segment["rows"] if segment else 0
+        return sum(s["rows"] for s in made)
 
     def flush(self) -> None:
         """Write what single operations have left in memory as a level-0 segment."""
         if not self.memory:
             return
-        rows = self.spark.createDataFrame(self.memory, LOG)
-        segment = self._segment(rows, 0)
+        made = self._segments(self.spark.createDataFrame(self.memory, LOG), 0)
         self.memory, self.memory_bytes = [], 0
-        self._commit([segment], [])
+        self._commit(made, [])
+        for name in manifest.states(self.files.names("log")):
+            if manifest.number_of(name) < self.last_seq:
+                self.files.delete(f"log/{name}")
         self._maybe_compact()
 
-    def _segment(self, rows: DataFrame, level: int) -> dict | None:
-        """Write key-clustered, sorted rows, and return the segment's record; None, and no files, without rows."""
+    def _segments(self, rows: DataFrame, level: int, parts: int = 1) -> list[dict]:
+        """Write key-clustered, sorted rows as segments of ``parts`` key ranges, and return the records of those that
+        have rows; none, and no files, without rows."""
         number = self.state["next_segment"]
-        self.state = self.state | {"next_segment": number + 1}
+        self.state = self.state | {"next_segment": number + parts}
         name = f"seg-{number:06d}"
-        writer = merge.sorted_runs(rows, partitions=self.options.segment_partitions).write.mode("overwrite").option("maxRecordsPerFile", self.options.rows_per_file)
+        rows = merge.sorted_runs(rows, partitions=parts if parts > 1 else self.options.segment_partitions)
+        writer = rows.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).write.mode("overwrite").option("maxRecordsPerFile", self.options.rows_per_file)
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#user_key", "true")
-        writer.parquet(f"{self.files.root}/{name}")
-        made = self.spark.read.schema(LOG).parquet(f"{self.files.root}/{name}")
-        x = made.agg(F.count(F.lit(1)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.min("seq"), F.max("seq"), F.sum(F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16)).first()
-        if not x[0]:
+        writer.partitionBy("part").parquet(f"{self.files.root}/{name}")
+        made = self.spark.read.schema(StructType([*LOG.fields, StructField("part", IntegerType())])).parquet(f"{self.files.root}/{name}")
+        facts = made.groupBy("part").agg(*_facts(), F.sum(F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16).alias("bytes")).orderBy("part").collect()  # a row for each part
+        if not facts:
             self.files.delete(name)
-            return None
-        return dict(zip(("id", "level", "path", "rows", "min_key", "max_key", "min_seq", "max_seq", "bytes"), (number, level, name, x[0], x[1], x[2], x[3], x[4], x[5]), strict=True))
+        return [{"id": number + i, "level": level, "path": f"{name}/part={x['part']}"} | {k: x[k] for k in (*_FACTS, "bytes")} for i, x in enumerate(facts)]
 
-    def _commit(self, added: list[dict], removed: list[int]) -> None:
-        kept = [s for s in self.state["segments"] if s["id"] not in removed]
+    def _commit(self, added: list[dict], removed: list[int], stream: tuple[str, int] | None = None) -> None:
+        segments = [s for s in self.state["segments"] if s["id"] not in removed] + added
+        streams = self.state["streams"] | ({stream[0]: stream[1]} if stream else {})
         pending = min((m[1] for m in self.memory), default=self.last_seq)
-        self.state = manifest.commit(self.files, self.state | {"segments": kept + [a for a in added if a], "last_seq": pending})
+        self.state = manifest.commit(self.files, self.state | {"segments": segments, "last_seq": pending, "streams": streams})
+
+    def _read(self, *segments: dict) -> DataFrame:
+        return self.spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", "true").parquet(*(f"{self.files.root}/{s['path']}" for s in segments))
 
     # ------------------------------------------------------------ reads
 
     def log(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         """All versions; segments whose key range is outside [low, high] are not even listed."""
         a, b = (None if k is None else bytes(k).hex().upper() for k in (low, high))
-        paths = [f"{self.files.root}/{s['path']}" for s in self.state["segments"] if (b is None or s["min_key"] <= b) and (a is None or s["max_key"] >= a)]
-        rows = self.spark.read.schema(LOG).parquet(*paths) if paths else self.spark.createDataFrame([], LOG)
+        some = [s for s in self.state["segments"] if (b is None or s["min_key"] <= b) and (a is None or s["max_key"] >= a)]
+        rows = self._read(*some) if some else self.spark.createDataFrame([], LOG)
         if self.memory:
             rows = rows.unionByName(self.spark.createDataFrame(self.memory, LOG))
+        if low is not None and low == high:
+            return rows.filter(F.col("user_key") == F.lit(bytearray(low)))  # equality asks the files' Bloom filters
         if low is not None:
             rows = rows.filter(F.col("user_key") >= F.lit(bytearray(low)))
         if high is not None:
@@ -189,6 +236,12 @@ class Store:
         """Bytes of all segments' files."""
         return sum(self.files.size(s["path"]) for s in self.state["segments"])
 
+    def memory_size(self) -> int:
+        return self.memory_bytes
+
+    def memory_contains(self, key: bytes) -> bool:
+        return any(m[0] == key for m in self.memory)
+
     def level_files(self) -> dict[int, int]:
         out: dict[int, int] = {}
         for s in self.state["segments"]:
@@ -200,11 +253,10 @@ class Store:
 
     def reset(self) -> None:
         """Drop all rows, files, numbers and the watermark."""
-        old = [s["path"] for s in self.state["segments"]]
         self.memory, self.memory_bytes, self.last_seq = [], 0, 0
         self.state = manifest.commit(self.files, manifest.empty() | {"version": self.state["version"], "next_segment": self.state["next_segment"]})
-        for path in old:
-            self.files.delete(path)
+        self.files.delete("log")
+        self._sweep(0)
 
     def close(self) -> None:
         self.flush()
@@ -234,27 +286,33 @@ class Store:
             level = max(s["level"] for s in segments)
             self._rewrite(segments, level, lambda rows: compaction.collapse(rows, self.state["live_seq"], bottom=True))
         self.files.delete("tmp")
-        live = {s["path"] for s in self.state["segments"]}
-        for name in self.files.names(""):
-            if name.startswith("seg-") and name not in live:
-                self.files.delete(name)
+        self._sweep(self.options.retain_seconds)
         manifest.prune_manifests(self.files)
         return Status.OK
 
+    def _sweep(self, older: float) -> None:
+        """Delete segments that the state doesn't name and that are older than so many seconds."""
+        live = {s["path"] for s in self.state["segments"]}
+        for name in [n for n in self.files.names("") if n.startswith("seg-")]:
+            parts = [f"{name}/{p}" for p in self.files.names(name) if p.startswith("part=")]
+            for part in parts:
+                if part not in live and (not older or self.files.age(part) > older):
+                    self.files.delete(part)
+            if not live.intersection(parts) and not [p for p in self.files.names(name) if p.startswith("part=")]:
+                self.files.delete(name)
+
     def _rewrite(self, inputs: list[dict], level: int, keep) -> None:
-        rows = self.spark.read.schema(LOG).parquet(*(f"{self.files.root}/{s['path']}" for s in inputs))
-        made = self._segment(keep(rows), level)
-        self._commit([made] if made else [], [s["id"] for s in inputs])
-        for s in inputs:
-            self.files.delete(s["path"])
+        """The inputs' rows that ``keep`` leaves, as segments of about ``segment_rows`` rows by key range."""
+        parts = max(1, -(-sum(s["rows"] for s in inputs) // self.options.segment_rows))
+        made = self._segments(keep(self._read(*inputs)), level, parts)
+        self._commit(made, [s["id"] for s in inputs])
 
     def check(self) -> list[str]:
-        """Problems of the stored rows against the manifest, empty if all is well."""
+        """Segments whose rows don't agree with the manifest in number, bounds and checksum."""
         out = []
         for s in self.state["segments"]:
-            made = self.spark.read.schema(LOG).parquet(f"{self.files.root}/{s['path']}")
-            x = made.agg(F.count(F.lit(1)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.min("seq"), F.max("seq")).first()
-            if (x[0], x[1], x[2], x[3], x[4]) != (s["rows"], s["min_key"], s["max_key"], s["min_seq"], s["max_seq"]):
+            x = self._read(s).agg(*_facts()).first()
+            if any(x[k] != s[k] for k in _FACTS):
                 out.append(s["path"])
         return out
 
@@ -262,5 +320,5 @@ class Store:
         """(segment, words): a Bloom filter of each segment's keys."""
         rows = self.spark.createDataFrame([], "user_key binary, segment int")
         for s in self.state["segments"]:
-            rows = rows.unionByName(self.spark.read.schema(LOG).parquet(f"{self.files.root}/{s['path']}").select("user_key", F.lit(s["id"]).alias("segment")))
+            rows = rows.unionByName(self._read(s).select("user_key", F.lit(s["id"]).alias("segment")))
         return bloom.segment_filters(rows, size=size)

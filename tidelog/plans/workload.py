@@ -10,6 +10,26 @@ def uniform_keys(spark: SparkSession, operations: int, keys: int, seed: int = 0)
     return spark.range(operations).select(F.col("id").alias("op"), F.floor(F.rand(seed) * keys).cast("long").alias("key"))
 
 
+#: Bytes of random keys, which meet the edges of byte order.
+KEY_BYTES = "00016162636465fdfeff"
+
+
+def random_keys(spark: SparkSession, rows: int, length: int, seed: int = 0) -> DataFrame:
+    """(op, key): byte strings of KEY_BYTES, a function of the seed and the row."""
+    return spark.range(rows).select(F.col("id").alias("op"), F.unhex(_drawn(KEY_BYTES, 2, length, seed)).alias("key"))
+
+
+def random_strings(spark: SparkSession, rows: int, length: int, seed: int = 0) -> DataFrame:
+    """(op, value): printable ASCII strings, a function of the seed and the row."""
+    return spark.range(rows).select(F.col("id").alias("op"), _drawn("".join(map(chr, range(32, 127))), 1, length, seed).alias("value"))
+
+
+def _drawn(letters: str, width: int, length: int, seed: int):
+    n = len(letters) // width
+    place = lambda i: (F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(n)) * width + 1).cast("int")
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substring(F.lit(letters), place(i), F.lit(width))), "") if length else F.lit("")
+
+
 def zipf_weights(spark: SparkSession, keys: int, exponent: float = 0.99) -> DataFrame:
     """(key, low, high): each key's share of [0, 1), proportional to 1 / rank ** exponent."""
     w = spark.range(1, keys + 1).select((F.col("id") - 1).alias("key"), F.pow(F.col("id"), F.lit(-exponent)).alias("w"))

@@ -46,7 +46,10 @@ class StoreError(Exception):
 class Options:
     """Tunables.  The policy's shape follows the classic leveled layout; sizes are those that suit Parquet on a cluster."""
 
-    def __init__(self, l0_trigger: int = 4, fanout: int = 10, recluster_level: int = 3, fixed_key_length: int = 0, memtable_bytes: int = 4 << 20, rows_per_file: int = 5_000_000, segment_partitions: int = 0, bloom: bool = True):
+    def __init__(self, l0_trigger: int = 4, fanout: int = 10, recluster_level: int = 3, fixed_key_length: int = 0, memtable_bytes: int = 4 << 20, rows_per_file: int = 5_000_000, segment_partitions: int = 0, bloom: bool = True, segment_rows: int = 50_000_000, durable: bool = True, retain_seconds: float = 900):
         self.l0_trigger, self.fanout, self.recluster_level = l0_trigger, fanout, recluster_level
         self.fixed_key_length, self.memtable_bytes = fixed_key_length, memtable_bytes
         self.rows_per_file, self.segment_partitions, self.bloom = rows_per_file, segment_partitions, bloom
+        #: Rows of a segment that a merge writes; whether single operations are on disk before they return; seconds for
+        #: which readers may still use files that no state names any more.
+        self.segment_rows, self.durable, self.retain_seconds = segment_rows, durable, retain_seconds

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidelog.operators import resolve
+from tidelog.plans import manifest
 from tidelog.plans.store import Store
 
 
@@ -40,7 +41,7 @@ class _Reader(DataSourceReader):
         from pyarrow import fs
 
         files, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
-        names = sorted(f.path for f in files.get_file_info(fs.FileSelector(f"{root}/manifest")) if f.path.endswith(".json"))
+        names = manifest.states([f.path for f in files.get_file_info(fs.FileSelector(f"{root}/manifest"))])
         with files.open_input_stream(names[-1]) as stream:
             state = json.loads(stream.read())
         out = []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +11,17 @@ from tidelog.plans.store import Store
 def write_stream(rows: DataFrame, store: Store, checkpoint: str, order=("user_key",), trigger: dict | None = None):
     """Start a query that puts (user_key, value) rows, and deletes keys whose optional column ``deleted`` is true.
 
-    A batch that is delivered again after a failure is skipped: the store remembers the last batch of each stream.
+    Puts and deletes of a batch take effect in ``order``.  The state that names the batch's rows names its number too,
+    so a batch that is delivered again after a failure is skipped, whenever the failure came.
     """
-    name = f"stream/{checkpoint.rstrip('/').rsplit('/', 1)[-1]}"
-
-    def done() -> int:
-        found = [int(n.split(".")[0]) for n in store.files.names(name) if n.endswith(".json")]
-        return max(found, default=-1)
+    name = checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
     def write(batch: DataFrame, number: int) -> None:
-        if number <= done():
+        if number <= store.state["streams"].get(name, -1):
             return
-        gone = batch.filter("deleted") if "deleted" in batch.columns else None
-        puts = batch.filter(~F.coalesce(F.col("deleted"), F.lit(False))) if gone is not None else batch
-        store.put_all(puts, order)
-        if gone is not None:
-            store.delete_all(gone)
-        store.files.make(name)
-        store.files.write(f"{name}/{number:09d}.json", json.dumps({"last_seq": store.last_seq}))
+        if "deleted" not in batch.columns:
+            batch = batch.withColumn("deleted", F.lit(False))
+        store.write_all(batch, order, (name, number))
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
