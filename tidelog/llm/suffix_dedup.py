@@ -3,7 +3,8 @@
 Every start of a text has a bucket for the q-gram there.  Buckets are refined by the buckets of later offsets:
 the bucket of 2 m bytes is named by those of m bytes at the start and m bytes on, and the new names are used again
 at the next step, up to the full length.  Names are 64-bit and the same on all machines, so sorting on them
-brings equal strings together anywhere.
+brings equal strings together anywhere.  Where a name decides on removal it is joined by a second one that is taken
+from the string's bytes alone, so strings are told apart by 128 bits.
 
 Only a few starts go through the sort:
 
@@ -15,6 +16,8 @@ Only a few starts go through the sort:
    windows of a part have in common is its *core*; a part with a core of its own has no repeated window, and parts
    that occur twice are repeated as a whole.
 4. Of the parts that are left single windows are sorted.
+
+Texts are read three times: for the runs, for the parts, and for the spans that are kept.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BYTE_CODE, STEP, Scratch, blocks, bloom_of, in_bloom, mix, text_buffer
+from tidelog.llm.common import BYTE_CODE, STEP, Scratch, blocks, bloom_of, in_bloom, join_groups, mix, text_buffer
 
 LENGTH = 400
 #: Windows of a part.
 PART = 16
+#: Strings whose bytes are named at once.
+NAMED = 16_384
 
 
 def _refine(names: np.ndarray, later: int) -> np.ndarray:
@@ -60,6 +65,29 @@ def bucket_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     return names, _refine(names, core) if core else names, _refine(names, length - half)
 
 
+def content_names(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Names of the ``length`` bytes at each place, from nothing but these bytes."""
+    windows, out = np.lib.stride_tricks.sliding_window_view(data, length), []
+    wide = -(-length // 8) * 8
+    with np.errstate(over="ignore"):
+        salt = np.arange(1, wide // 8 + 1, dtype=np.uint64) * STEP
+        for i in range(0, len(at), NAMED):
+            some = np.zeros((len(at[i : i + NAMED]), wide), dtype=np.uint8)
+            some[:, :length] = windows[at[i : i + NAMED]]
+            out.append(np.add.reduce(mix(some.view(np.uint64) + salt), axis=1))
+    return mix(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64)
+
+
+def between(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray:
+    """Names, by content, of the windows from lo to hi, which overlap, at an offset from what they are sorted by."""
+    one = hi == lo
+    first = content_names(data, lo, length)
+    last = first.copy()
+    last[~one] = content_names(data, hi[~one], length)
+    with np.errstate(over="ignore"):
+        return mix(mix(first + offset.astype(np.uint64)) + last * STEP + (hi - lo).astype(np.uint64))
+
+
 def runs_of(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Text number, first and last start, anchor name and run name of every run, then the anchors' places, and the names
     of cores and windows at every start."""
@@ -101,9 +129,10 @@ def parts_of(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, cores: np.ndarray,
     return of, a, b, core, name
 
 
-def _mark(text: bytes) -> int:
-    """A number of a text's content: the start of its SHA-256."""
-    return int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True)
+def _mark(text: bytes) -> tuple[int, int]:
+    """Two numbers of a text's content: the first half of its SHA-256."""
+    digest = hashlib.sha256(text).digest()
+    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:16], "big", signed=True)
 
 
 def _blocks(batches, length):
@@ -114,29 +143,32 @@ def _blocks(batches, length):
             yield own, at, runs_of(own, at, length)
 
 
-def _tally(rows: DataFrame, length: int, name, columns: int) -> DataFrame:
-    """Counts of the values that ``name`` picks of the runs, combined within tasks."""
+def _tally(rows: DataFrame, length: int, names) -> DataFrame:
+    """(h, x, y, n): counts of the triples that ``names`` gives of a block's runs, combined within tasks."""
 
     def work(batches):
         held, size = [], 0
 
         def flush():
-            values, n = np.unique(np.concatenate(held), axis=0, return_counts=True) if columns > 1 else np.unique(np.concatenate(held), return_counts=True)
-            values = values.reshape(len(n), columns).view(np.int64)
-            for i in range(0, len(n), 50_000):
-                part = values[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(part[:, c])) for c in range(columns)), pa.array(n[i : i + 50_000], pa.int64())], [*"hx"[:columns], "n"])
-
-        for _, _, runs in _blocks(batches, length):
-            held.append(name(runs))
-            size += len(held[-1])
-            if size > 1_000_000:
+            h, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((y, x, h))
+            h, x, y = h[order], x[order], y[order]
+            at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            n = np.diff(np.append(at, len(h)))
+            for i in range(0, len(at), 50_000):
+                j = at[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[j].view(np.int64)) for c in (h, x, y)), pa.array(n[i : i + 50_000], pa.int64())], ["h", "x", "y", "n"])
+
+        for data, _, runs in _blocks(batches, length):
+            held.append(names(data, runs))
+            size += len(held[-1][0])
+            if size > 500_000:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
-    return rows.mapInArrow(work, ", ".join(f"{c} long" for c in [*"hx"[:columns], "n"]))
+    return rows.mapInArrow(work, "h long, x long, y long, n long").groupBy("h", "x", "y").agg(F.sum("n").alias("n"))
 
 
 def _both(anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -145,113 +177,116 @@ def _both(anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) -> DataFrame:
-    """(m, lo, hi): starts lo to hi of repeated windows in the texts of content mark m; spans may repeat or overlap."""
+    """(m, m2, lo, hi): starts lo to hi of repeated windows in the texts of content marks m and m2; spans may repeat or
+    overlap."""
     share = docs.sparkSession.sparkContext.broadcast
     rows = docs.select(F.col(text).cast("string").alias("t")).filter(F.octet_length("t") >= length)
 
-    anchors = _tally(rows, length, lambda r: r[3], 1).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    some = share(bloom_of(scratch.cut(anchors, "anchors"), scratch, "some"))
+    def runs_named(data, r):
+        _, lo, hi, anchor, run, at, _, _ = r
+        return anchor, run, between(data, lo, hi, at - lo, length)
 
-    def named(r):
-        keep = in_bloom(some.value, r[3])
-        return np.column_stack([r[3][keep], r[4][keep]])
+    runs = scratch.cut(_tally(rows, length, runs_named), "runs")
+    anchors = scratch.cut(runs.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    some = share(bloom_of(anchors.select("h"), scratch, "some"))
 
-    runs = scratch.cut(_tally(rows, length, named, 2).groupBy("h", "x").agg(F.sum("n").alias("n")), "runs")
-    def parts(r):
+    def parts(data, r):
         _, lo, hi, anchor, run, at, cores, names = r
         keep = in_bloom(compared.value, _both(anchor, run))
-        _, _, _, core, name = parts_of(lo[keep], hi[keep], at[keep], cores, names, length)
-        return np.column_stack([core, name])
+        of, a, b, core, name = parts_of(lo[keep], hi[keep], at[keep], cores, names, length)
+        return core, name, between(data, a, b, at[keep][of] - a, length)
 
     def key(batches):
         for b in batches:
             h, x = (b.column(c).to_numpy().view(np.uint64) for c in "hx")
             yield pa.RecordBatch.from_arrays([pa.array(_both(h, x).view(np.int64)), b.column("n")], ["h", "n"])
 
-    def keyed(tallied: DataFrame, name: str) -> DataFrame:
+    def keyed(tallied: DataFrame, several: DataFrame, name: str) -> DataFrame:
         """(h, n): the names of both levels as one, and their count, where the first has several of the second."""
-        several = tallied.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
         return scratch.cut(tallied.join(several, "h", "left_semi").mapInArrow(key, "h long, n long"), name)
 
-    keys = keyed(runs, "keys")
+    keys = keyed(runs.select("h", "x", "n"), anchors.filter("kinds > 1").select("h"), "keys")
     compared = share(bloom_of(keys.select("h"), scratch, "compared"))
     single = share(bloom_of(keys.filter("n = 1").select("h"), scratch, "single"))
-    pieces = scratch.cut(_tally(rows, length, parts, 2).groupBy("h", "x").agg(F.sum("n").alias("n")), "pieces")
     scratch.sweep()
-    torn = share(bloom_of(keyed(pieces, "torn").select("h"), scratch, "torn"))
+    pieces = scratch.cut(_tally(rows, length, parts), "pieces")
+    scratch.sweep()
+    cores = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h")
+    torn = share(bloom_of(keyed(pieces.select("h", "x", "n"), cores, "torn").select("h"), scratch, "torn"))
     twice = share(bloom_of(pieces.filter("n > 1").select(F.col("x").alias("h")), scratch, "twice"))
 
     def work(batches):
-        done: set[int] = set()
+        done: set = set()
         for data, off, (doc, lo, hi, anchor, run, at, cores, names) in _blocks(batches, length):
             keep = in_bloom(some.value, anchor)
             doc, lo, hi, anchor, run, at = (x[keep] for x in (doc, lo, hi, anchor, run, at))
-            marks = np.zeros(len(off), dtype=np.int64)
+            marks = np.zeros((len(off), 2), dtype=np.int64)
             fresh = np.zeros(len(off), dtype=bool)
             for d in np.unique(doc).tolist():
-                marks[d] = _mark(data[off[d] : off[d + 1]].tobytes())
-                fresh[d] = int(marks[d]) not in done
-                done.add(int(marks[d]))
+                mark = _mark(data[off[d] : off[d + 1]].tobytes())
+                marks[d], fresh[d] = mark, mark not in done
+                done.add(mark)
             keep = fresh[doc]
             doc, lo, hi, anchor, run, at = (x[keep] for x in (doc, lo, hi, anchor, run, at))
             if not len(doc):
                 continue
             start = off[:-1]
 
-            def give(d, a, b, h, x, kind, own):
+            def give(d, a, b, x, y, kind, own):
                 for i in range(0, len(d), 100_000):
                     s = slice(i, i + 100_000)
                     n = len(d[s])
-                    yield pa.RecordBatch.from_arrays([pa.array(marks[d[s]]), pa.array((a[s] - start[d[s]]).astype(np.int32)), pa.array((b[s] - start[d[s]]).astype(np.int32)), pa.array(h[s].view(np.int64)), pa.nulls(n, pa.int64()) if x is None else pa.array(x[s].view(np.int64)), pa.array(np.full(n, kind, dtype=np.int8)), pa.array(own[s])], _COLUMNS)  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[d[s], 0]), pa.array(marks[d[s], 1]), pa.array((a[s] - start[d[s]]).astype(np.int32)), pa.array((b[s] - start[d[s]]).astype(np.int32)), pa.array(x[s].view(np.int64)), pa.array(y[s].view(np.int64)), pa.array(np.full(n, kind, dtype=np.int8)), pa.array(own[s])], _COLUMNS)  # noqa: B023
 
             both = _both(anchor, run)
             alone = in_bloom(single.value, both)
-            yield from give(doc, lo, hi, anchor, run, 0, np.ones(len(doc), dtype=bool))
+            yield from give(doc, lo, hi, run, between(data, lo, hi, at - lo, length), 0, np.ones(len(doc), dtype=bool))
             open_ = np.flatnonzero(in_bloom(compared.value, both))
             if not len(open_):
                 continue
             of, a, b, core, name = parts_of(lo[open_], hi[open_], at[open_], cores, names, length)
             of = open_[of]
             whole = alone[of] & in_bloom(twice.value, name)
-            yield from give(doc[of[whole]], a[whole], b[whole], core[whole], name[whole], 1, np.ones(whole.sum(), dtype=bool))
+            yield from give(doc[of[whole]], a[whole], b[whole], name[whole], between(data, a[whole], b[whole], at[of[whole]] - a[whole], length), 1, np.ones(whole.sum(), dtype=bool))
             left = in_bloom(torn.value, _both(core, name))
             of, a, b = of[left], a[left], b[left]
             count = b - a + 1
             each = np.repeat(np.arange(len(of)), count)
             place = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-            yield from give(doc[of[each]], place, place, names[place], None, 2, alone[of[each]])
+            yield from give(doc[of[each]], place, place, names[place], content_names(data, place, length), 2, alone[of[each]])
 
-    found = scratch.cut(rows.mapInArrow(work, "m long, lo int, hi int, h long, x long, kind byte, own boolean"), "found")
+    found = scratch.cut(rows.mapInArrow(work, "m long, m2 long, lo int, hi int, x long, y long, kind byte, own boolean"), "found")
     scratch.sweep()
-    whole = found.filter("kind = 0").join(runs.filter("n > 1").select("h", "x"), ["h", "x"], "left_semi").select("m", "lo", "hi")
-    some_parts = found.filter("kind = 1").join(pieces.filter("n > 1").select("h", "x"), ["h", "x"], "left_semi").select("m", "lo", "hi")
-    windows = found.filter("kind = 2").select("m", "lo", "hi", "h", "own")
-    again = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return whole.unionByName(some_parts).unionByName(windows.filter("own").join(again, "h", "left_semi").select("m", "lo", "hi"))
+    spans = ["m", "m2", "lo", "hi"]
+    whole = found.filter("kind = 0").join(runs.filter("n > 1").select("x", "y"), ["x", "y"], "left_semi").select(*spans)
+    some_parts = found.filter("kind = 1").join(pieces.filter("n > 1").select("x", "y"), ["x", "y"], "left_semi").select(*spans)
+    windows = found.filter("kind = 2").select(*spans, "x", "y", "own")
+    again = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("x", "y")
+    return whole.unionByName(some_parts).unionByName(windows.filter("own").join(again, ["x", "y"], "left_semi").select(*spans))
 
 
-_COLUMNS = ["m", "lo", "hi", "h", "x", "kind", "own"]
+_COLUMNS = ["m", "m2", "lo", "hi", "x", "y", "kind", "own"]
 
 
 def _merge(length: int):
-    """Rows (m, lo, hi) sorted by m and lo to (m, starts, ends) of maximal removed spans."""
+    """Rows (m, m2, lo, hi) sorted by m, m2 and lo to (m, m2, starts, ends) of maximal removed spans."""
 
     def work(batches):
         mark, starts, ends = None, [], []
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([mark], pa.int64()), pa.array([starts], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32()))], ["m", "starts", "ends"])
+            return pa.RecordBatch.from_arrays([pa.array([mark[0]], pa.int64()), pa.array([mark[1]], pa.int64()), pa.array([starts], pa.list_(pa.int32())), pa.array([ends], pa.list_(pa.int32()))], ["m", "m2", "starts", "ends"])
 
         for batch in batches:
-            m, lo, hi = (batch.column(c).to_numpy() for c in ("m", "lo", "hi"))
+            m, m2, lo, hi = (batch.column(c).to_numpy() for c in ("m", "m2", "lo", "hi"))
             if not len(m):
                 continue
-            edge = np.append(np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])), len(m))
+            edge = np.append(np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (m2[1:] != m2[:-1])])), len(m))
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if m[i] != mark:
+                if (int(m[i]), int(m2[i])) != mark:
                     if mark is not None:
                         yield row()
-                    mark, starts, ends = int(m[i]), [], []
+                    mark, starts, ends = (int(m[i]), int(m2[i])), [], []
                 reach = np.maximum.accumulate(hi[i:j].astype(np.int64) + length)
                 a = lo[i:j].astype(np.int64)
                 begin = np.concatenate([[True], a[1:] > reach[:-1]])
@@ -280,34 +315,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     """
     scratch = Scratch(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
-    spans = repeated_spans(docs, scratch, text, length).repartition("m").sortWithinPartitions("m", "lo")
-    spans = scratch.cut(spans.mapInArrow(_merge(length), "m long, starts array<int>, ends array<int>"), "spans")
+    spans = repeated_spans(docs, scratch, text, length).repartition("m").sortWithinPartitions("m", "m2", "lo")
+    spans = scratch.cut(spans.mapInArrow(_merge(length), "m long, m2 long, starts array<int>, ends array<int>"), "spans")
     scratch.drop("found", "runs", "keys", "anchors", "pieces", "torn")
     scratch.sweep()
     marked = share(bloom_of(spans.select(F.col("m").alias("h")), scratch, "marked"))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
     def pick(batches):
-        done: set[int] = set()
+        done: set = set()
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
-            m, t = [], []
+            m, m2, t = [], [], []
             for i in range(batch.num_rows):
                 if off[i + 1] - off[i] >= length:
                     own = data[off[i] : off[i + 1]].tobytes()
                     mark = _mark(own)
-                    if mark not in done and in_bloom(marked.value, np.array([mark], dtype=np.int64).view(np.uint64))[0]:
+                    if mark not in done and in_bloom(marked.value, np.array(mark[:1], dtype=np.int64).view(np.uint64))[0]:
                         done.add(mark)
-                        m.append(mark)
+                        m.append(mark[0])
+                        m2.append(mark[1])
                         t.append(own)
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(t, pa.binary())], ["m", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(m2, pa.int64()), pa.array(t, pa.binary())], ["m", "m2", "t"])
 
     # A text that is removed as a whole needs no look at its bytes.
     size = F.octet_length("t")
-    texts = rows.select("t").mapInArrow(pick, "m long, t binary").join(spans, "m")
+    texts = rows.select("t").mapInArrow(pick, "m long, m2 long, t binary").join(spans, ["m", "m2"])
     entire = (F.size("starts") == 1) & (F.element_at("starts", 1) == 0) & (F.element_at("ends", 1) == size)
-    texts = texts.withColumn("t", F.when(entire, F.lit(b"")).otherwise(F.col("t"))).withColumn("entire", entire).dropDuplicates(["m"])
+    texts = texts.withColumn("t", F.when(entire, F.lit(b"")).otherwise(F.col("t"))).withColumn("entire", entire).dropDuplicates(["m", "m2"])
 
     def cut(batches):
         for batch in batches:
@@ -316,12 +352,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                 removed.append(sum(b) - sum(a))
                 kept = b"" if entire else b"".join(t[i:j] for i, j in zip([0, *b], [*a, len(t)], strict=True))
                 sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("m"), pa.array(removed, pa.int64()), pa.array([len(a) for a in batch.column("starts").to_pylist()], pa.int64()), pa.array(sha, pa.string())], ["m", "removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("m2"), pa.array(removed, pa.int64()), pa.array([len(a) for a in batch.column("starts").to_pylist()], pa.int64()), pa.array(sha, pa.string())], ["m", "m2", "removed", "spans", "kept"])
 
-    changed = scratch.cut(texts.mapInArrow(cut, "m long, removed long, spans long, kept string"), "changed")
+    changed = scratch.cut(texts.mapInArrow(cut, "m long, m2 long, removed long, spans long, kept string"), "changed")
     plain = rows.select("k", size.cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
-    plain = plain.withColumn("m", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
-    out = plain.join(changed, "m", "left")
+    number = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
+    plain = scratch.cut(plain.withColumns({"m": number(1), "m2": number(17)}), "plain")
+    copies = plain.groupBy("m", "m2").agg(F.count(F.lit(1)).alias("rows"))
+    out = join_groups(plain, scratch.cut(changed.join(copies, ["m", "m2"]), "counted"), ["m", "m2"], "rows", "k")
     return out.select(
         F.col("k").alias(key),
         "n_bytes",
