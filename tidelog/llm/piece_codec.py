@@ -4,9 +4,9 @@ Text is normalised by longest-prefix search in the model's compiled character ma
 for every byte that it writes, the byte of the original text that it came from, and each piece is
 projected through that alignment to a span of original bytes.
 
-Merging itself is the library's.  Where the vocabulary proves that no piece crosses the start of a run of
+Merging itself is the library's, on the normalised text.  Where the vocabulary proves that no piece crosses the start of a run of
 spaces (no piece has a space after another character), texts are encoded segment by segment and repeated
-segments are looked up; otherwise whole texts are passed to the library.
+segments are looked up; otherwise whole texts are passed to the library, which normalises as the search does.
 """
 
 from __future__ import annotations
@@ -222,9 +222,9 @@ class PieceCodec:
     def _keep(self, segment: str, ids: list[int]) -> None:
         self.memo[segment] = ids, bytes([self.width[i] for i in ids]), ",".join([self.names[i] for i in ids])
 
-    def parts(self, text: str, first: bool = True) -> list[tuple]:
-        """(ids, normalised widths, ids as text) of each segment; ``first`` puts the model's mark before the text."""
-        segments = self.segment((" " if first else "") + text.replace(SPACE_MARK, " ")) if text else []
+    def parts(self, norm: str) -> list[tuple]:
+        """(ids, normalised widths, ids as text) of each segment of a normalised text."""
+        segments = self.segment(norm.replace(SPACE_MARK, " "))
         memo = self.memo
         try:
             return [memo[s] for s in segments]
@@ -252,7 +252,7 @@ class PieceCodec:
         """Ids, their (begin, end) in the original UTF-8 bytes, and the ids joined by commas."""
         norm, align = self.normaliser.normalise(text)
         if self.by_segment:
-            got = self.parts(text)
+            got = self.parts(norm.decode())
             ids = list(chain.from_iterable([p[0] for p in got]))
             width = np.frombuffer(b"".join([p[1] for p in got]), dtype=np.uint8)
             listed = ",".join([p[2] for p in got])
@@ -292,11 +292,12 @@ def encode_ids(docs: DataFrame, model_path: str, text: str = "text", key: str =
 
 
 def encode_digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """As ``encode_documents``, without the lists."""
-    return _run(docs, model_path, text, key, ())
+    """As ``encode_documents``, with spans_sha256 in the place of the lists: the digest of all pieces' begins and ends
+    in the original bytes, each as four bytes, little-endian."""
+    return _run(docs, model_path, text, key, (), True)
 
 
-def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: tuple) -> DataFrame:
+def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: tuple, digest: bool = False) -> DataFrame:
     spark = docs.sparkSession
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # a vocabulary file; its size doesn't depend on the data
@@ -307,20 +308,25 @@ def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: tuple) ->
         codec = None
         for batch in batches:
             codec = codec or PieceCodec(model.value)
-            out = {"ids": [], "begins": [], "ends": [], "n": [], "i": [], "d": []}
+            out = {"ids": [], "begins": [], "ends": [], "n": [], "i": [], "d": [], "s": []}
             for t in _texts(batch):
                 ids, spans, listed = codec.encode(t)
                 back = codec.decode(ids) if ids else ""
                 out["n"].append(len(ids))
                 out["i"].append(hashlib.sha256(listed.encode()).hexdigest())
                 out["d"].append(hashlib.sha256(back.encode()).hexdigest())
+                if digest:
+                    out["s"].append(hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest())
                 if lists:
                     each = {"ids": ids, "begins": spans[:, 0], "ends": spans[:, 1]}
                     for c in lists:
                         out[c].append(np.array(each[c], dtype=np.int32))
             cols = [batch.column("k"), *(pa.array(out[c], type=pa.list_(pa.int32())) for c in lists), pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string())]
             names = ["k", *lists, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if digest:
+                cols.append(pa.array(out["s"], pa.string()))
+                names.append("spans_sha256")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = f"k {kind}, " + "".join(f"{c} array<int>, " for c in lists) + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = f"k {kind}, " + "".join(f"{c} array<int>, " for c in lists) + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_sha256 string" * digest
     return rows.mapInArrow(work, schema).withColumnRenamed("k", key)

@@ -1,6 +1,7 @@
 """Token counts by overlap resynchronisation.
 
-A text longer than a chunk is cut into overlapping chunks that are encoded with offsets.  Two neighbours
+Short texts are counted by the library, each distinct word once where no token crosses white space.  A text longer
+than a chunk is cut into overlapping chunks that are encoded with offsets.  Two neighbours
 are spliced at a place in their overlap where a token of both ends and another of both begins, with white
 space between, which no token of the supported vocabularies crosses; the tokens around it must agree.
 Where an overlap has no such place it is widened, in the end over the whole rest.
@@ -43,27 +44,6 @@ class Spans:
         return self.spans[max(0, i - AGREE) : i], self.spans[i : i + AGREE]
 
 
-class WordSpans:
-    """An encoding by words: tokens are counted for each word, and placed only where asked."""
-
-    def __init__(self, tok: JsonTokenizer, text: str, at: int):
-        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        word = np.concatenate([[False], (chars != 32) & ((chars < 9) | (chars > 13)), [False]])
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        self.begins, self.ends = edge[::2] + at, edge[1::2] + at
-        self.tok, self.words = tok, tok.words.findall(text)
-        self.total = np.concatenate([[0], np.cumsum(tok.known(self.words), dtype=np.int64)])
-
-    def count(self, lo: int, hi: int) -> int:
-        return int(self.total[np.searchsorted(self.begins, hi)] - self.total[np.searchsorted(self.begins, lo)])
-
-    def around(self, cut: int) -> tuple[list, list]:
-        i = int(np.searchsorted(self.begins, cut))
-        near = range(max(0, i - AGREE), min(len(self.words), i + AGREE))
-        spans = {j: [(int(self.begins[j]) + a, int(self.begins[j]) + b) for a, b in self.tok.lib.encode(self.words[j], add_special_tokens=False).offsets] for j in near}
-        return [t for j in near if j < i for t in spans[j]][-AGREE:], [t for j in near if j >= i for t in spans[j]][:AGREE]
-
-
 class JsonTokenizer:
     """A tokenizers file; words between ASCII white space are encoded once where its pattern can't cross that."""
 
@@ -79,30 +59,21 @@ class JsonTokenizer:
         config = json.loads(model)
         self.by_word = _drops_space(config)
         self.lowers = self.by_word and "Lowercase" in json.dumps(config.get("normalizer"))
-        self.by_stop = self.by_word and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == _LETTERS_OR_OTHERS
         added = "|".join(re.escape(t["content"]) for t in config.get("added_tokens", []) if t["content"])
         self.added = re.compile(added, re.IGNORECASE) if added else None  # matched on the raw text, so case must stay
         self.words = re.compile(r"[^ \t-\r]+")
         self.memo: dict[str, int] = {}
 
     def _learn(self, words: set[str]) -> None:
-        """Counts of new words: that of an ASCII letter and what goes before it, and that of the stops behind."""
-        memo, parts = self.memo, []
+        """Counts of new words."""
+        memo, asked = self.memo, []
         for w in words:
-            stem = stops = ""
-            if self.added and self.added.search(w):
-                parts.append((w, w, ""))
-                continue
-            if self.by_stop and w[-1] in _STOPS:
-                stem = w.rstrip(_STOPS)
-                if stem and stem[-1].isascii() and stem[-1].isalpha():
-                    stops = w[len(stem) :]
-            stem = stem if stops else w
-            parts.append((w, stem.lower() if self.lowers and stem.isascii() else stem, stops))
-        ask = list({p[1] for p in parts}.union({p[2] for p in parts if p[2]}).difference(memo))
+            fold = self.lowers and w.isascii() and not (self.added and self.added.search(w))
+            asked.append((w, w.lower() if fold else w))
+        ask = list({a for _, a in asked}.difference(memo))
         memo.update(zip(ask, map(len, self.lib.encode_batch_fast(ask, add_special_tokens=False)), strict=True))
-        for w, stem, stops in parts:
-            memo[w] = memo[stem] + (memo[stops] if stops else 0)
+        for w, a in asked:
+            memo[w] = memo[a]
 
     def known(self, words: list[str]) -> list[int]:
         """The number of tokens of each word."""
@@ -115,7 +86,7 @@ class JsonTokenizer:
 
     def _ready(self, words: set[str]) -> None:
         new = words.difference(self.memo)
-        if len(self.memo) + 3 * len(new) > MEMO:
+        if len(self.memo) + 2 * len(new) > MEMO:
             self.memo.clear()
             new = words
         if new:
@@ -138,13 +109,8 @@ class JsonTokenizer:
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
-    def encode(self, text: str, at: int) -> Spans | WordSpans:
-        return WordSpans(self, text, at) if self.by_word else Spans(self.lib.encode(text, add_special_tokens=False).offsets, at)
-
-
-#: Splits letters, single digits and runs of other characters; a stop after an ASCII letter begins a token of its own.
-_LETTERS_OR_OTHERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_STOPS = ".,;:!?"
+    def encode(self, text: str, at: int) -> Spans:
+        return Spans(self.lib.encode(text, add_special_tokens=False).offsets, at)
 
 
 def _drops_space(config: dict) -> bool:
@@ -178,11 +144,11 @@ class PieceTokenizer:
     def counts(self, texts: list[str]) -> list[int]:
         if not self.codec.by_segment:
             return [len(ids) for ids in self.codec.lib.encode(texts, num_threads=1)]
-        return [sum([len(p[0]) for p in self.codec.parts(t)]) for t in texts]
+        return [sum([len(p[0]) for p in self.codec.parts(" " + t)]) if t else 0 for t in texts]
 
     def encode(self, text: str, at: int) -> Spans:
         first = at == 0
-        parts = self.codec.parts(text, first)
+        parts = self.codec.parts((" " if first else "") + text)
         width = np.frombuffer(b"".join([p[1] for p in parts]), dtype=np.uint8).astype(np.int64)
         norm = (" " if first else "") + text.replace("\u2581", " ")
         chars = np.repeat(np.arange(len(norm)), [3 if c == " " else len(c.encode()) for c in norm])
@@ -243,7 +209,7 @@ def _common(one, two, cuts: list[int], stop: int) -> int | None:
 def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of each row, as the file's library counts the whole text.
 
-    Null texts count as empty.  Rows keep their number, repeated rows are counted alike, an empty table gives an
+    Null texts count as empty; a text of any length is encoded whole, chunk by chunk.  Rows keep their number, repeated rows are counted alike, an empty table gives an
     empty result, other columns are ignored.
     """
     spark = docs.sparkSession
