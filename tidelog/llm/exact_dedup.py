@@ -6,8 +6,9 @@
 
 Every stage groups by digest and full content, so texts that only share a digest stay apart.  A text
 that a third of all rows hold reaches the first exchange as one row for each map task and the second as
-one for each salt.  Members then find their group by digest alone, without moving text; only where one
-digest stands for several contents, which the groups show, the content is compared again.
+one for each salt.  Members then find their group by digest alone, without moving text; rows of a group that holds
+much of the table find it by broadcast, so no digest's members meet in one task.  Only where one digest stands for
+several contents, which the groups show, the content is compared again.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, join_groups
 
 #: Rows of one text that different map tasks kept meet in so many groups before the last stage.
 SALTS = 16
@@ -26,8 +27,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", normal
 
     Null texts count as empty.  Of equal texts the row with the largest key stays; a null key is smaller than any
     other.  Rows that repeat key and text count in group_size, and all that carry the largest key are marked kept.
-    ``normalise`` maps the text column before it is compared.  An empty table gives an empty result; other columns
-    are ignored.
+    ``normalise`` maps the text column before it is compared.  Texts of any length are compared whole.  An empty table
+    gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     content: Column = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -36,8 +37,8 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", normal
     rows = docs.select(F.col(key).alias("k"), content.alias("t")).withColumn("d", F.unhex(F.sha2("t", 256)))
     salted = rows.groupBy("d", "t", (F.spark_partition_id() % salts).alias("s")).agg(F.max("k").alias("keep"), F.count(F.lit(1)).alias("n"))
     contents = salted.groupBy("d", "t").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
-    groups = scratch.cut(contents.groupBy("d").agg(F.count(F.lit(1)).alias("contents"), F.max("keep").alias("keep"), F.max("n").alias("n")), "groups")
-    out = rows.select("k", "d").join(groups.filter("contents = 1"), "d").select("k", "d", "keep", "n")
+    groups = scratch.cut(contents.groupBy("d").agg(F.count(F.lit(1)).alias("contents"), F.max("keep").alias("keep"), F.max("n").alias("n"), F.sum("n").alias("rows")), "groups")
+    out = join_groups(rows.select("k", "d"), groups, ["d"], "rows", "k").filter("contents = 1").select("k", "d", "keep", "n")
     if not groups.filter("contents > 1").isEmpty():
         clash = groups.filter("contents > 1").select("d")
         again = contents.join(clash, "d", "left_semi")
