@@ -1,11 +1,14 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
 Rates r = exp(tilt) minimise the relative entropy sum(size * (r ln r - r + 1)) under one token constraint a
-source, sum(size * r) = target.  The dual is convex and splits by source, so Newton runs on every source's
-sums at once and needs no further pass over documents.  Rates are then rounded into whole copies: each
-document gets floor(r), and of each source as many documents get one more, in a fixed random order, as fit
-into the words that are still missing.  The place where that order ends is found by refining histograms of
-the order key, so no task sorts a source.
+source, sum(size * r) = target.  The dual is convex; as no document is under two constraints its Hessian is diagonal, so
+Newton steps of all sources run at once on the sources' sums and need no further pass over documents.  The limit is
+the logarithm of target / mass, which SQL can state.
+
+Rates are then rounded into whole copies: each document gets floor(r), and of each source some documents get one more.
+These are taken in a fixed random order as long as they fit into the words that are still missing; what is then left is
+filled up, ``ROUNDS`` times in all, by documents that are no larger.  The place where a round ends is found by refining
+histograms of the order key, so no task sorts a source.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ MOST_COPIES = 3
 #: Bits of the order key, and of each of the two histogram levels that refine it.
 KEY_BITS, LEVEL_BITS = 32, 12
 NEWTON_STEPS = 64
+#: Times that the words still missing are filled up.
+ROUNDS = 3
 #: A source's rows are dealt out to so many keys where they meet its row of the plan.
 SALTS = 64
 
@@ -69,15 +74,35 @@ def _place(u: str, k: str):
     return F.struct(F.col(u).alias("u"), F.coalesce(F.col(k).cast("long"), F.lit(-(2**63))).alias("k"))
 
 
+def _taken(size, place, rounds: int, plan: str = ""):
+    """Whether a document gets one more copy in the first rounds, from its source's columns gap0, end0, gap1, ...: in
+    each it is a candidate if it has none and fits, and is taken before the place where the round ends (null: nowhere)."""
+    taken = F.lit(False)
+    for r in range(rounds):
+        gap, end = F.col(f"{plan}gap{r}"), F.col(f"{plan}end{r}")
+        taken = taken | ((gap > 0) & (size <= gap) & (end.isNull() | (place < end)))
+    return taken
+
+
 def mixing_plan(rows: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """A row for each source: its size and target, the copies that every document gets, and where the order of those
-    that get one more ends (null: nowhere).  ``rows`` is a written table (k, source, size, u)."""
+    """A row for each source: its size and target, the copies that every document gets, and for each round the words
+    that are missing, gap, and where the order of those that get one more ends.  ``rows`` is a written table (k, source,
+    size, u)."""
     plan = entropy_rates(source_targets(rows, weights, most).withColumn("mass", F.col("source_size").cast("double")))
     plan = plan.withColumn("base", F.least(F.lit(most), F.floor(F.col("rate") + 1e-9)).cast("long"))
-    plan = plan.withColumn("need", F.when(F.col("base") >= most, 0).otherwise(F.floor(F.col("target") + 1e-6).cast("long") - F.col("base") * F.col("source_size")))
-    plan = scratch.cut(plan.select("source", "source_size", "target", "base", "need"), "plan")
-
-    part, shift = plan.select("source", F.lit(0).cast("long").alias("cell"), F.col("need").alias("left")), KEY_BITS
+    plan = plan.withColumn("gap0", F.when(F.col("base") >= most, 0).otherwise(F.floor(F.col("target") + 1e-6).cast("long") - F.col("base") * F.col("source_size")))
+    plan = scratch.cut(plan.select("source", "source_size", "target", "base", "gap0"), "plan")
+    for r in range(ROUNDS):
+        own = _with_plan(rows.withColumn("salt", F.pmod("u", F.lit(SALTS))), plan, "source", "salt")
+        own = own.filter((F.col(f"gap{r}") > 0) & (F.col("size") <= F.col(f"gap{r}")) & ~_taken(F.col("size"), _place("u", "k"), r))
+        own = scratch.cut(own.select("k", "source", "size", "u"), f"candidates{r}")
+        plan = _ended(own, plan, scratch, r)
+    return plan
+
+
+def _ended(rows: DataFrame, plan: DataFrame, scratch: Scratch, r: int) -> DataFrame:
+    """Adds end and the next round's gap to the plan; ``rows`` are the round's candidates."""
+    part, shift = plan.select("source", F.lit(0).cast("long").alias("cell"), F.col(f"gap{r}").alias("left")), KEY_BITS
     for level in (1, 2):
         # Of the cell where the order ends, sum a finer histogram and find the finer cell.
         held = _of_cell(rows, part, shift)
@@ -86,12 +111,25 @@ def mixing_plan(rows: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int
         upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("left", F.col("left") - F.sum("words").over(upto)).filter("left < 0")
         first = F.struct(-F.col("cell"))
-        part = scratch.cut(sums.groupBy("source").agg(F.min("cell").alias("cell"), (F.max_by("words", first) + F.max_by("left", first)).alias("left")), f"level{level}")
+        part = scratch.cut(sums.groupBy("source").agg(F.min("cell").alias("cell"), (F.max_by("words", first) + F.max_by("left", first)).alias("left")), f"level{r}{level}")
     # The last cell holds about one key in 2 ** 24 of a source.
     tie = Window.partitionBy("source").orderBy("u", F.col("k").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     held = _of_cell(rows, part, shift).withColumn("left", F.col("left") - F.sum("size").over(tie))
-    ends = held.filter("left < 0").groupBy("source").agg(F.min(_place("u", "k")).alias("end"))
-    return scratch.cut(plan.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", "b.end"), "ends")
+    ends = held.filter("left < 0").groupBy("source").agg(F.min(_place("u", "k")).alias(f"end{r}"))
+    plan = scratch.cut(plan.alias("a").join(ends.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", f"b.end{r}"), f"ends{r}")
+    if r + 1 == ROUNDS:
+        return plan
+    own = _with_plan(rows.withColumn("salt", F.pmod("u", F.lit(SALTS))), plan, "source", "salt")
+    filled = own.filter(F.col(f"end{r}").isNull() | (_place("u", "k") < F.col(f"end{r}"))).groupBy("source").agg(F.sum("size").alias("words"))
+    left = F.col(f"a.gap{r}") - F.coalesce(F.col("b.words"), F.lit(0))
+    return scratch.cut(plan.alias("a").join(filled.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.*", left.alias(f"gap{r + 1}")), f"gaps{r}")
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame, source: str, salt: str) -> DataFrame:
+    """Rows beside the plan's columns other than the source."""
+    columns = [c for c in plan.columns if c != "source"]
+    r, p = rows.alias("r"), _salted(plan).alias("p")
+    return r.join(p, F.col(f"r.{source}").eqNullSafe(F.col("p.source")) & (F.col(f"r.{salt}") == F.col("p.salt"))).select("r.*", *(F.col(f"p.{c}") for c in columns))
 
 
 def _of_cell(rows: DataFrame, part: DataFrame, shift: int) -> DataFrame:
@@ -106,11 +144,11 @@ def _salted(sources: DataFrame) -> DataFrame:
 
 
 def _planned(measured: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds source_size, target and copies to measured rows."""
-    r, p = measured.withColumn("_salt", F.pmod("_u", F.lit(SALTS))).alias("r"), _salted(plan).alias("p")
-    out = r.join(p, F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._salt") == F.col("p.salt")))
-    more = (F.col("p.need") > 0) & (F.col("p.end").isNull() | (_place("r._u", "r._k") < F.col("p.end")))
-    return out.select("r.*", F.col("p.source_size").alias("_source_size"), F.col("p.target").alias("_target"), (F.col("p.base") + F.when(more, 1).otherwise(0)).alias("_copies"))
+    """Adds _source_size, _target and _copies to measured rows."""
+    plan = plan.select("source", F.struct(*(c for c in plan.columns if c != "source")).alias("_plan"))
+    out = _with_plan(measured.withColumn("_salt", F.pmod("_u", F.lit(SALTS))), plan, "_source", "_salt")
+    taken = _taken(F.col("_size"), _place("_u", "_k"), ROUNDS, "_plan.")
+    return out.select("*", F.col("_plan.source_size").alias("_source_size"), F.col("_plan.target").alias("_target"), (F.col("_plan.base") + F.when(taken, 1).otherwise(0)).alias("_copies"))
 
 
 def _sizes(docs: DataFrame, scratch: Scratch, text: str, key: str, source: str) -> DataFrame:
@@ -141,7 +179,11 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights=(1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """The documents with all their columns, each as often as the mix takes it."""
+    """The documents with all their columns, each as often as the mix takes it.
+
+    As in ``mix_sources``: null texts have size 0, a null source is one of its own, repeated rows are taken alike, and
+    texts of any length are counted whole.  An empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession)
     plan = mixing_plan(_sizes(docs, scratch, text, key, source), scratch, weights, most)
     out = _planned(_measured(docs, text, key, source), plan).filter("_copies > 0")

@@ -115,14 +115,21 @@ ORACLES = {
         p AS (
           SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size + 1e-9) AS BIGINT)) ELSE 0 END AS base FROM t),
         q AS (
-          SELECT *, CASE WHEN base >= 3 THEN 0 ELSE CAST(floor(target + 1e-6) AS BIGINT) - base * source_size END AS need FROM p),
+          SELECT *, CASE WHEN base >= 3 THEN 0 ELSE CAST(floor(target + 1e-6) AS BIGINT) - base * source_size END AS gap FROM p),
         x AS (
-          SELECT d.doc_id, d.size, q.source_size, q.target, q.base, q.need,
-                 sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id NULLS FIRST) AS upto
-          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-        SELECT doc_id, size, source_size, target,
-               (base + CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END) * size AS taken,
-               base + CASE WHEN need > 0 AND upto <= need THEN 1 ELSE 0 END AS copies
-        FROM x
+          SELECT d.doc_id, d.source, d.u, d.size, q.source_size, q.target, q.base, q.gap AS gap0
+          FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+        -- Three times: of those that have none and fit into what is missing, as many as fit in the fixed order.
+        x0 AS (SELECT *, size <= gap0 AND sum(CASE WHEN size <= gap0 THEN size ELSE 0 END) OVER o <= gap0 AND gap0 > 0 AS t0
+               FROM x WINDOW o AS (PARTITION BY source ORDER BY u, doc_id NULLS FIRST)),
+        y0 AS (SELECT *, gap0 - sum(CASE WHEN t0 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap1 FROM x0),
+        x1 AS (SELECT *, NOT t0 AND size <= gap1 AND sum(CASE WHEN NOT t0 AND size <= gap1 THEN size ELSE 0 END) OVER o <= gap1 AND gap1 > 0 AS t1
+               FROM y0 WINDOW o AS (PARTITION BY source ORDER BY u, doc_id NULLS FIRST)),
+        y1 AS (SELECT *, gap1 - sum(CASE WHEN t1 THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap2 FROM x1),
+        x2 AS (SELECT *, NOT t0 AND NOT t1 AND size <= gap2
+                      AND sum(CASE WHEN NOT t0 AND NOT t1 AND size <= gap2 THEN size ELSE 0 END) OVER o <= gap2 AND gap2 > 0 AS t2
+               FROM y1 WINDOW o AS (PARTITION BY source ORDER BY u, doc_id NULLS FIRST)),
+        z AS (SELECT *, base + CASE WHEN t0 OR t1 OR t2 THEN 1 ELSE 0 END AS copies FROM x2)
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM z
     """,
 }
