@@ -209,12 +209,13 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Trees from at most ``fit_rows`` labelled rows with crc32(key) mod 5 not 0, those with the least hashes of the key.
 
     Of several labels of a key the mean counts; null labels and keys don't.  A key that several rows have is learned
-    with each of their texts.
+    with one of their texts, that with the least hash, so the sample has ``fit_rows`` rows at most.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_k").isNotNull() & ~_held("_k"))
     known = known.groupBy("_k").agg((F.avg("_y") >= 0.5).cast("double").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(fit_rows)
     # fit_rows bounds the broadcast side.
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k")
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(known), "_k")
+    rows = rows.groupBy("_k", "_y").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), "_t")).alias("_one")).select("_k", "_y", F.col("_one._t").alias("_t"))
 
     def give(batch, x):
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
@@ -238,7 +239,7 @@ def score_rows(docs: DataFrame, trees: Trees, keep: list[str], text: str = "text
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
     """key, held_out, score, predicted of each row.
 
-    Null and empty texts are scored from their zeros; without labels every score is 0.5.  Repeated rows are scored
+    Null and empty texts are scored from their zeros, very long ones whole; without labels every score is 0.5.  Repeated rows are scored
     alike; an empty table gives an empty result; other columns are ignored.
     """
     out = score_rows(docs, learn(docs, labels, text, key, label, fit_rows), [key], text)
@@ -246,6 +247,10 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """The rows that are predicted 1, with all their columns."""
+    """The rows that are predicted 1, with all their columns.
+
+    Null and empty texts are scored from their zeros; repeated rows go or stay together; without labels, and in an
+    empty table, every row stays.  Texts of any length are read whole.
+    """
     trees = learn(docs, labels, text, key, label)
     return score_rows(docs, trees, docs.columns, text).filter(F.col("_score") >= CUT).drop("_score")
