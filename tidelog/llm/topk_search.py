@@ -1,11 +1,14 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
 One more coordinate, sqrt(M - |x|^2) with M the largest squared length, turns the inner product into Euclidean
-distance: |(q, 0) - (x, r)|^2 = |q|^2 + M - 2 q.x.  Data go to the cell of their nearest pivot; a query group is the
-queries of one cell.  Each cell's summary is its size, radius and the distances of its k nearest members
-to the pivot.  From the summaries alone every group gets a bound on the distance of its k-th answer, and a
-vector is sent to a group only if the triangle inequality lets it be nearer than that.  Groups are solved locally,
-in blocks of data that also see only their group's queries; the blocks' best are merged.
+distance: |(q, 0) - (x, r)|^2 = |q|^2 + M - 2 q.x.  Data go to the cell of their nearest pivot, and so do queries.
+Each cell's summary is its radius and the distances of its k nearest members to the pivot.  From the summaries alone
+every cell of queries gets a bound on the distance of its k-th answer, and a vector is sent only where the triangle
+inequality lets it be nearer than that.
+
+Cells of queries are packed into groups of ``GROUP_BYTES``; a larger cell is split.  A vector is sent to a group once,
+if any of the group's cells can use it, so it is copied for each group and not for each cell.  In a task a group's
+queries come first and blocks of data stream past them; the tasks' best are merged.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Scratch
 
-#: Most pivots; about the cube root of the rows is taken, so that groups stay few where bounds cut little.
-PIVOTS = 64
-#: Data and query rows that one task compares at a time.
-BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Most pivots; about the square root of the rows is taken.
+PIVOTS = 256
+#: Bytes of a group of queries and of a block of data in a task's memory; data rows that meet one copy of a group, and
+#: queries whose scores of a block are held at a time.
+GROUP_BYTES, BLOCK_BYTES, PART_ROWS, SCORED = 16 << 20, 4 << 20, 1 << 18, 256
 SCALE = 256
 
 
@@ -72,6 +76,22 @@ def _nearest(q: pa.RecordBatch | None, cells: Cells, width: int, query: bool):
     return x, d, d.argmin(1)
 
 
+def pack(cells: dict[int, int], place: np.ndarray, most: int) -> dict[int, list[int]]:
+    """The groups of each cell, given its number of queries: cells near each other share a group of ``most`` queries, and
+    a larger cell has several groups of its own."""
+    out, group, size = {}, 0, 0
+    for c in sorted(cells, key=lambda c: (place[c], c)):
+        if size and size + cells[c] > most:
+            group, size = group + 1, 0
+        need = max(1, -(-cells[c] // most))
+        out[c] = list(range(group, group + need))
+        if need > 1:
+            group, size = group + need, 0
+        else:
+            size += cells[c]
+    return out
+
+
 def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best by integer inner product, ties to the smaller id.
 
@@ -87,7 +107,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
     facts = data.agg(F.count(F.lit(1)), F.max(F.size("x")), F.max(square)).first()
     rows, width, largest = facts[0], facts[1] or 0, float(facts[2] or 0)
     # Pivots: the vectors with the least hashes of their ids, spread over the data like any fixed random choice.
-    some = max(1, min(pivots, round(rows ** (1 / 3))))
+    some = max(1, min(pivots, round(rows**0.5)))
     chosen = data.orderBy(F.xxhash64("k"), "k").limit(some).select("x").collect()  # at most ``pivots`` vectors
     first = np.zeros((len(chosen), width))
     for i, row in enumerate(chosen):
@@ -112,7 +132,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
     order = Window.partitionBy("cell").orderBy("d")
     nearest = near.dropDuplicates(["k"]).withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("d")).alias("near"))
     summary = near.groupBy("cell").agg(F.max("d").alias("radius")).join(nearest, "cell", "left").withColumn("near", F.coalesce("near", F.array().cast("array<double>"))).collect()  # a row for each pivot
-    reach = dict(queries.mapInArrow(groups, "cell int, d double").groupBy("cell").agg(F.max("d")).collect())
+    asked = queries.mapInArrow(groups, "cell int, d double").groupBy("cell").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pivot
+    reach = {row["cell"]: float(row["far"]) for row in asked}
 
     # Upper bound of the k-th distance of each group: through its own pivot to the nearest members of each cell, one for
     # each key.  One more than k, as the query may be among them.
@@ -128,29 +149,42 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
     useful = np.zeros((n, n), dtype=bool)
     for g in reach:
         useful[g] = (radius >= 0) & (between[g] - reach[g] - radius <= bound[g] + slack)
-    plan = spark.sparkContext.broadcast((between, bound, {g: float(f) for g, f in reach.items()}, useful))
-    parts = max(1, -(-rows // BLOCK_ROWS))
+    held = pack({row["cell"]: row["n"] for row in asked}, between[0], max(1, GROUP_BYTES // (8 * max(width, 1))))
+    plan = spark.sparkContext.broadcast((between, bound, reach, useful, held))
+    count = sum(map(len, {tuple(g) for g in held.values()}))
+    parts = max(1, -(-rows // PART_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")) // max(count, 1))
+    block_rows = max(1, BLOCK_BYTES // (8 * max(width, 1)))
+
+    def spread(ids):
+        return (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
 
     def replicate(batches):
-        between, bound, reach, useful = plan.value
-        live = sorted(reach)
+        between, bound, reach, useful, held = plan.value
         for batch in batches:
             x, d, cell = _nearest(batch, share.value, width, False)
             own = d[np.arange(len(x)), cell]
             ids = batch.column("k").to_numpy()
-            block = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
-            for g in live:
-                # A vector is at least as far from a query as from the group's pivot, less the group's reach.
-                low = np.maximum(d[:, g], np.abs(between[g][cell] - own)) - reach[g]
-                keep = np.flatnonzero(useful[g][cell] & (low <= bound[g] + slack))
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), g, dtype=np.int32)), pa.array(block[keep].astype(np.int32)), pa.array(ids[keep]), batch.column("x").take(pa.array(keep)), pa.array(np.ones(len(keep), dtype=bool))], ["g", "b", "k", "x", "data"])
+            block = spread(ids) % parts
+            wanted: dict[int, np.ndarray] = {}
+            for c, groups_ in held.items():
+                # A vector is at least as far from a query as from the cell's pivot, less the cell's reach.
+                low = np.maximum(d[:, c], np.abs(between[c][cell] - own)) - reach[c]
+                keep = useful[c][cell] & (low <= bound[c] + slack)
+                for g in groups_:
+                    wanted[g] = wanted.get(g, False) | keep
+            for g, keep in wanted.items():
+                at = np.flatnonzero(keep)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g, dtype=np.int32)), pa.array(block[at].astype(np.int32)), pa.array(ids[at]), batch.column("x").take(pa.array(at)), pa.array(np.ones(len(at), dtype=bool))], ["g", "b", "k", "x", "data"])
 
     def ask(batches):
+        held = plan.value[4]
         for batch in batches:
             _, _, cell = _nearest(batch, share.value, width, True)
+            turn = spread(batch.column("k").to_numpy())
+            g = np.array([held[c][t % len(held[c])] for c, t in zip(cell.tolist(), turn.tolist(), strict=True)], dtype=np.int32)
             for b in range(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.full(batch.num_rows, b, dtype=np.int32)), batch.column("k"), batch.column("x"), pa.array(np.zeros(batch.num_rows, dtype=bool))], ["g", "b", "k", "x", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(batch.num_rows, b, dtype=np.int32)), batch.column("k"), batch.column("x"), pa.array(np.zeros(batch.num_rows, dtype=bool))], ["g", "b", "k", "x", "data"])
 
     def solve(batches):
         at, asked, stored = None, [], []
@@ -162,9 +196,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
             qi, q = np.concatenate([s[0] for s in asked]), np.concatenate([s[1] for s in asked])
             order = np.argsort(xi, kind="stable")
             xi, x = xi[order], x[order]
-            for i in range(0, len(qi), QUERY_ROWS // 8):
-                ids = qi[i : i + QUERY_ROWS // 8]
-                score = products(q[i : i + QUERY_ROWS // 8], x)
+            for i in range(0, len(qi), SCORED):
+                ids = qi[i : i + SCORED]
+                score = products(q[i : i + SCORED], x)
                 score[ids[:, None] == xi[None, :]] = np.iinfo(np.int64).min
                 m = min(k, score.shape[1])
                 # Equal scores at the edge go to smaller ids: all at or above the m-th score, in order.
@@ -190,7 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
                     asked.append((ids[i:j][~f].copy(), x[i:j][~f].copy()))
                 if f.any():
                     stored.append((ids[i:j][f].copy(), x[i:j][f].copy()))
-                if sum(len(s[0]) for s in stored) >= BLOCK_ROWS:  # queries come first
+                if sum(len(s[0]) for s in stored) >= block_rows:  # queries come first
                     yield from best()
                     stored = []
         yield from best()
