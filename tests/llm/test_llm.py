@@ -752,6 +752,74 @@ def test_trees_learn_what_one_split_cannot():
     assert ((trees.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
 
 
+# ---------------------------------------------------------------- all queries on hard tables
+
+
+LONG = " ".join(f"word{i * i * 7919 % 1000003}" for i in range(60_000))
+ODD = [(1, None, None, None), (1, "one text", "en", "a"), (1, "another text under one number", "en", "a"), (1, "one text", "en", "a"), (None, None, None, None), (None, "no number", "de", "b"), (2, "", "en", ""), (3, LONG, "en", "a"), (4, LONG, None, "b"), (5, LONG + " end", "en", None), (6, "\x00 \u3000 \U0001f389", "xx", "a")]
+
+
+def tables(spark, folder, documents):
+    common.prepare(spark)
+    # A clashing column is no trouble; the schema is that of the tables with more columns.
+    spark.createDataFrame([(*r, 0, 1, 2, 3) for r in documents], "doc_id long, text string, lang string, source string, n_chars long, k int, score int, h int").repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(documents)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(r[0], [float(i), None] if i % 4 == 3 else [float(i), 1.0]) for i, r in enumerate(documents)], "vec_id long, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["op1_lm_scoring", "op2_ngram_join", "op3_sentencepiece", "op4_exact_dedup", "op5_token_counts", "op6_topk_search", "op7_suffix_dedup", "op8_language_id", "op9_mixing", "op10_quality"])
+def test_hard_tables(spark, tmp_path, name):
+    from tidelog.llm import queries
+
+    run = queries.QUERIES[name]
+    assert run(spark, tables(spark, tmp_path / "none", [])).collect() == []
+    if name == "op6_topk_search":
+        got = run(spark, tables(spark, tmp_path / "odd", [(50, *r[1:]) if r[0] == 2 else r for r in ODD])).collect()
+        assert {r["query_id"] for r in got} == {50} and len(got) == 5
+        return
+    nulls = run(spark, tables(spark, tmp_path / "nulls", [(7, None, None, None), (None, None, None, None)])).collect()
+    assert len(nulls) == 2 and {r["doc_id"] for r in nulls} == {7, None}
+    got = run(spark, tables(spark, tmp_path / "odd", ODD)).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in ODD)
+    of = collections.defaultdict(list)
+    for r in got:
+        of[r["doc_id"]].append(r)
+    if name == "op1_lm_scoring":
+        assert of[3][0]["n_tokens"] == 60_001 and sorted(r["n_tokens"] for r in of[1]) == [1, 3, 3, 6]
+    if name == "op2_ngram_join":
+        assert [of[i][0]["component_id"] for i in (3, 4, 5)] == [3, 3, 3] and sorted(r["n_shingles"] for r in of[1]) == [0, 1, 1, 2]
+    if name == "op3_sentencepiece":
+        assert of[3][0][1:] == of[4][0][1:] and sorted(r["n_tokens"] > 0 for r in of[1]) == [False, True, True, True]
+    if name == "op4_exact_dedup":
+        assert (of[3][0]["keep_id"], of[3][0]["group_size"]) == (4, 2) and {r["keep_id"] for r in of[2]} == {2}
+    if name == "op5_token_counts":
+        import tokenizers
+
+        lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        assert of[5][0]["n_tokens"] == len(lib.encode(LONG + " end", add_special_tokens=False)) and of[5][0]["over_limit"]
+    if name == "op7_suffix_dedup":
+        assert of[3][0]["n_removed"] == of[3][0]["n_bytes"] and of[5][0]["n_removed"] == len(LONG)
+    if name == "op8_language_id":
+        assert of[2][0]["lang_pred"] == "und" and of[6][0]["lang_pred"] == "und" and all(0 <= r["score"] <= 1 for r in got)
+    if name == "op9_mixing":
+        assert of[3][0]["size"] == 60_000 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    if name == "op10_quality":
+        assert all(0 <= r["score"] <= 1 for r in got) and of[3][0]["score"] == of[4][0]["score"]
+
+
+def test_pipeline_on_hard_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert pipeline.run(spark, tables(spark, tmp_path / "none", [])).collect() == []
+    folder = tables(spark, tmp_path / "odd", ODD)
+    (tmp_path / "unlabelled").mkdir()
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{tmp_path}/unlabelled/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/unlabelled/labels.parquet")
+    for f in (folder, f"{tmp_path}/unlabelled"):
+        got = pipeline.run(spark, f).collect()
+        assert all(r["n_tokens"] == len(r["ids"]) for r in got) and len({(r["doc_id"], r["ids_sha256"]) for r in got}) <= len(ODD)
+
+
 # ---------------------------------------------------------------- pipeline
 
 

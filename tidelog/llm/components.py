@@ -13,7 +13,7 @@ def _least(both: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(u, root) of every node of the edges (u, v): root is the smallest node reachable from u.
+    """The written table (u, root) of every node of the edges (u, v): root is the smallest node reachable from u.
 
     Self-loops and repeated edges do no harm; without edges the result is empty.  Rounds grow with the logarithm of
     the longest path; no star is ever gathered in one place: minima are aggregates.
@@ -34,4 +34,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             break
         before = now
     roots = current.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root"))
-    return current.select("u", F.col("v").alias("root")).unionByName(roots)
+    out = scratch.cut(current.select("u", F.col("v").alias("root")).unionByName(roots), name)
+    scratch.drop(f"{name}{k}")
+    return out

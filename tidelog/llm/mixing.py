@@ -97,6 +97,7 @@ def mixing_plan(rows: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int
         own = own.filter((F.col(f"gap{r}") > 0) & (F.col("size") <= F.col(f"gap{r}")) & ~_taken(F.col("size"), _place("u", "k"), r))
         own = scratch.cut(own.select("k", "source", "size", "u"), f"candidates{r}")
         plan = _ended(own, plan, scratch, r)
+        scratch.drop(f"candidates{r}", f"level{r}1", f"level{r}2")
     return plan
 
 

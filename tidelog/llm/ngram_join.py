@@ -572,10 +572,11 @@ def _solve(dealt: DataFrame, rule: Rule, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(work, "u long, v long")
 
 
-def _links(classes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Links (u, v) of set numbers with the components that all links have, and those components (u, root)."""
+def _links(classes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
+    """The written table (u, root) of the components that all links have, of set numbers."""
     edges = _family_edges(classes, rule, scratch)
-    family = scratch.cut(components(edges, scratch, "families"), "families")
+    family = components(edges, scratch, "families")
+    scratch.drop("met")
     members = family.join(classes.select("id", "c", "d", "n"), F.col("u") == F.col("id")).select("id", "c", "d", "n", "root")
     parts = members.groupBy("root").agg(F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("parts"), F.count(F.lit(1)).alias("sets"))
     parts = scratch.cut(parts, "parts")
@@ -589,7 +590,7 @@ def _links(classes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) ->
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     first = sets.withColumn("i", F.explode(F.when(pilot, every).otherwise(F.array("i"))))
     links = scratch.cut(_solve(first.withColumns({"q": F.col("id"), "ask": F.lit(True)}), rule, ["root", "i"]), "tile_links")
-    near = scratch.cut(components(links, scratch, "near"), "near")
+    near = components(links, scratch, "near")
 
     # Families of several tiles: who isn't of the main component meets all tiles, in blocks.
     large = sets.filter("parts > 1")
@@ -607,7 +608,7 @@ def _links(classes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) ->
     go = go.withColumn("i", F.explode(every)).withColumn("ask", F.lit(True))
     columns = ["root", "i", "b", "id", "q", "ask", "s"]
     more = scratch.cut(_solve(stay.select(*columns).unionByName(go.select(*columns)), rule, ["root", "i", "b"]), "more_links")
-    return scratch.cut(components(links.unionByName(more), scratch, "all"), "all")
+    return components(links.unionByName(more), scratch, "all")
 
 
 def _joined(docs: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
@@ -622,6 +623,7 @@ def _joined(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     scratch.drop("hot")
     scratch.sweep()
     roots = _links(classes, rows, rule, scratch)
+    scratch.drop("families", "parts", "members", "sets", "tile_links", "large", "main", "more_links")
 
     of = classes.select("c", "d", "id", "rows", "least").join(roots.select(F.col("u").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     of = scratch.cut(of, "roots")
@@ -629,6 +631,7 @@ def _joined(docs: DataFrame, text: str, key: str, words: int, percent: int) -> D
     whole = scratch.cut(of.groupBy("root").agg(F.min("least").alias("component_id"), F.min(best).alias("best"), F.count(F.lit(1)).alias("sets")), "wholes")
     of = join_groups(of, whole, ["root"], "sets", "id").select("c", "d", "rows", "component_id", ((F.col("c") == F.col("best.c")) & (F.col("d") == F.col("best.d"))).alias("first"))
     of = scratch.cut(of, "components")
+    scratch.drop("classes", "near", "all", "roots", "wholes")
     out = join_groups(profiles.select("k", "h", "n", "c", "d"), of, ["c", "d"], "rows", "h")
     return out.select("k", "h", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
 

@@ -360,6 +360,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     plain = scratch.cut(plain.withColumns({"m": number(1), "m2": number(17)}), "plain")
     copies = plain.groupBy("m", "m2").agg(F.count(F.lit(1)).alias("rows"))
     out = join_groups(plain, scratch.cut(changed.join(copies, ["m", "m2"]), "counted"), ["m", "m2"], "rows", "k")
+    scratch.drop("spans", "changed")
     return out.select(
         F.col("k").alias(key),
         "n_bytes",
