@@ -38,6 +38,8 @@ COUNTED = 1 << 62
 SHORT_LIST, LIST_BLOCK, FINE_LIST = 16, 64, 128
 #: A map task combines the entries of a list from this number on.
 COMBINE = 32
+#: Bytes of text that are made into sets at once; shingles that are counted, and entries that are combined, at once.
+SET_BYTES, HELD_SHINGLES, HELD_ENTRIES = 1 << 20, 1_000_000, 250_000
 #: Shingles of a tile: 8 MiB.  About so many sets of a family are its pilots.
 TILE_SHINGLES, PILOTS = 1 << 20, 64
 #: Sets of a tile whose intersections with all others are kept for deriving those of others.
@@ -105,7 +107,7 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 def _sets(batches, words):
     for batch in batches:
         data, off = text_buffer(batch.column("t"))
-        for i, j in blocks(off):
+        for i, j in blocks(off, SET_BYTES):
             yield batch.slice(i, j - i), shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
 
 
@@ -121,7 +123,7 @@ def _hot_shingles(rows: DataFrame, rule: Rule, scratch: Scratch) -> np.ndarray:
         for _, sets in _sets(batches, rule.words):
             held += [s[: np.searchsorted(s, np.uint64(COUNTED >> 1))] for s in sets]
             size += sum(map(len, held[-len(sets) :])) if sets else 0
-            if size > 2_000_000:
+            if size > HELD_SHINGLES:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -389,7 +391,7 @@ def _family_edges(classes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
             n, ids, *sign = (np.repeat(batch.column(k).to_numpy(), size_of) for k in ("n", "id", *_SIGN))
             held.append(Entries({"t": t, "lo": n, "hi": n, "far": p, "rest": n - p, "sets": np.ones(len(t), dtype=np.int64), "id": ids} | dict(zip(_SIGN, sign, strict=True))))
             size += len(t)
-            if size > 500_000:
+            if size > HELD_ENTRIES:
                 yield from flush()
                 held, size = [], 0
         if size:
