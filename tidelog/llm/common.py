@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Bytes of text that are hashed at once; a single longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Texts of a block, however short.
 BLOCK_TEXTS = 4096
 #: Rows and bytes of an Arrow batch: batches of whole texts end by bytes, those of numbers by rows.

@@ -26,8 +26,8 @@ from tidelog.llm.common import Scratch, blocks, crc_mod, flat_broadcast, flat_vi
 FILTER_BITS, ENTRY_BITS = 1 << 30, 9
 #: The number of entries is foretold from word pairs whose hash is 0 modulo this.
 SAMPLE = 256
-#: Bytes of text that are scored, and hashes that are counted, at once.
-SCORE_BYTES, HELD = 1 << 20, 1_000_000
+#: Hashes that are counted at once.
+HELD = 1_000_000
 #: A segment of the filter is built by one task; a gram's bits lie in one block of it.
 SEGMENT_BITS, BLOCK_BITS, PROBES = 1 << 20, 512, 4
 #: Segments that are probed together where the filter isn't broadcast: 4 MiB.
@@ -124,7 +124,7 @@ def _counted(rows: DataFrame, what, columns: list[str], schema: str) -> DataFram
 
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off, SCORE_BYTES):
+            for i, j in blocks(off):
                 held.append(what(data[off[i] : off[j]], off[i : j + 1] - off[i]))
                 size += sum(map(len, held[-1]))
                 if size > HELD:
@@ -280,7 +280,7 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
         q = TaskContext.get().partitionId() << 40
         for batch in batches:
             _, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off, SCORE_BYTES):
+            for i, j in blocks(off):
                 lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(c).slice(i, j - i)) for c in ("k", "held_out", "t")]
                 yield pa.RecordBatch.from_arrays([pa.array([q]), *lists], ["q", "k", "held_out", "t"])
                 q += 1
@@ -397,7 +397,7 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
         model = Model(flat_view(shared), segments, tokens, kinds, novelty)
         for batch in batches:
             data, off = text_buffer(batch.column("t"))
-            for i, j in blocks(off, SCORE_BYTES):
+            for i, j in blocks(off):
                 yield from scored(model, batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i], row + i)
             row += batch.num_rows
 

@@ -38,8 +38,8 @@ COUNTED = 1 << 62
 SHORT_LIST, LIST_BLOCK, FINE_LIST = 16, 64, 128
 #: A map task combines the entries of a list from this number on.
 COMBINE = 32
-#: Bytes of text that are made into sets at once; shingles that are counted, and entries that are combined, at once.
-SET_BYTES, HELD_SHINGLES, HELD_ENTRIES = 1 << 20, 1_000_000, 250_000
+#: Shingles that are counted, and entries that are combined, at once.
+HELD_SHINGLES, HELD_ENTRIES = 1_000_000, 250_000
 #: Shingles of a tile: 8 MiB.  About so many sets of a family are its pilots.
 TILE_SHINGLES, PILOTS = 1 << 20, 64
 #: Sets of a tile whose intersections with all others are kept for deriving those of others.
@@ -107,7 +107,7 @@ def class_key(s: np.ndarray) -> tuple[int, int]:
 def _sets(batches, words):
     for batch in batches:
         data, off = text_buffer(batch.column("t"))
-        for i, j in blocks(off, SET_BYTES):
+        for i, j in blocks(off):
             yield batch.slice(i, j - i), shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
 
 
