@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import bloom, checksum, keys, order, regression
 from tidelog.operators import compaction, merge, resolve
 from tidelog.plans import workload
-from tidelog.plans.scratch import shared_folder
+from tidelog.plans.scratch import importable, shared_folder
 from tidelog.plans.store import Store
 from tidelog.schema import Options
 from tidelog.sources import kv
@@ -31,7 +32,12 @@ SEGMENT_ROWS, BLOCK_ROWS = 360, 128
 
 def query(sql: str | None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark, sf_dir):
+            importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql.replace("{LOG}", LOG_SQL)
         return f

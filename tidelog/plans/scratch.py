@@ -1,14 +1,24 @@
-"""The folder that driver and executors share for what outlives a job."""
+"""What driver and executors share: a folder for what outlives a job, and where workers find this package."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that begin from now on import this package."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
 def shared_folder(spark: SparkSession) -> str:

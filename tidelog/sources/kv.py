@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidelog.operators import resolve
 from tidelog.plans import manifest
+from tidelog.plans.scratch import importable
 from tidelog.plans.store import Store
 
 
@@ -73,4 +74,5 @@ class StoreSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.dataSource.register(StoreSource)
