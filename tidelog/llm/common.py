@@ -6,6 +6,7 @@ found, lower-cased and hashed with numpy over that buffer and no Python string i
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import shutil
@@ -87,6 +88,21 @@ def _local_base() -> str:
     return _LOCAL[0]
 
 
+def trimmed(work):
+    """The work of a task, after which the worker gives the memory that it no longer uses back to the machine: workers
+    stay for later tasks of other kinds, beside which they would hold it."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library that has no such call
+            pass
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -272,7 +288,7 @@ def bloom_of(values: DataFrame, scratch: Scratch, name: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    parts = scratch.cut(values.coalesce(8).mapInArrow(build, "bits binary"), f"{name}_bits")
+    parts = scratch.cut(values.coalesce(8).mapInArrow(trimmed(build), "bits binary"), f"{name}_bits")
     for row in parts.toLocalIterator():
         out |= np.frombuffer(row["bits"], dtype=np.uint8)
     scratch.drop(f"{name}_bits")

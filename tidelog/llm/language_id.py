@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import LOWER, blocks, crc_mod, text_buffer
+from tidelog.llm.common import LOWER, blocks, crc_mod, text_buffer, trimmed
 
 #: Trigrams are hashed to so many features; the model has as many numbers for each language.
 FEATURE_BITS = 14
@@ -70,7 +70,7 @@ def learn(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0], pa.int32()), pa.array([0], pa.int64())], ["l", "f", "n"])
 
     # One row for each language and feature.
-    got = rows.mapInArrow(count, "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    got = rows.mapInArrow(trimmed(count), "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(got["l"].unique().tolist())
     table = np.full((len(names), FEATURES), SMOOTH)
     np.add.at(table, (np.searchsorted(names, got["l"].to_numpy(dtype=str)) if names else [], got["f"].to_numpy(dtype=int)), got["n"].to_numpy(dtype=float))
@@ -152,5 +152,5 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
             said = [names[p] if ok else "und" for p, ok in zip(pred, letter, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("held_out"), pa.array(said, pa.string()), pa.array(np.where(letter, share, 0.0).astype(float))], ["k", "held_out", "lang_pred", "score"])
 
-    out = rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    out = rows.mapInArrow(trimmed(work), f"k {rows.schema['k'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("k", key)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch, blocks, crc_mod, flat_broadcast, flat_view, mix, text_buffer, word_hashes
+from tidelog.llm.common import Scratch, blocks, crc_mod, flat_broadcast, flat_view, mix, text_buffer, word_hashes, trimmed
 
 #: Largest filter that is broadcast, 128 MiB, and the bits for each entry.
 FILTER_BITS, ENTRY_BITS = 1 << 30, 9
@@ -134,7 +134,7 @@ def _counted(rows: DataFrame, what, columns: list[str], schema: str) -> DataFram
             yield from flush()
 
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(trimmed(work), schema)
 
 
 class Model:
@@ -228,7 +228,7 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> Trained:
             gram = unigram(b.column("h").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(segment(gram)), pa.array(gram.view(np.int64)), b.column("c"), pa.array(np.ones(len(gram), dtype=np.int8))], ["s", "h", "n", "b"])
 
-    grams = _counted(rows, pairs, {"s": segment}, "s int, h long, n long, b byte").unionByName(vocabulary.mapInArrow(singles, "s int, h long, n long, b byte"))
+    grams = _counted(rows, pairs, {"s": segment}, "s int, h long, n long, b byte").unionByName(vocabulary.mapInArrow(trimmed(singles), "s int, h long, n long, b byte"))
     summed = grams.repartition(_parts(spark, segments), "s").groupBy("s", "h", "b").agg(F.sum("n").alias("n"))
 
     def build(batches):
@@ -252,7 +252,7 @@ def train(docs: DataFrame, scratch: Scratch, text: str = "text") -> Trained:
         for s, bits in made.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["s", "bits"])
 
-    made = scratch.cut(summed.mapInArrow(build, "s int, bits binary"), "filter")
+    made = scratch.cut(summed.mapInArrow(trimmed(build), "s int, bits binary"), "filter")
     whole = segments * SEGMENT_BITS <= FILTER_BITS
     bits, different = np.zeros(segments * SEGMENT_BITS // 8, dtype=np.uint8) if whole else None, 0
     for row in (made if whole else made.filter("s < 0")).toLocalIterator():  # FILTER_BITS in all
@@ -285,7 +285,7 @@ def _chunks(rows: DataFrame, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([q]), *lists], ["q", "k", "held_out", "t"])
                 q += 1
 
-    return rows.mapInArrow(work, f"q long, k array<{kind}>, held_out array<boolean>, t array<string>")
+    return rows.mapInArrow(trimmed(work), f"q long, k array<{kind}>, held_out array<boolean>, t array<string>")
 
 
 def _answers(chunks: DataFrame, segments: int, made: DataFrame) -> DataFrame:
@@ -325,10 +325,10 @@ def _answers(chunks: DataFrame, segments: int, made: DataFrame) -> DataFrame:
                 q, g, levels = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(g, pa.int32()), pa.array(levels, pa.binary())], ["q", "g", "bits"])
 
-    asked = chunks.select("q", "t").mapInArrow(ask, "g int, s int, q long, bits binary")
+    asked = chunks.select("q", "t").mapInArrow(trimmed(ask), "g int, s int, q long, bits binary")
     held = made.select(F.floor(F.col("s") / GROUP).cast("int").alias("g"), "s", F.lit(-1).cast("long").alias("q"), "bits")
     both = held.unionByName(asked).repartition(_parts(spark, segments), "g").sortWithinPartitions("g", F.col("s") < 0)
-    answers = both.mapInArrow(answer, "q long, g int, bits binary")
+    answers = both.mapInArrow(trimmed(answer), "q long, g int, bits binary")
     return answers.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("g", "bits"))).alias("levels"))
 
 
@@ -419,10 +419,10 @@ def score(docs: DataFrame, training: DataFrame, held_out, text: str = "text", ke
     kind = rows.schema["k"].dataType.simpleString()
     columns = f"r long, k {kind}, held_out boolean, h long, n_tokens long, m long, base double, lm double"
     if made is None:
-        found = rows.mapInArrow(work, columns)
+        found = rows.mapInArrow(trimmed(work), columns)
     else:
         chunks = scratch.cut(_chunks(rows, kind), "chunks")
-        found = chunks.join(_answers(chunks, segments, made), "q", "left").mapInArrow(work_answered, columns)
+        found = chunks.join(_answers(chunks, segments, made), "q", "left").mapInArrow(trimmed(work_answered), columns)
     # Written, so that the model needn't stay in executors' memory for as long as the result lives.
     found = scratch.cut(found, "found")
     scratch.drop("filter", "chunks")

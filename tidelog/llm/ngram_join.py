@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import STEP, Scratch, blocks, bloom_of, grams, in_bloom, join_groups, mix, text_buffer, word_hashes
+from tidelog.llm.common import STEP, Scratch, blocks, bloom_of, grams, in_bloom, join_groups, mix, text_buffer, word_hashes, trimmed
 from tidelog.llm.components import components
 
 #: Shingles of more sets than this come last in the order; of more than ``HOT_MOST`` shingles only the commonest do.
@@ -129,7 +129,7 @@ def _hot_shingles(rows: DataFrame, rule: Rule, scratch: Scratch) -> np.ndarray:
         if size:
             yield from flush()
 
-    hot = rows.select("t").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+    hot = rows.select("t").mapInArrow(trimmed(count), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
     hot = scratch.cut(hot, "hot")
     # Of many hot shingles the filter takes the commonest, so that it stays sparse: a row for each power of two.
     level = F.floor(F.log2("n"))
@@ -191,7 +191,7 @@ def _profiles(rows: DataFrame, rule: Rule, hot) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([int(x[i]) for x in sign], pa.int64()) for i in range(SIGNATURE))], ["k", "h", "n", "c", "d", "prefix", *_SIGN])
 
     kind = rows.schema["k"].dataType.simpleString()
-    return rows.mapInArrow(work, f"k {kind}, h long, n long, c long, d long, prefix array<long>, " + ", ".join(f"{w} long" for w in _SIGN))
+    return rows.mapInArrow(trimmed(work), f"k {kind}, h long, n long, c long, d long, prefix array<long>, " + ", ".join(f"{w} long" for w in _SIGN))
 
 
 def _class_sets(rows: DataFrame, rule: Rule, needed) -> DataFrame:
@@ -212,7 +212,7 @@ def _class_sets(rows: DataFrame, rule: Rule, needed) -> DataFrame:
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(b, pa.binary())], ["c", "d", "s"])
 
-    return rows.select("t").mapInArrow(work, "c long, d long, s binary").dropDuplicates(["c", "d"])
+    return rows.select("t").mapInArrow(trimmed(work), "c long, d long, s binary").dropDuplicates(["c", "d"])
 
 
 # ---------------------------------------------------------------- families
@@ -455,8 +455,8 @@ def _family_edges(classes: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame
             (lists or LongList(rule, families)).add(held)
         yield from emit(True)
 
-    dealt = classes.select("id", "n", "prefix", *_SIGN).mapInArrow(post, _ENTRY).repartition("t").sortWithinPartitions("t", "lo", "id")
-    met = scratch.cut(dealt.mapInArrow(meet, ", ".join(f"{k} long" for k in _MET)), "met")
+    dealt = classes.select("id", "n", "prefix", *_SIGN).mapInArrow(trimmed(post), _ENTRY).repartition("t").sortWithinPartitions("t", "lo", "id")
+    met = scratch.cut(dealt.mapInArrow(trimmed(meet), ", ".join(f"{k} long" for k in _MET)), "met")
     pairs = met.filter("nu is not null").groupBy("u", "v").agg(F.count(F.lit(1)).alias("s"), *(F.max(k).alias(k) for k in _MET[2:]))
     # Linked sets share so many shingles of their prefixes; what one has before their last common one and doesn't
     # share is lacking in the other.
@@ -571,7 +571,7 @@ def _solve(dealt: DataFrame, rule: Rule, keys: list[str]) -> DataFrame:
             yield from solve()
 
     dealt = dealt.select(*keys, "id", "q", "ask", "s").repartition(*keys).sortWithinPartitions(*keys, "id")
-    return dealt.mapInArrow(work, "u long, v long")
+    return dealt.mapInArrow(trimmed(work), "u long, v long")
 
 
 def _links(classes: DataFrame, rows: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:

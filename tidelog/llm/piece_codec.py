@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import trimmed
+
 SPACE_MARK = "\u2581"
 #: Segments remembered in a worker; the memory is emptied when full.
 MEMO = 300_000
@@ -329,4 +331,4 @@ def _run(docs: DataFrame, model_path: str, text: str, key: str, lists: tuple, di
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"k {kind}, " + "".join(f"{c} array<int>, " for c in lists) + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", spans_sha256 string" * digest
-    return rows.mapInArrow(work, schema).withColumnRenamed("k", key)
+    return rows.mapInArrow(trimmed(work), schema).withColumnRenamed("k", key)

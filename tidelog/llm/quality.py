@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks, grams, text_buffer, word_hashes, word_spans
+from tidelog.llm.common import blocks, grams, text_buffer, word_hashes, word_spans, trimmed
 
 #: The trees are fitted on so many labelled rows at most, those with the smallest hash of their id.
 FIT_ROWS = 20_000
@@ -124,7 +124,7 @@ def _rows(docs: DataFrame, text: str, keep: list[str], work, schema: str) -> Dat
                 yield from work(batch, np.concatenate(parts))
 
     kept = "".join(f"{n} {rows.schema[n].dataType.simpleString()}, " for n in names)
-    out = rows.mapInArrow(run, kept + schema)
+    out = rows.mapInArrow(trimmed(run), kept + schema)
     return out.toDF(*keep, *out.columns[len(keep) :])
 
 

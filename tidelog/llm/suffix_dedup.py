@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BYTE_CODE, STEP, Scratch, blocks, bloom_of, in_bloom, join_groups, mix, text_buffer
+from tidelog.llm.common import BYTE_CODE, STEP, Scratch, blocks, bloom_of, in_bloom, join_groups, mix, text_buffer, trimmed
 
 LENGTH = 400
 #: Windows of a part.
@@ -168,7 +168,7 @@ def _tally(rows: DataFrame, length: int, names) -> DataFrame:
         if size:
             yield from flush()
 
-    return rows.mapInArrow(work, "h long, x long, y long, n long").groupBy("h", "x", "y").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(work), "h long, x long, y long, n long").groupBy("h", "x", "y").agg(F.sum("n").alias("n"))
 
 
 def _both(anchor: np.ndarray, run: np.ndarray) -> np.ndarray:
@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) ->
 
     def keyed(tallied: DataFrame, several: DataFrame, name: str) -> DataFrame:
         """(h, n): the names of both levels as one, and their count, where the first has several of the second."""
-        return scratch.cut(tallied.join(several, "h", "left_semi").mapInArrow(key, "h long, n long"), name)
+        return scratch.cut(tallied.join(several, "h", "left_semi").mapInArrow(trimmed(key), "h long, n long"), name)
 
     keys = keyed(runs.select("h", "x", "n"), anchors.filter("kinds > 1").select("h"), "keys")
     compared = share(bloom_of(keys.select("h"), scratch, "compared"))
@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, text: str, length: int) ->
             place = a[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             yield from give(doc[of[each]], place, place, names[place], content_names(data, place, length), 2, alone[of[each]])
 
-    found = scratch.cut(rows.mapInArrow(work, "m long, m2 long, lo int, hi int, x long, y long, kind byte, own boolean"), "found")
+    found = scratch.cut(rows.mapInArrow(trimmed(work), "m long, m2 long, lo int, hi int, x long, y long, kind byte, own boolean"), "found")
     scratch.sweep()
     spans = ["m", "m2", "lo", "hi"]
     whole = found.filter("kind = 0").join(runs.filter("n > 1").select("x", "y"), ["x", "y"], "left_semi").select(*spans)
@@ -316,7 +316,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     scratch = Scratch(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     spans = repeated_spans(docs, scratch, text, length).repartition("m").sortWithinPartitions("m", "m2", "lo")
-    spans = scratch.cut(spans.mapInArrow(_merge(length), "m long, m2 long, starts array<int>, ends array<int>"), "spans")
+    spans = scratch.cut(spans.mapInArrow(trimmed(_merge(length)), "m long, m2 long, starts array<int>, ends array<int>"), "spans")
     scratch.drop("found", "runs", "keys", "anchors", "pieces", "torn")
     scratch.sweep()
     marked = share(bloom_of(spans.select(F.col("m").alias("h")), scratch, "marked"))
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
     # A text that is removed as a whole needs no look at its bytes.
     size = F.octet_length("t")
-    texts = rows.select("t").mapInArrow(pick, "m long, m2 long, t binary").join(spans, ["m", "m2"])
+    texts = rows.select("t").mapInArrow(trimmed(pick), "m long, m2 long, t binary").join(spans, ["m", "m2"])
     entire = (F.size("starts") == 1) & (F.element_at("starts", 1) == 0) & (F.element_at("ends", 1) == size)
     texts = texts.withColumn("t", F.when(entire, F.lit(b"")).otherwise(F.col("t"))).withColumn("entire", entire).dropDuplicates(["m", "m2"])
 
@@ -354,7 +354,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("m2"), pa.array(removed, pa.int64()), pa.array([len(a) for a in batch.column("starts").to_pylist()], pa.int64()), pa.array(sha, pa.string())], ["m", "m2", "removed", "spans", "kept"])
 
-    changed = scratch.cut(texts.mapInArrow(cut, "m long, m2 long, removed long, spans long, kept string"), "changed")
+    changed = scratch.cut(texts.mapInArrow(trimmed(cut), "m long, m2 long, removed long, spans long, kept string"), "changed")
     plain = rows.select("k", size.cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
     number = lambda at: F.conv(F.substring("sha", at, 16), 16, -10).cast("long")
     plain = scratch.cut(plain.withColumns({"m": number(1), "m2": number(17)}), "plain")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import blocks
+from tidelog.llm.common import blocks, trimmed
 
 #: Characters of a chunk and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 512
@@ -226,5 +226,5 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
             counts = [next(short) if len(t) <= chunk else resynchronise(tok, t, chunk, overlap) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(counts, pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], ["k", "n_tokens", "n_bytes"])
 
-    out = rows.mapInArrow(work, f"k {rows.schema['k'].dataType.simpleString()}, n_tokens long, n_bytes long")
+    out = rows.mapInArrow(trimmed(work), f"k {rows.schema['k'].dataType.simpleString()}, n_tokens long, n_bytes long")
     return out.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

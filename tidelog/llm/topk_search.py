@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Scratch
+from tidelog.llm.common import Scratch, trimmed
 
 #: Most pivots; about the square root of the rows is taken.
 PIVOTS = 256
@@ -128,11 +128,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell])], ["cell", "d"])
 
     queries = data.filter(is_query).dropDuplicates(["k"])
-    near = data.mapInArrow(summarise, "k long, cell int, d double")
+    near = data.mapInArrow(trimmed(summarise), "k long, cell int, d double")
     order = Window.partitionBy("cell").orderBy("d")
     nearest = near.dropDuplicates(["k"]).withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("d")).alias("near"))
     summary = near.groupBy("cell").agg(F.max("d").alias("radius")).join(nearest, "cell", "left").withColumn("near", F.coalesce("near", F.array().cast("array<double>"))).collect()  # a row for each pivot
-    asked = queries.mapInArrow(groups, "cell int, d double").groupBy("cell").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pivot
+    asked = queries.mapInArrow(trimmed(groups), "cell int, d double").groupBy("cell").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pivot
     reach = {row["cell"]: float(row["far"]) for row in asked}
 
     # Upper bound of the k-th distance of each group: through its own pivot to the nearest members of each cell, one for
@@ -230,7 +230,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector
         yield from best()
 
     schema = "g int, b int, k long, x array<double>, data boolean"
-    dealt = data.mapInArrow(replicate, schema).unionByName(queries.mapInArrow(ask, schema)).repartition("g", "b").sortWithinPartitions("g", "b", "data")
-    found = dealt.mapInArrow(solve, "query_id long, vec_id long, score long")
+    dealt = data.mapInArrow(trimmed(replicate), schema).unionByName(queries.mapInArrow(trimmed(ask), schema)).repartition("g", "b").sortWithinPartitions("g", "b", "data")
+    found = dealt.mapInArrow(trimmed(solve), "query_id long, vec_id long, score long")
     top = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
