@@ -11,6 +11,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -88,17 +89,33 @@ def _local_base() -> str:
     return _LOCAL[0]
 
 
+#: Seconds after which a task in work gives memory back.
+TRIM_SECONDS = 1.0
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library that has no such call
+        pass
+
+
 def trimmed(work):
-    """The work of a task, after which the worker gives the memory that it no longer uses back to the machine: workers
-    stay for later tasks of other kinds, beside which they would hold it."""
+    """The work of a task, in which and after which the worker gives the memory that it no longer uses back to the
+    machine: what one block has left would add to the next task's peak, and workers stay for later tasks of other kinds,
+    beside which they would hold it."""
+
+    def given(batches, last):
+        for batch in batches:
+            if time.monotonic() - last[0] > TRIM_SECONDS:
+                _trim()
+                last[0] = time.monotonic()
+            yield batch
 
     def run(batches):
-        yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # a C library that has no such call
-            pass
+        yield from work(given(batches, [time.monotonic()]))
+        _trim()
 
     return run
 
