@@ -1,6 +1,9 @@
 import functools
+import time
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import bloom, checksum, keys, order, regression
@@ -131,6 +134,60 @@ def test_search_window_holds_the_entry(spark):
     assert bad.count() == 0 and window.count() == len(rows)
 
 
+def blocks_of_points(rng, groups):
+    sizes = rng.integers(1, 129, groups)
+    x = np.concatenate([np.sort(rng.integers(0, rng.choice([3, 200, 10**6]), n)) for n in sizes]).astype(float)
+    y = np.concatenate([40.0 * np.arange(n) for n in sizes]) + np.repeat(rng.integers(0, 9, groups) * 5120.0, sizes)
+    return np.cumsum(sizes) - sizes, sizes, x, y
+
+
+def test_groups_that_advance_together_get_the_same_lines():
+    starts, sizes, x, y = blocks_of_points(np.random.default_rng(3), 300)
+    one = [(g, *line) for g, (s, n) in enumerate(zip(starts, sizes)) for line in regression.greedy_segments(x[s : s + n], y[s : s + n])]
+    assert list(zip(*(c.tolist() for c in regression.greedy_groups(starts, x, y)))) == one and len(one) > 600
+    assert len(regression.greedy_groups([], [], [])[0]) == 0
+
+
+def test_lines_of_a_million_points_take_seconds():
+    starts, _, x, y = blocks_of_points(np.random.default_rng(4), 15_000)
+    began = time.process_time()
+    regression.greedy_groups(starts, x, y)
+    assert len(x) > 900_000 and time.process_time() - began < 10  # one at a time a tenth of them took 3 seconds
+
+
+@pytest.mark.parametrize("rows_at_once", [1 << 17, 200])
+def test_lookups_are_those_of_the_search_window(spark, monkeypatch, rows_at_once):
+    monkeypatch.setattr(regression, "_ROWS", rows_at_once)
+    rng = np.random.default_rng(5)
+    some = [(int(s), int(k)) for s, n in enumerate([1, 127, 128, 129, 700, 1500]) for k in rng.integers(0, [9, 10**6][s % 2], n)]
+    log = spark.createDataFrame(some, "segment long, key long")
+    w = Window.partitionBy("segment").orderBy("key")
+    p = log.withColumn("n", F.row_number().over(w) - 1).withColumns({"block": F.col("segment") * 1000 + F.floor(F.col("n") / 128), "pos": F.col("n") * 40})
+    p = p.localCheckpoint()
+    bounds = p.groupBy("block").agg(F.min("pos").alias("begin"), F.max("pos").alias("end"))
+    window = regression.search_window(regression.piecewise(p, "block", "key", "pos"), p.select("block", "key").distinct(), bounds, "block", "key")
+    want = p.join(window, ["block", "key"]).select("segment", "n", ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high") + 40)).alias("held"))
+    want = sorted(map(tuple, want.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    got = sorted(map(tuple, regression.lookups(log, "segment", "key", 128).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(got) == len(some)
+
+
+def test_lookups_keep_entries_without_a_key(spark):
+    log = spark.createDataFrame([(1, None)] * 130 + [(1, k) for k in range(9)] + [(2, None), (None, 4)], "segment long, key long")
+    got = sorted(map(tuple, regression.lookups(log, "segment", "key", 128).collect()))
+    assert got == [(1, n, True) for n in range(139)] + [(2, 0, True)]
+
+
+def test_windows_do_not_hold_every_place():
+    x = np.arange(128.0)
+    starts, pos = np.array([0]), 40 * np.arange(128)
+    of, _, _, slope, intercept, _ = regression.greedy_groups(starts, x, pos)
+    held = regression.in_window(np.zeros(128, dtype=int), x, pos[::-1], pos[:1], pos[-1:], (of, slope, intercept))
+    assert held[60:68].any() and not held[0] and not held[127]
+
+
 def test_plane(spark):
     rows = [(1, h, l, 3.0 * h + 2 * l) for h in range(10) for l in range(10)]
     r = regression.fit_plane(spark.createDataFrame(rows, "g int, h long, l long, y double"), "g", "h", "l", "y").first()

@@ -453,11 +453,7 @@ def kv_plr(spark, sf_dir):
 )
 def kv_learned_lookup(spark, sf_dir):
     """Whether each entry stands in the window that its block's learned lines give for its key."""
-    p = positions(spark, sf_dir).withColumn("block", F.shiftleft("segment", 24) + F.floor(F.col("n") / BLOCK_ROWS))
-    # Entries of one key have one prediction; their window holds the entries within the lines' tolerance.
-    blocks = p.groupBy("block").agg(F.min("pos").alias("begin"), F.max("pos").alias("end"))
-    windows = regression.search_window(regression.piecewise(p, "block", "key", "pos"), p.select("block", "key").distinct(), blocks, "block", "key")
-    return p.join(windows, ["block", "key"]).select("segment", "n", ((F.col("pos") >= F.col("low")) & (F.col("pos") < F.col("high") + regression.ENTRY_BYTES)).alias("held"))
+    return regression.lookups(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", BLOCK_ROWS).withColumnRenamed("l_suppkey", "segment")
 
 
 @query(

@@ -91,38 +91,184 @@ def greedy_segments(x, y, tolerance: float = 2 * ENTRY_BYTES) -> list[tuple[floa
     return out
 
 
+#: Rows that a worker fits at a time, and cells of the tables in which groups advance together.
+_ROWS, _CELLS = 1 << 17, 1 << 20
+
+
+def greedy_groups(starts, x, y, tolerance: float = 2 * ENTRY_BYTES) -> tuple[np.ndarray, ...]:
+    """(group, first x, last x, slope, intercept, points): ``greedy_segments`` of groups that lie end to end, in order.
+
+    ``starts`` are the places of the groups' first points.  Groups advance together, a point of each at a time, by the
+    operations of ``Line.add`` in their order, so the numbers are the same to the last bit.
+    """
+    x, y, starts = np.asarray(x, dtype=np.float64), np.asarray(y, dtype=np.float64), np.asarray(starts, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(x)))
+    order = np.argsort(-sizes, kind="stable")
+    found, done = [], 0
+    while done < len(order):
+        some = order[done : done + max(1, _CELLS // int(sizes[order[done]]))]
+        found += _advance(some, starts[some], sizes[some], x, y, tolerance)
+        done += len(some)
+    if not found:
+        return np.zeros(0, dtype=np.int64), *(np.zeros(0) for _ in range(4)), np.zeros(0, dtype=np.int64)
+    group, begin, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
+    at = np.lexsort((begin, group))
+    return group[at], *(c[at] for c in rest)
+
+
+def _advance(group, starts, sizes, x, y, tolerance) -> list[tuple]:
+    """Lines, with the places where they begin, of groups in falling order of size: a column each."""
+    cell = np.minimum(starts + np.arange(sizes[0])[:, None], len(x) - 1)
+    x, y, found, every = x[cell], y[cell], [], np.arange(len(group))
+    sums, lost = np.zeros((4, len(group))), np.zeros((4, len(group)))
+    begin, slope, intercept = np.zeros(len(group), dtype=np.int64), np.zeros(len(group)), np.zeros(len(group))
+
+    def close(which, end):
+        b = begin[which]
+        found.append((group[which], b, x[b, which], x[end - 1, which], slope[which], intercept[which], end - b))
+
+    for i in range(int(sizes[0])):
+        k = int(np.searchsorted(-sizes, -i, side="left"))  # those with more than i points
+        a, c, b = x[i, :k], y[i, :k], begin[:k]
+        point = np.stack((a, c, a * a, a * c))
+        term = point - lost[:, :k]
+        total = sums[:, :k] + term
+        rest = (total - sums[:, :k]) - term
+        n, (sx, sy, sxx, sxy) = i - b + 1, total
+        x0, y0 = x[b, every[:k]], y[b, every[:k]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = sxx * n - sx * sx
+            m = np.where(spread != 0, (sxy * n - sx * sy) / spread, 0.0)
+            d = (sy - m * sx) / n
+            pair = (n == 2) & (a != x0)
+            m = np.where(pair, (c - y0) / (a - x0), m)
+        m = np.where(n == 1, 0.0, m)
+        d = np.where(n == 1, c, np.where(pair, y0 - m * x0, d))
+        low = int(b.min())
+        error = np.abs(y[low : i + 1, :k] - m * x[low : i + 1, :k] - d)
+        error[np.arange(low, i + 1)[:, None] < b] = 0
+        off = np.floor(error.max(axis=0)) >= tolerance
+        sums[:, :k], lost[:, :k] = np.where(off, point, total), np.where(off, 0.0, rest)
+        if off.any():
+            close(np.flatnonzero(off), i)
+        slope[:k], intercept[:k] = np.where(off, 0.0, m), np.where(off, c, d)
+        begin[:k][off] = i
+    close(every, sizes)
+    return found
+
+
+def _joined(batches, cut, size):
+    """Batches joined to tables of some ``size`` rows, of which all but the rows from place ``cut(table)`` on are given."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        rows += b.num_rows
+        if rows >= size:
+            t = pa.concat_tables(held).combine_chunks()
+            at = cut(t)
+            if at:
+                yield t.slice(0, at)
+            held, rows = [t.slice(at)], 0  # the rest begins a group that may be long
+    if held and (t := pa.concat_tables(held).combine_chunks()).num_rows:
+        yield t
+
+
+def _changes(column) -> np.ndarray:
+    """Places, the first too, where a column differs from the row before."""
+    code = column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+
+
 def piecewise(log: DataFrame, group: str, x: str, y: str, tolerance: float = 2 * ENTRY_BYTES) -> DataFrame:
     """(group, part, first, last, slope, intercept, points) of each group's greedy lines, in order of x.
 
-    A group is one index block, so it is small by construction; rows stream through sorted partitions.
+    A group is one index block, so it is small by construction; rows stream through sorted partitions.  Rows without x or
+    y are in no line.
     """
-    kind = log.schema[group].dataType.simpleString()
+    kind, size = log.schema[group].dataType.simpleString(), _ROWS
 
     def work(batches):
-        at, xs, ys = None, [], []
-
-        def close():
-            rows = greedy_segments(xs, ys, tolerance)
-            return pa.RecordBatch.from_pydict({"g": [at] * len(rows), "part": list(range(len(rows))), **{n: [r[i] for r in rows] for i, n in enumerate(("first", "last", "slope", "intercept", "points"))}}, schema=schema)
-
-        schema = None
-        for b in batches:
-            schema = pa.schema([("g", b.schema.field("g").type), ("part", pa.int32()), *((n, pa.float64()) for n in ("first", "last", "slope", "intercept")), ("points", pa.int64())])
-            for g, a, c in zip(b.column("g").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                if g != at:
-                    if xs:
-                        yield close()
-                    at, xs, ys = g, [], []
-                xs.append(a)
-                ys.append(c)
-        if xs:
-            yield close()
-
-    rows = log.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        for t in _joined(batches, lambda t: int(_changes(t.column("g"))[-1]), size):
+            starts = _changes(t.column("g"))
+            of, *rest, points = greedy_groups(starts, t.column("x").to_numpy(), t.column("y").to_numpy(), tolerance)
+            part = (np.arange(len(of)) - np.searchsorted(of, of)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks().take(pa.array(starts[of])), *map(pa.array, (part, *rest, points))], ["g", "part", "first", "last", "slope", "intercept", "points"])
+
+    rows = log.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
     out = rows.repartition("g").sortWithinPartitions("g", "x", "y").mapInArrow(work, f"g {kind}, part int, first double, last double, slope double, intercept double, points long")
     return out.withColumnRenamed("g", group)
 
 
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """Whole numbers as by ``predict``: halves go away from zero."""
+    whole = np.trunc(v)
+    return whole + np.where(np.abs(v - whole) >= 0.5, np.sign(v), 0.0)
+
+
+def in_window(group, x, pos, begin, end, lines) -> np.ndarray:
+    """Whether each point (group, x, pos) stands in the window that ``search_window`` gives for its x.
+
+    ``begin`` and ``end`` are the groups' bounds, and ``lines`` the (group, slope, intercept) of all lines, in order.
+    """
+    of, slope, intercept = lines
+    first, number = np.searchsorted(of, np.arange(len(begin))), np.bincount(of, minlength=len(begin))
+    low, high = np.full(len(x), np.inf), np.full(len(x), -np.inf)
+    for j in range(int(number.max(initial=0))):
+        some = np.flatnonzero(number[group] > j)
+        at = first[group[some]] + j
+        guess = _rounded(slope[at] * x[some] + intercept[at])
+        low[some], high[some] = np.minimum(low[some], guess), np.maximum(high[some], guess)
+    off = 2 * ENTRY_BYTES
+    begin, end = begin[group], end[group]
+    low = np.maximum(np.maximum((low - off).astype(np.int64), begin), 0)
+    low -= (low - begin) % ENTRY_BYTES
+    high = np.maximum(np.minimum((high + off).astype(np.int64), end), low)
+    high += ENTRY_BYTES - (high - begin) % ENTRY_BYTES
+    return (pos >= low) & (pos < high + ENTRY_BYTES)
+
+
+def lookups(entries: DataFrame, segment: str, key: str, block_rows: int) -> DataFrame:
+    """(segment, n, held): whether the n-th entry of a segment by key stands in the window that the lines of its block of
+    ``block_rows`` entries give for its key.
+
+    Rows are dealt out and sorted once; places, lines and windows are made where the sorted rows stream by.  Places
+    depend on keys alone, so entries of one key may come in any order.  An entry without a key is in no line, and its
+    window is its block; one without a segment is in none.
+    """
+    kind, size = entries.schema[segment].dataType.simpleString(), _ROWS
+
+    def work(batches):
+        base = ahead = 0  # places in their segments of the first row of this table and of the next
+
+        def blocks(t):
+            first = _changes(t.column("g"))
+            since = np.repeat(np.append(-base, first[1:]), np.diff(np.append(first, t.num_rows)))
+            n = np.arange(t.num_rows) - since
+            return n, np.flatnonzero((np.arange(t.num_rows) == since) | (n % block_rows == 0))
+
+        def cut(t):
+            nonlocal ahead
+            n, starts = blocks(t)
+            ahead = int(n[starts[-1]])
+            return int(starts[-1])
+
+        for t in _joined(batches, cut, size):
+            n, starts = blocks(t)
+            base = ahead
+            rows = np.diff(np.append(starts, t.num_rows))
+            group, pos, x = np.repeat(np.arange(len(starts)), rows), n * ENTRY_BYTES, t.column("x").to_numpy()
+            held, some = np.ones(t.num_rows, dtype=bool), np.flatnonzero(~np.isnan(x))
+            fitted = np.flatnonzero(np.append(True, np.diff(group[some]) > 0)) if len(some) else some
+            of, _, _, slope, intercept, _ = greedy_groups(fitted, x[some], pos[some])
+            lines = group[some][fitted][of], slope, intercept
+            held[some] = in_window(group[some], x[some], pos[some], pos[starts], pos[starts + rows - 1], lines)
+            yield pa.RecordBatch.from_arrays([t.column("g").combine_chunks(), pa.array(n.astype(np.int32)), pa.array(held)], ["g", "n", "held"])
+
+    rows = entries.select(F.col(segment).alias("g"), F.col(key).cast("double").alias("x")).filter("g is not null")
+    out = rows.repartition("g").sortWithinPartitions("g", "x").mapInArrow(work, f"g {kind}, n int, held boolean")
+    return out.withColumnRenamed("g", segment)
+
+
 def search_window(models: DataFrame, keys: DataFrame, blocks: DataFrame, group: str, x: str) -> DataFrame:
     """(key, group, low, high): where each key can stand in its block, over all lines of the block, on entry bounds.
 
