@@ -263,6 +263,52 @@ def test_merges_write_several_segments(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and s.full_scan().count() == 350 and s.check() == []
 
 
+def test_a_merge_has_fewer_tasks_than_segments(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(l0_trigger=2, segment_rows=10, fanout=1000))
+    for i in range(2):
+        s.put_all(batch_of(spark, range(i * 50, 300 + i * 50), str(i).encode()))
+    made = s.state["segments"]
+    folder = made[0]["path"].split("/")[0]
+    tasks = {n.split("-")[1] for part in s.files.names(folder) if part.startswith("part=") for n in s.files.names(f"{folder}/{part}") if n.startswith("part-")}
+    assert 50 <= len(made) <= 64 and len(tasks) <= spark.sparkContext.defaultParallelism
+    assert {x["level"] for x in made} == {1} and sum(x["rows"] for x in made) == 600 and s.check() == []
+    spans = sorted((x["min_key"], x["max_key"]) for x in made)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert [x["min_key"] for x in made] == [a for a, _ in spans] and len({x["id"] for x in made}) == len(made)
+    assert s.state["next_segment"] > max(x["id"] for x in made)
+    assert rows(s.full_scan()) == [(key(i), b"0" if i < 50 else b"1") for i in range(350)]
+
+
+def test_gc_cuts_segments_by_the_rows_that_stay(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(l0_trigger=99, segment_rows=50))
+    for i in range(6):
+        s.put_all(batch_of(spark, range(100), str(i).encode()))
+    s.gc()
+    again = Store.open(spark, s.files.root, s.options)
+    assert len(again.state["segments"]) <= 2 + spark.sparkContext.defaultParallelism and again.check() == []
+    assert rows(again.full_scan()) == [(key(i), b"5") for i in range(100)]
+
+
+def test_cut_runs_keep_keys_whole_and_move_no_rows(spark):
+    log = spark.createDataFrame([(k, i) for k, n in enumerate([1, 9, 25, 1, 1, 30, 2]) for i in range(n)], "user_key int, seq long")
+    cut = merge.cut_runs(merge.sorted_runs(log, partitions=1), 10, 7)
+    assert cut._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = [tuple(r) for r in cut.select("user_key", "part").distinct().orderBy("user_key").collect()]
+    assert got == [(0, 0), (1, 0), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6)] and cut.count() == 69
+
+
+def test_old_segments_go_whole_and_young_ones_stay(spark, tmp_path):
+    s = Store.open(spark, str(tmp_path / "s"), Options(l0_trigger=99, segment_rows=10, retain_seconds=3600))
+    for i in range(2):
+        s.put_all(batch_of(spark, range(30)))
+    s.gc()
+    folders = lambda: [n for n in s.files.names("") if n.startswith("seg-")]
+    assert len(folders()) == 3
+    s.files.age = lambda name: 4000.0
+    s.gc()
+    assert {x["path"].split("/")[0] for x in s.state["segments"]} == set(folders()) and s.full_scan().count() == 30 and s.check() == []
+
+
 def test_damage_is_found(spark, tmp_path):
     s = Store.open(spark, str(tmp_path / "s"))
     s.put_all(batch_of(spark, range(5)))

@@ -51,6 +51,19 @@ def sorted_runs(log: DataFrame, key: str = "user_key", seq: str = "seq", partiti
     return dealt.sortWithinPartitions(F.col(key).asc(), F.col(seq).desc())
 
 
+def cut_runs(runs: DataFrame, size: int, most: int, name: str = "part", key: str = "user_key", seq: str = "seq") -> DataFrame:
+    """The runs of ``sorted_runs`` cut into parts, numbered in key order, at the first key that begins ``size`` or more rows
+    after the part's place in its run; a key isn't split.  No run is cut into more than ``most`` parts.
+
+    The partitioning and order of the runs serve the window, so rows stay where they are.
+    """
+    at = runs.withColumn("_at", F.monotonically_increasing_id())
+    first = F.col("_at") - F.row_number().over(Window.partitionBy(key).orderBy(F.col(seq).desc())) + 1
+    run, place = F.shiftright(first, 33), first.bitwiseAND(F.lit((1 << 33) - 1))
+    parts = at.withColumn(name, run * most + F.floor(place / size)).drop("_at")
+    return parts.sortWithinPartitions(name, F.col(key).asc(), F.col(seq).desc())
+
+
 def dereference(pointers: DataFrame, values: DataFrame, on: list[str]) -> DataFrame:
     """Values of pointer rows: the join that separate key and value files need."""
     return pointers.join(values, on)

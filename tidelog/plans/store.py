@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidelog.functions import bloom
 from tidelog.operators import compaction, merge, resolve
@@ -20,6 +21,10 @@ log = logging.getLogger("tidelog")
 _FACTS = ("rows", "min_key", "max_key", "min_seq", "max_seq", "check")
 
 
+#: Bytes of rows from which on a merge has more tasks than the cluster has cores.
+_TASK_BYTES = 64 << 20
+
+
 def _facts() -> list:
     row = F.xxhash64("user_key", "seq", "kind", "value")
     each = (F.count(F.lit(1)), F.hex(F.min("user_key")), F.hex(F.max("user_key")), F.min("seq"), F.max("seq"), F.bit_xor(row))
@@ -149,31 +154,51 @@ class Store:
                 self.files.delete(f"log/{name}")
         self._maybe_compact()
 
-    def _segments(self, rows: DataFrame, level: int, parts: int = 1) -> list[dict]:
-        """Write key-clustered, sorted rows as segments of ``parts`` key ranges, and return the records of those that
-        have rows; none, and no files, without rows."""
-        number = self.state["next_segment"]
-        self.state = self.state | {"next_segment": number + parts}
+    def _segments(self, rows: DataFrame, level: int, most: int = 0, tasks: int = 1) -> list[dict]:
+        """Write key-clustered, sorted rows as one segment, or, where they may be more than ``segment_rows``, as segments
+        of about so many by key range, several of them in a task; the records of those that have rows are returned.
+        No files are left without rows.  ``most`` bounds the rows of a merge; without it all rows are one segment.
+        """
+        number, size = self.state["next_segment"], self.options.segment_rows
+        self.state = self.state | {"next_segment": number + 1}
         name = f"seg-{number:06d}"
-        rows = merge.sorted_runs(rows, partitions=parts if parts > 1 else self.options.segment_partitions)
-        writer = rows.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)).write.mode("overwrite").option("maxRecordsPerFile", self.options.rows_per_file)
+        if most > size:
+            rows = merge.cut_runs(merge.sorted_runs(rows, partitions=tasks), size, -(-most // size), "part")
+        else:
+            rows = merge.sorted_runs(rows, partitions=self.options.segment_partitions).withColumn("part", F.lit(0))
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", self.options.rows_per_file)
         if self.options.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#user_key", "true")
         writer.partitionBy("part").parquet(f"{self.files.root}/{name}")
-        made = self.spark.read.schema(StructType([*LOG.fields, StructField("part", IntegerType())])).parquet(f"{self.files.root}/{name}")
+        with self._listing():
+            made = self.spark.read.schema(StructType([*LOG.fields, StructField("part", LongType())])).parquet(f"{self.files.root}/{name}")
         facts = made.groupBy("part").agg(*_facts(), F.sum(F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 16).alias("bytes")).orderBy("part").collect()  # a row for each part
         if not facts:
             self.files.delete(name)
+        self.state = self.state | {"next_segment": number + max(1, len(facts))}
         return [{"id": number + i, "level": level, "path": f"{name}/part={x['part']}"} | {k: x[k] for k in (*_FACTS, "bytes")} for i, x in enumerate(facts)]
 
+    @contextlib.contextmanager
+    def _listing(self):
+        """Many folders are listed by a few tasks; by default each is a task of its own."""
+        name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(min(int(before), 4 * self.spark.sparkContext.defaultParallelism)))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def _commit(self, added: list[dict], removed: list[int], stream: tuple[str, int] | None = None) -> None:
-        segments = [s for s in self.state["segments"] if s["id"] not in removed] + added
+        gone = set(removed)
+        segments = [s for s in self.state["segments"] if s["id"] not in gone] + added
         streams = self.state["streams"] | ({stream[0]: stream[1]} if stream else {})
         pending = min((m[1] for m in self.memory), default=self.last_seq)
         self.state = manifest.commit(self.files, self.state | {"segments": segments, "last_seq": pending, "streams": streams})
 
     def _read(self, *segments: dict) -> DataFrame:
-        return self.spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", "true").parquet(*(f"{self.files.root}/{s['path']}" for s in segments))
+        with self._listing():
+            return self.spark.read.schema(LOG).option("parquet.page.verify-checksum.enabled", "true").parquet(*(f"{self.files.root}/{s['path']}" for s in segments))
 
     # ------------------------------------------------------------ reads
 
@@ -291,20 +316,30 @@ class Store:
         return Status.OK
 
     def _sweep(self, older: float) -> None:
-        """Delete segments that the state doesn't name and that are older than so many seconds."""
-        live = {s["path"] for s in self.state["segments"]}
+        """Delete segments that the state doesn't name and that were committed more than so many seconds ago."""
+        live: dict[str, set] = {}
+        for s in self.state["segments"]:
+            live.setdefault(s["path"].split("/")[0], set()).add(s["path"])
         for name in [n for n in self.files.names("") if n.startswith("seg-")]:
+            mark = f"{name}/_SUCCESS"  # written once all parts are there
+            whole = self.files.exists(mark)
+            if whole and older and self.files.age(mark) <= older:
+                continue
+            if name not in live and (whole or not older):
+                self.files.delete(name)
+                continue
             parts = [f"{name}/{p}" for p in self.files.names(name) if p.startswith("part=")]
             for part in parts:
-                if part not in live and (not older or self.files.age(part) > older):
+                if part not in live.get(name, ()) and (whole or not older or self.files.age(part) > older):
                     self.files.delete(part)
-            if not live.intersection(parts) and not [p for p in self.files.names(name) if p.startswith("part=")]:
+            if name not in live and not [p for p in self.files.names(name) if p.startswith("part=")]:
                 self.files.delete(name)
 
     def _rewrite(self, inputs: list[dict], level: int, keep) -> None:
         """The inputs' rows that ``keep`` leaves, as segments of about ``segment_rows`` rows by key range."""
-        parts = max(1, -(-sum(s["rows"] for s in inputs) // self.options.segment_rows))
-        made = self._segments(keep(self._read(*inputs)), level, parts)
+        rows, size = sum(s["rows"] for s in inputs), sum(s["bytes"] for s in inputs)
+        tasks = min(-(-rows // self.options.segment_rows), max(self.spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES)))
+        made = self._segments(keep(self._read(*inputs)), level, rows, tasks)
         self._commit(made, [s["id"] for s in inputs])
 
     def check(self) -> list[str]:
